@@ -37,4 +37,4 @@ def weevil_incidence(trees: DataFrame, by: list[str], cols: list[str],
     return (long.filter(match).groupBy(*by).agg(F.count(F.lit(1)).alias("n_trees"))
             .withColumn("weevil_percent", F.col("n_trees") / 10)
             .withColumn("n_trees_per_hectare",
-                        F.col("n_trees") * F.lit(K.TREES_PER_ACRE * K.ACRES_PER_HA)))
+                        F.col("n_trees") * K.TREES_PER_ACRE * K.ACRES_PER_HA))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from standlab.plans.registry import REGISTRY, Query
 
-_THEMES = ["relational", "stand"]
+_THEMES = ["relational", "stand", "terrain", "models", "compare"]
 
 
 def all_queries() -> dict[str, Query]:

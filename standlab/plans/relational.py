@@ -456,14 +456,15 @@ def _(t):
     return windows.species_share(t.live, ["block", "plot"])
 
 
-_BAL = F.col("dbh") * F.col("dbh")
+def _bal():
+    return F.col("dbh") * F.col("dbh")
 
 
 @query("basal_area_larger", "WN2", "live", """
 SELECT uid, tree, coalesce(sum(dbh * dbh) OVER (PARTITION BY uid ORDER BY dbh DESC, tree
  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 0.005454::DOUBLE * 10.0::DOUBLE AS bal FROM live""")
 def _(t):
-    rows = windows.sums_before(t.live.select("uid", "tree", "dbh"), ["uid"], {"d2": ("dbh", _BAL)}, "tree")
+    rows = windows.sums_before(t.live.select("uid", "tree", "dbh"), ["uid"], {"d2": ("dbh", _bal())}, "tree")
     return rows.select("uid", "tree", (F.col("d2") * K.BASAL_AREA_FT2 * K.TREES_PER_ACRE).alias("bal"))
 
 
@@ -484,7 +485,7 @@ SELECT uid, tree, coalesce(sum(dbh * dbh) OVER (PARTITION BY uid ORDER BY dbh DE
 def _(t):
     rows = windows.sums_before(
         t.stems.select("uid", "tree", "dbh", "final_ht"), ["uid"],
-        {"d2": ("dbh", _BAL), "htl": ("final_ht", F.col("final_ht"))}, "tree")
+        {"d2": ("dbh", _bal()), "htl": ("final_ht", F.col("final_ht"))}, "tree")
     return rows.select("uid", "tree", (F.col("d2") * K.BASAL_AREA_FT2 * K.TREES_PER_ACRE).alias("bal"),
                        F.round("htl", 6).alias("htl"))
 

@@ -138,7 +138,7 @@ m AS (SELECT s.block, s.plot, s.code, s.vol, v.p_vol_ha, v.p_vol_ha * 14.28::DOU
  least(5.0::DOUBLE * trunc((2 + 0.8::DOUBLE * d.t_deduct + 2.5::DOUBLE) / 5) / 100, 1) AS fit_deduct_class
  FROM stems s LEFT JOIN deducted d USING (block, plot, tree) LEFT JOIN v USING (block, plot))
 SELECT block, plot, code, round(avg(vol), 6) AS new_vol_m3, round(avg(p_vol_ha), 6) AS p_vol_ha, round(avg(p_vol_ac), 5) AS p_vol_ac,
- round(avg(deduct_class), 6) AS deduct_class, round(avg(fit_deduction), 6) AS fit_deduction, round(avg(fit_deduct_class), 6) AS fit_deduct_class,
+ round(avg(deduct_class), 6) AS deduct_class, round(avg(fit_deduction), 6) AS fit_deduction, round(avg(fit_deduct_class), 9) AS fit_deduct_class,
  round(avg(p_vol_ac * fit_deduct_class), 5) AS adj_vol, round(avg(p_vol_ac - p_vol_ac * fit_deduct_class), 5) AS final_vol,
  round(avg((p_vol_ac - p_vol_ac * fit_deduct_class) * 0.0698::DOUBLE), 6) AS merch_vol_ha FROM m GROUP BY block, plot, code""")
 def _(t):
@@ -150,7 +150,7 @@ def _(t):
             .withColumn("fit_deduction", 2 + 0.8 * F.col("t_deduct")))
     rows = damage.merchantable(rows, "p_vol_ac", "fit_deduction").withColumnRenamed("vol", "new_vol_m3")
     digits = {"new_vol_m3": 6, "p_vol_ha": 6, "p_vol_ac": 5, "deduct_class": 6, "fit_deduction": 6,
-              "fit_deduct_class": 6, "adj_vol": 5, "final_vol": 5, "merch_vol_ha": 6}
+              "fit_deduct_class": 9, "adj_vol": 5, "final_vol": 5, "merch_vol_ha": 6}
     return rows.groupBy("block", "plot", "code").agg(
         *[F.round(F.avg(c), d).alias(c) for c, d in digits.items()])
 
@@ -245,7 +245,7 @@ def _(t):
                    ["block", "code", "spp"], ["alpha", "beta"])
 
 
-_WEEVIL = """SELECT s.code, s.block, s.plot, s.spp, count(*) AS n_trees, count(*) / 10 AS weevil_percent, count(*) * 24.7::DOUBLE AS n_trees_per_hectare
+_WEEVIL = """SELECT s.code, s.block, s.plot, s.spp, count(*) AS n_trees, count(*) / 10 AS weevil_percent, count(*) * 10 * 2.47::DOUBLE AS n_trees_per_hectare
 FROM live s JOIN (SELECT block, plot, tree, unnest([dam1, dam2, dam3]) AS v FROM stemform WHERE copy = 1) d USING (block, plot, tree)
 WHERE s.spp = 'NS' AND s.code IN ('N', 'NW', 'NR', 'BN') AND {} GROUP BY ALL"""
 
