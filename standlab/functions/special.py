@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import PandasUDFType
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -77,20 +78,23 @@ def studentised_range_tail(q: float, k: int, df: float) -> float:
     return float(min(1.0, max(0.0, 1 - total)))
 
 
-def _rows(fn, *cols):
-    return pd.Series([fn(*map(float, row)) for row in zip(*cols)], dtype="float64")
+def _on_rows(fn, *cols):
+    """Apply a tail function to a handful of result rows."""
+    def run(*parts: pd.Series) -> pd.Series:
+        return pd.Series([fn(*map(float, row)) for row in zip(*parts)], dtype="float64")
 
+    # Spark reads the number of inputs from the signature
+    shapes = {2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}
+    return F.pandas_udf(shapes[len(cols)], "double", PandasUDFType.SCALAR)(*cols)
 
-@F.pandas_udf("double")
-def p_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _rows(f_tail, f, df1, df2)
 
+def p_f(f, df1, df2) -> Column:
+    return _on_rows(f_tail, f, df1, df2)
 
-@F.pandas_udf("double")
-def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _rows(t_tail, t, df)
 
+def p_t(t, df) -> Column:
+    return _on_rows(t_tail, t, df)
 
-@F.pandas_udf("double")
-def p_range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
-    return _rows(lambda a, b, c: studentised_range_tail(a, int(b), c), q, k, df)
+
+def p_range(q, k, df) -> Column:
+    return _on_rows(lambda a, b, c: studentised_range_tail(a, int(b), c), q, k, df)

@@ -239,18 +239,18 @@ def boxcox_profile(df: DataFrame, y: str, grid: list[float] = BOXCOX_GRID) -> Da
 
     The grid is unfolded inside each task and combined before the shuffle.
     """
-    lam, v = F.col("lambda"), F.col("_y")
+    lam, v = F.col("exponent"), F.col("_y")
     z = F.when(F.abs(lam) < 1e-12, F.log(v)).otherwise((F.pow(v, lam) - 1) / lam)
     rows = df.filter(F.col(y) > 0).select(F.col(y).alias("_y")).withColumn(
-        "lambda", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    return (rows.groupBy("lambda").agg(F.count(F.lit(1)).alias("n"), F.var_pop(z).alias("_v"),
+        "exponent", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    return (rows.groupBy("exponent").agg(F.count(F.lit(1)).alias("n"), F.var_pop(z).alias("_v"),
                                        F.avg(F.log(v)).alias("_l"))
-            .select("lambda", (-F.col("n") / 2 * F.log("_v") + (lam - 1) * F.col("n") * F.col("_l"))
+            .select("exponent", (-F.col("n") / 2 * F.log("_v") + (lam - 1) * F.col("n") * F.col("_l"))
                     .alias("loglik")))
 
 
 def boxcox_best(df: DataFrame, y: str, grid: list[float] = BOXCOX_GRID) -> DataFrame:
-    return boxcox_profile(df, y, grid).agg(F.max_by("lambda", "loglik").alias("lambda"))
+    return boxcox_profile(df, y, grid).agg(F.max_by("exponent", "loglik").alias("exponent"))
 
 
 def log_height_prediction(a: Column, b: Column, x: Column, sigma: Column) -> Column:

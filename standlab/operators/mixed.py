@@ -125,8 +125,7 @@ def two_stage_height(df: DataFrame, by: list[str], height: str = "ht", dbh: str
     towards the population pair by their sampling covariance.  Returns the population
     pair and a table of group estimates.
     """
-    fits = nls.nls_by(df, height, "shifted_exponential", [dbh], by,
-                      start=(4.0, -6.0)).persist()
+    fits = nls.nls_by(df, height, "shifted_exponential", [dbh], by).persist()
     est = fits.select(F.get("estimate", F.lit(0)).alias("a"), F.get("estimate", F.lit(1)).alias("b"),
                       *[F.get("cov", F.lit(i)).alias(f"v{i}") for i in range(4)])
     s = est.agg(F.count(F.lit(1)).alias("k"), F.var_samp("a").alias("aa"), F.covar_samp("a", "b").alias("ab"),

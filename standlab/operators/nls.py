@@ -47,6 +47,13 @@ def _larsen(p, d):
 
 
 def _weibull(p, d):
+    g = F.pow(d, p[2])
+    e = F.exp(-p[1] * g)
+    return 4.5 + p[0] * (1 - e), [1 - e, p[0] * g * e, p[0] * p[1] * g * F.log(d) * e]
+
+
+def _weibull_as_written(p, d):
+    # the published script subtracts exp(b0 + b1 d^b2) from b0; kept beside the usual form
     g = F.pow(d, p[2])
     m = F.exp(p[0] + p[1] * g)
     return 4.5 + p[0] - m, [1 - m, -m * g, -m * p[1] * g * F.log(d)]
@@ -105,7 +112,8 @@ FORMS = {
     "chapman_richards": Form(("b0", "b1", "b2"), (40.0, 0.3, 1.0), _chapman),
     "curtis": Form(("b0", "b1", "b2"), (60.0, 3.0, -0.5), _curtis),
     "larsen_hann": Form(("b0", "b1", "b2"), (4.0, -3.0, -0.5), _larsen),
-    "weibull": Form(("b0", "b1", "b2"), (35.0, 0.01, -0.5), _weibull),
+    "weibull": Form(("b0", "b1", "b2"), (30.0, 0.3, 1.0), _weibull),
+    "weibull_as_written": Form(("b0", "b1", "b2"), (28.0, -25.0, 0.05), _weibull_as_written),
     "wykoff": Form(("b0", "b1"), (3.5, -2.0), _wykoff),
     "power": Form(("b0", "b1"), (10.0, 0.35), _power),
     "shifted_exponential": Form(("a", "b"), (4.5, -6.0), _shifted),
@@ -189,24 +197,29 @@ RESULT = ("n long, estimate array<double>, se array<double>, cov array<double>,
 
 def fit_forms(df: DataFrame, y: str, forms: dict[str, tuple[str, list[str]]],
               starts: dict[str, tuple] | None = None, collapse: bool = True,
-              weight: str | None = None, max_iter: int = 60, tol: float = 1e-10) -> dict[str, dict]:
+              weight: str | None = None, max_iter: int = 60, tol: float = 1e-9) -> dict[str, dict]:
     """Fit several curves at once; every step reads the rows once for all of them."""
     xs = list(dict.fromkeys(x for _, cols in forms.values() for x in cols))
-    rows = _prepare(df, y, xs, [], collapse, weight).persist()
+    rows = _prepare(df, y, xs, [], collapse, weight).withColumn("_all", F.lit(0)).persist()
+    spark = df.sparkSession
     fits = {name: _Fit((starts or {}).get(name, FORMS[f].start)) for name, (f, _) in forms.items()}
     sizes: dict[str, int] = {}
+    # parameters travel as one joined row, so every step runs the same expressions
+    held = {name: [f"_p{i}_{j}" for j in range(len(fits[name].cand))] for i, name in enumerate(forms)}
+    sums = {name: _sums(FORMS[f], [F.col(c) for c in held[name]], cols, f"_{i}")
+            for i, (name, (f, cols)) in enumerate(forms.items())}
+    at = {name: i for i, name in enumerate(forms)}
     try:
         for _ in range(max_iter):
             live = [name for name in forms if not fits[name].done]
             if not live:
                 break
-            sums = []
-            for i, name in enumerate(live):
-                form, cols = forms[name]
-                lits = [F.lit(float(v)) for v in fits[name].cand]
-                sums += _sums(FORMS[form], lits, cols, f"_{i}")
-            row = rows.agg(*sums).first()
-            for i, name in enumerate(live):
+            values = [0, *[float(v) for name in live for v in fits[name].cand]]
+            schema = ["_all int", *[f"{c} double" for name in live for c in held[name]]]
+            now = literal_table(spark, [tuple(values)], ", ".join(schema))
+            row = rows.join(F.broadcast(now), "_all").agg(*[c for name in live for c in sums[name]]).first()
+            for name in live:
+                i = at[name]
                 sizes[name] = row[f"n_{i}"] or 0
                 fits[name].advance(row[f"sse_{i}"], row[f"g_{i}"], row[f"h_{i}"], tol)
     finally:
@@ -231,10 +244,15 @@ def parameter_table(spark, fits: dict[str, dict]) -> DataFrame:
 
 def nls_by(df: DataFrame, y: str, form: str, xs: list[str], by: list[str], start=None,
            collapse: bool = True, weight: str | None = None, max_iter: int = 40,
-           tol: float = 1e-10) -> DataFrame:
-    """Fit one curve per group; groups that fail give no row."""
+           tol: float = 1e-9) -> DataFrame:
+    """Fit one curve per group; groups that fail give no row.
+
+    Without start values every group starts from the curve through all rows.
+    """
     spec = FORMS[form]
-    start = [float(v) for v in (start or spec.start)]
+    if start is None:
+        start = nls(df, y, form, xs, collapse=collapse, weight=weight)["estimate"]
+    start = [float(v) for v in start]
     rows = _prepare(df, y, xs, by, collapse, weight).persist()
     keys = ", ".join(f"`{c}` {t}" for c, t in rows.select(*by).dtypes)
     schema = (f"{keys}, n long, cand array<double>, best array<double>, sse double, g array<double>, "
@@ -251,7 +269,7 @@ def nls_by(df: DataFrame, y: str, form: str, xs: list[str], by: list[str], start
                 if not fit.done:
                     h2 = None if r.h_new is None else list(r.h_new)
                     fit.advance(r.sse_new, r.g_new, h2, tol)
-                out.append([*[getattr(r, c) for c in by], int(r.n_new or r.n or 0), fit.cand, fit.best,
+                out.append([*[getattr(r, c) for c in by], int(r.n if pd.isna(r.n_new) else r.n_new), fit.cand, fit.best,
                             fit.sse, fit.g, None if fit.h is None else fit.h.ravel(), fit.lam,
                             fit.done, fit.steps])
             yield pd.DataFrame(out, columns=[*by, "n", "cand", "best", "sse", "g", "h", "lam", "done", "steps"])
@@ -264,13 +282,13 @@ def nls_by(df: DataFrame, y: str, form: str, xs: list[str], by: list[str], start
         F.lit(False).alias("done"), F.lit(0).alias("steps"))
     state = cut_lineage(state)
     small = state.count() <= SMALL_STATE
+    held = [F.get("cand", F.lit(i)).alias(f"_p{i}") for i in range(k)]
+    sums = _sums(spec, [F.col(f"_p{i}") for i in range(k)], xs, "_new")
     for _ in range(max_iter):
-        now = state.filter("NOT done").select(*by, "cand")
+        now = state.filter("NOT done").select(*by, *held)
         if now.isEmpty():
             break
-        params = [F.get("cand", F.lit(i)) for i in range(k)]
-        joined = rows.join(F.broadcast(now) if small else now, by)
-        stats = joined.groupBy(*by).agg(*_sums(spec, params, xs, "_new"))
+        stats = rows.join(F.broadcast(now) if small else now, by).groupBy(*by).agg(*sums)
         state = cut_lineage(state.join(stats, by, "left").mapInPandas(update, schema))
     rows.unpersist()
 

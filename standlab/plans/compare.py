@@ -61,7 +61,7 @@ g AS (SELECT *, lo0 - 3 * bw AS lo, (hi0 - lo0 + 6 * bw) / 127 AS step FROM s),
 a AS (SELECT {by}, floor((dbh - lo) / step) AS i, (dbh - lo) / step - floor((dbh - lo) / step) AS f FROM live JOIN g USING ({by})),
 b AS (SELECT {by}, i, sum(w) AS w FROM (SELECT {by}, i, 1 - f AS w FROM a UNION ALL SELECT {by}, i + 1, f FROM a) GROUP BY ALL),
 k AS (SELECT {by}, CAST(p.range AS INTEGER) AS point, lo + step * p.range AS x, n, sum(w * exp(-pow((p.range - i) * step / bw, 2) / 2)) / (n * bw * sqrt(2 * pi())) AS density
- FROM b JOIN g USING ({by}), range(128) p GROUP BY ALL)
+ FROM b JOIN g USING ({by}), range(128) p GROUP BY {by}, p.range, lo, step, n, bw)
 SELECT {by}, point, round(x, 6) AS x, round(density, 8) AS density, round(density * n, 6) AS scaled FROM k"""
 
 

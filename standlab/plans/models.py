@@ -111,19 +111,19 @@ def _(t):
     return rounded(gram.best_subsets(frame(t), "vol_ha", xs, 8), ["size", "terms"], ["rss", "r2"], 4)
 
 
-_BOXCOX = f"""{_FRAME}, g AS (SELECT -2 + 4.0::DOUBLE * range / 99 AS lambda FROM range(100)),
-b AS (SELECT lambda, -count(*) / 2 * ln(var_pop((pow(vol_ha, lambda) - 1) / lambda)) + (lambda - 1) * sum(ln(vol_ha)) AS loglik FROM frame, g GROUP BY lambda)"""
+_BOXCOX = f"""{_FRAME}, g AS (SELECT -2 + 4.0::DOUBLE * range / 99 AS exponent FROM range(100)),
+b AS (SELECT exponent, -count(*) / 2 * ln(var_pop((pow(vol_ha, exponent) - 1) / exponent)) + (exponent - 1) * sum(ln(vol_ha)) AS loglik FROM frame, g GROUP BY exponent)"""
 
 
-@query("boxcox_profile", "MD7", "stems site", f"WITH {_BOXCOX} SELECT round(lambda, 8) AS lambda, round(loglik, 4) AS loglik FROM b")
+@query("boxcox_profile", "MD7", "stems site", f"WITH {_BOXCOX} SELECT round(exponent, 8) AS exponent, round(loglik, 4) AS loglik FROM b")
 def _(t):
     rows = gram.boxcox_profile(frame(t), "vol_ha")
-    return rows.select(F.round("lambda", 8).alias("lambda"), F.round("loglik", 4).alias("loglik"))
+    return rows.select(F.round("exponent", 8).alias("exponent"), F.round("loglik", 4).alias("loglik"))
 
 
-@query("boxcox_best", "MD7", "stems site", f"WITH {_BOXCOX} SELECT round(max_by(lambda, loglik), 8) AS lambda FROM b")
+@query("boxcox_best", "MD7", "stems site", f"WITH {_BOXCOX} SELECT round(max_by(exponent, loglik), 8) AS exponent FROM b")
 def _(t):
-    return gram.boxcox_best(frame(t), "vol_ha").withColumn("lambda", F.round("lambda", 8))
+    return gram.boxcox_best(frame(t), "vol_ha").withColumn("exponent", F.round("exponent", 8))
 
 
 @query("variance_power", "MD12", "live", """
@@ -214,12 +214,14 @@ def _(t):
 @query("crown_base_curves", "MD14")
 def _(t):
     rows = t.stems.filter("hcb > 0 AND hcb < final_ht").withColumns({
-        "score": 0.5 - 0.1 * F.col("dbh"), "lcr": C.live_crown_ratio("final_ht", "hcb"),
-        "ccf": C.crown_area("cw") / K.SQFT_PER_ACRE * 100})
+        "lcr": C.live_crown_ratio("final_ht", "hcb"), "ccf": C.crown_area("cw") / K.SQFT_PER_ACRE * 100})
+    line = gram.ols(rows, "hcb", ["dbh", "final_ht"]).first()["estimate"]
+    rows = rows.withColumn("score", gram.linear_predictor(line[0], {"dbh": line[1], "final_ht": line[2]}))
     fits = nls.fit_forms(rows, "hcb", {
         "base_logistic": ("base_logistic", ["final_ht", "dbh"]),
-        "base_logistic_short": ("base_logistic_short", ["final_ht", "dbh"]),
-        "base_score": ("base_score", ["final_ht", "score"])}, collapse=False)
+        "base_logistic_short": ("base_logistic_short", ["final_ht", "dbh"])}, collapse=False)
+    branch = rows.withColumn("llb", 0.4 * F.col("hcb"))
+    fits.update(nls.fit_forms(branch, "llb", {"base_score": ("base_score", ["final_ht", "score"])}, collapse=False))
     fits.update(nls.fit_forms(rows, "lcr", {"crown_ratio": ("crown_ratio", ["ccf"])}))
     return rounded(nls.parameter_table(t.spark, fits), ["form", "term"], ["estimate", "se", "sse"], 5)
 
