@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from standlab.session import small_side
+
 FIVE = ["q0", "q25", "q50", "q75", "q100"]
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
@@ -50,6 +52,7 @@ def exact_quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, flo
                                  F.count(F.lit(1)).alias("n"), F.round(F.avg("_x"), 6).alias("mean"))
     place = F.when(F.col("_hi") > F.col("_lo"),
                    F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
+    span = small_side(span)
     binned = rows.join(span, by).withColumn("_bin", F.coalesce(place, F.lit(0)))
 
     def cumulative(table, group, order):
@@ -67,6 +70,7 @@ def exact_quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, flo
     hit = (wanted.join(counts, by)
            .filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
            .select(*by, "_bin", "_q", "_h", "_rank", (F.col("_rank") - F.col("_from")).alias("_k")))
+    hit = small_side(hit)
     values = (binned.join(hit.select(*by, "_bin").distinct(), [*by, "_bin"], "left_semi")
               .groupBy(*by, "_bin", "_x").agg(F.count(F.lit(1)).alias("_n")))
     found = (hit.join(cumulative(values, [*by, "_bin"], "_x"), [*by, "_bin"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from standlab.functions import columns as C
 from standlab.operators.aggregates import exact_quantiles
 from standlab.operators.gram import partial_sums
-from standlab.session import cut_lineage
+from standlab.session import SMALL_ROWS, cut_lineage, small_side
 
 
 def beta_moments(df: DataFrame, by: list[str], col: str) -> DataFrame:
@@ -97,6 +97,7 @@ def kernel_density(df: DataFrame, by: list[str], col: str, points: int = 512,
          .withColumn("lo", F.col("lo") - 3 * F.col("bw"))
          .withColumn("step", (F.col("hi") + 3 * F.col("bw") - F.col("lo")) / (points - 1))
          .select(*by, "n", "bw", "lo", "step"))
+    s = small_side(s)
     at = (F.col(col) - F.col("lo")) / F.col("step")
     placed = (rows.select(*by, col).join(s, by)
               .select(*by, F.floor(at).alias("i"), (at - F.floor(at)).alias("f"))
@@ -134,7 +135,7 @@ def weibull_fit(df: DataFrame, by: list[str], col: str, steps: int = 10) -> Data
         .filter("n > 1 AND _v > 1e-12")
         .select(*by, "n", "_m", (1.2825 / F.sqrt("_v")).alias("shape")))
     state = cut_lineage(start)
-    small = state.count() <= 10_000
+    small = state.count() <= SMALL_ROWS
     # values are divided by their geometric mean, which keeps the powers in range
     t = F.col("_z") - F.col("_m")
     e = F.col("_n") * F.exp(F.col("shape") * t)

@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-WIDE = 14  # columns up to which cross-products are plain aggregates
+from standlab.session import small_side
+
+WIDE = 5  # columns up to which global cross-products are plain aggregates
 
 
 def partial_sums(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
@@ -99,8 +101,15 @@ FIT = ["sse", "dof", "sigma2", "r2", "adj_r2", "rmse", "loglik", "aic"]
 def ols(df: DataFrame, y: str, xs: list[str], by: list[str] | None = None) -> DataFrame:
     """One row per group: term names, estimates, standard errors and fit statistics."""
     by = by or []
-    table = moments(df, [*xs, y], by)
     terms, k = ["(Intercept)", *xs], len(xs) + 1
+    if not by:
+        n, mean, cross = global_moments(df, [*xs, y])
+        fit = solve_ols(n, mean, cross)
+        row = (n, terms, fit["beta"].tolist(), np.sqrt(np.diag(fit["cov"])).tolist(),
+               *[float(fit[c]) for c in FIT])
+        return df.sparkSession.createDataFrame([row], "n long, term array<string>, estimate array<double>, "
+                                               "se array<double>, " + ", ".join(f"{c} double" for c in FIT))
+    table = moments(df, [*xs, y], by)
     out_cols = [*by, "n", "term", "estimate", "se", *FIT]
     keys = "".join(f"`{c}` {t}, " for c, t in table.dtypes if c in by)
 
@@ -152,7 +161,7 @@ def predict(df: DataFrame, fits: DataFrame, xs: list[str], by: list[str], out: s
     line = F.get(beta, F.lit(0))
     for i, x in enumerate(xs, 1):
         line = line + F.get(beta, F.lit(i)) * F.col(x)
-    return df.join(fits.select(*by, "estimate"), by, "left").withColumn(out, line).drop("estimate")
+    return df.join(small_side(fits.select(*by, "estimate")), by, "left").withColumn(out, line).drop("estimate")
 
 
 def fit_stats(df: DataFrame, obs: str, pred: str, p: int, by: list[str] | None = None) -> DataFrame:

@@ -1,13 +1,15 @@
 """Join operators.
 
-No side is force-broadcast here: Spark broadcasts a side whose size it knows to be
-small, and splits skewed partitions of the larger side at run time.
+A side is broadcast only after its rows are counted; otherwise Spark chooses, and splits
+skewed partitions of the larger side at run time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from standlab.session import small_side
+
 
 def left_join(left: DataFrame, right: DataFrame, on: list[str],
               assert_unique: bool = False) -> DataFrame:
@@ -36,7 +38,14 @@ def inner_merge(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def full_merge(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    return left.join(right, on, "full")
+    """Rows of both sides, matched or not.
+
+    Written as a left join plus the right rows without a partner: Spark can then
+    broadcast a small right side or split a hot key, which it cannot in a full join.
+    """
+    known = left.select(*on).distinct()
+    alone = right.join(known, on, "left_anti")
+    return left.join(right, on, "left").unionByName(alone, allowMissingColumns=True)
 
 
 def add_effects(df: DataFrame, effects: list[tuple[DataFrame, list[str], str]],
@@ -46,7 +55,9 @@ def add_effects(df: DataFrame, effects: list[tuple[DataFrame, list[str], str]],
     ``how='full'`` keeps effects no row belongs to as otherwise empty rows.
     """
     for table, keys, col in effects:
-        df = df.join(table.select(*keys, col), keys, how).fillna(0.0, subset=[col])
+        table = small_side(table.select(*keys, col))
+        df = full_merge(df, table, keys) if how == "full" else df.join(table, keys, "left")
+        df = df.fillna(0.0, subset=[col])
     total = sum((F.col(col) for _, _, col in effects), F.lit(0.0))
     return df.withColumn(out, total)
 
@@ -63,4 +74,4 @@ def attach_pure(df: DataFrame, means: DataFrame, value: str, codes: list[str],
     """Attach each block's pure-stand means, one column per pure treatment."""
     wide = (means.filter(F.col(code).isin(codes))
             .groupBy(block).pivot(code, codes).agg(F.avg(value)))
-    return df.join(wide, block, "left")
+    return df.join(small_side(wide), block, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.operators import nls
 from standlab.operators.gram import global_moments, partial_sums, solve_ols
-from standlab.session import cut_lineage, literal_table
+from standlab.session import cut_lineage, literal_table, small_side
 
 
 @dataclass
@@ -168,7 +168,7 @@ def predict_two_stage(df: DataFrame, population: dict, groups: DataFrame, by: li
     """``level=0`` scores with the population pair, ``level=1`` with the group's where known."""
     a, b = F.lit(population["a"]), F.lit(population["b"])
     if level:
-        df = df.join(groups.select(*by, F.col("a").alias("_a"), F.col("b").alias("_b")), by, "left")
+        df = df.join(small_side(groups.select(*by, F.col("a").alias("_a"), F.col("b").alias("_b"))), by, "left")
         a, b = F.coalesce("_a", a), F.coalesce("_b", b)
     return df.withColumn("ht_fit", 4.5 + F.exp(a + b / (F.col(dbh) + 1))).drop("_a", "_b")
 
@@ -206,7 +206,8 @@ def nested_effects(df: DataFrame, y: str, x: str, levels: list[list[str]], sweep
                                            F.sum("_n").alias("_g"))
             new = new.select(*keys, (F.col("_r") / (F.col("_g") + ratio)).alias("_new"),
                              (s2 / (F.col("_g") + ratio)).alias(f"_p{i}"), F.col("_g").alias(f"_g{i}"))
-            state = state.drop(names[i]).join(new, keys).withColumnRenamed("_new", names[i])
+            # the outer levels have few groups: their effects go out, the cells stay put
+            state = state.drop(names[i]).join(small_side(new) if i < len(levels) - 1 else new, keys).withColumnRenamed("_new", names[i])
             post.append((f"_p{i}", f"_g{i}"))
         state = cut_lineage(state)
         u = sum((F.col(c) for c in names), F.lit(0.0))

@@ -14,10 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from standlab.session import cut_lineage, literal_table
-
-SMALL_STATE = 10_000  # groups up to which the parameter table is broadcast
-
+from standlab.session import SMALL_ROWS, cut_lineage, literal_table
 
 @dataclass(frozen=True)
 class Form:
@@ -281,7 +278,7 @@ def nls_by(df: DataFrame, y: str, form: str, xs: list[str], by: list[str], start
         F.lit(float("inf")).alias("sse"), none.alias("g"), none.alias("h"), F.lit(1e-3).alias("lam"),
         F.lit(False).alias("done"), F.lit(0).alias("steps"))
     state = cut_lineage(state)
-    small = state.count() <= SMALL_STATE
+    small = state.count() <= SMALL_ROWS
     held = [F.get("cand", F.lit(i)).alias(f"_p{i}") for i in range(k)]
     sums = _sums(spec, [F.col(f"_p{i}") for i in range(k)], xs, "_new")
     for _ in range(max_iter):

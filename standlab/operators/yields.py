@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from standlab import constants as K
 from standlab.functions import columns as C
 from standlab.operators.joins import attach_pure
+from standlab.session import small_side
 
 
 def block_means(plots: DataFrame, volume: str) -> DataFrame:
@@ -52,7 +53,7 @@ def best_pure(code="code"):
 def transgressive(plots: DataFrame, volume: str) -> DataFrame:
     """Mixture plot volume over its block's mean of the better pure species."""
     rows = plots.filter(F.col("code").isin(K.MIXED)).withColumn("best", best_pure())
-    pure = _pure_lookup(block_means(plots, volume), "best", "pure_vol")
+    pure = small_side(_pure_lookup(block_means(plots, volume), "best", "pure_vol"))
     return rows.join(pure, ["block", "best"], "left").withColumn("toy", C.ratio(volume, "pure_vol"))
 
 

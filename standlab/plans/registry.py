@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from standlab.session import prepare
 from standlab.sources.fixtures import Inputs, with_views
 
 
@@ -18,7 +19,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.plan(Inputs(spark, sf_dir))
+        return self.plan(Inputs(prepare(spark), sf_dir))
 
 
 REGISTRY: dict[str, Query] = {}

@@ -21,23 +21,23 @@ def _(t):
 
 
 _DENSITY = """sum(dbh * dbh) * 0.005454::DOUBLE * 10.0::DOUBLE AS bapa, count(*) * 10.0::DOUBLE AS tpa,
- round(sqrt(sum(dbh * dbh) / count(*)), 6) AS qmd,
- round(sum(dbh * dbh) * 0.005454::DOUBLE * 10.0::DOUBLE / sqrt(sqrt(sum(dbh * dbh) / count(*))), 6) AS rd,
- round(count(*) * 10.0::DOUBLE * pow(sqrt(sum(dbh * dbh) / count(*)) / 10.0::DOUBLE, 1.605::DOUBLE), 6) AS sdi"""
+ round(sqrt(sum(dbh * dbh) / count(*)), 9) AS qmd,
+ round(sum(dbh * dbh) * 0.005454::DOUBLE * 10.0::DOUBLE / sqrt(sqrt(sum(dbh * dbh) / count(*))), 9) AS rd,
+ round(count(*) * 10.0::DOUBLE * pow(sqrt(sum(dbh * dbh) / count(*)) / 10.0::DOUBLE, 1.605::DOUBLE), 9) AS sdi"""
 
 
 @query("stand_density_plot", "FM2 FM3 FM4 FM5", "live", f"""
 SELECT block, plot, uid, code, count(*) AS n_trees, {_DENSITY} FROM live GROUP BY ALL""")
 def _(t):
     rows = stand.stand_density(t.live, stand.PLOT)
-    return rounded(rows, [*stand.PLOT, "n_trees", "bapa", "tpa"], ["qmd", "rd", "sdi"])
+    return rounded(rows, [*stand.PLOT, "n_trees", "bapa", "tpa"], ["qmd", "rd", "sdi"], 9)
 
 
 @query("stand_density_species", "FM2 FM3 FM4 FM5", "live", f"""
 SELECT block, plot, spp, count(*) AS n_trees, {_DENSITY} FROM live GROUP BY block, plot, spp""")
 def _(t):
     rows = stand.stand_density(t.live, ["block", "plot", "spp"])
-    return rounded(rows, ["block", "plot", "spp", "n_trees", "bapa", "tpa"], ["qmd", "rd", "sdi"])
+    return rounded(rows, ["block", "plot", "spp", "n_trees", "bapa", "tpa"], ["qmd", "rd", "sdi"], 9)
 
 
 @query("relative_spacing", "FM6 WN5 JN2", "stems", """

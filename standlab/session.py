@@ -5,7 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+SMALL_ROWS = 10_000  # summary tables up to this many rows are broadcast
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let Spark split a hot key's join partition even where that costs another shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,6 +42,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A summary table about to be joined to raw rows, written out and counted first.
+
+    Few rows: broadcast, so the raw rows are not shuffled by a key with few values.
+    Otherwise the table is returned as it is, for an ordinary join.
+    """
+    table = cut_lineage(df)
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for an exported table."""
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
