@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from standlab.session import cut_lineage
+
 
 def species_share(df: DataFrame, plot: list[str], spp: str = "spp") -> DataFrame:
     """Share of each species in the plot's tree count."""
@@ -48,16 +50,22 @@ def sums_before(df: DataFrame, by: list[str], specs: dict[str, tuple[str, Column
     follow the text column ``tie``.  Groups up to ``hot_limit`` rows use one shuffle for
     all outputs.  Larger ones, of which there are at most rows / hot_limit, are split.
     """
-    hot = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-           .filter(F.col("_rows") > hot_limit).select(*by))
-    plain = df.join(F.broadcast(hot), by, "left_anti")
+    def running(rows):
+        for name, (order, measure) in specs.items():
+            before = (W.partitionBy(*by).orderBy(F.desc(order), tie)
+                      .rowsBetween(W.unboundedPreceding, -1))
+            rows = rows.withColumn(name, F.coalesce(F.sum(measure).over(before), F.lit(0.0)))
+        return rows
+
+    hot = cut_lineage(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+                      .filter(F.col("_rows") > hot_limit).select(*by))
+    if hot.isEmpty():
+        return running(df)
     split = df.join(F.broadcast(hot), by, "left_semi")
     for name, (order, measure) in specs.items():
-        before = (W.partitionBy(*by).orderBy(F.desc(order), tie)
-                  .rowsBetween(W.unboundedPreceding, -1))
-        plain = plain.withColumn(name, F.coalesce(F.sum(measure).over(before), F.lit(0.0)))
-        split = _segmented_sum_before(split, by, order, measure, tie, name, width, tie_chars)
-    return plain.unionByName(split)
+        split = cut_lineage(_segmented_sum_before(cut_lineage(split), by, order, measure, tie, name,
+                                                  width, tie_chars))
+    return running(df.join(F.broadcast(hot), by, "left_anti")).unionByName(split)
 
 
 def _segmented_sum_before(df, by, order, measure, tie, name, width, tie_chars):

@@ -140,7 +140,8 @@ class Inputs:
 
     @cached_property
     def live(self) -> DataFrame:
-        return self.trees.filter("status = 1")
+        # status = 1, written on stored columns so that the scan can skip rows
+        return self.trees.filter("ls = 'O' OR ln <= 5")
 
     @cached_property
     def coef(self) -> DataFrame:
