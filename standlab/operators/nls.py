@@ -252,37 +252,40 @@ def nls_by(df: DataFrame, y: str, form: str, xs: list[str], by: list[str], start
     start = [float(v) for v in start]
     rows = _prepare(df, y, xs, by, collapse, weight).persist()
     keys = ", ".join(f"`{c}` {t}" for c, t in rows.select(*by).dtypes)
-    schema = (f"{keys}, n long, cand array<double>, best array<double>, sse double, g array<double>, "
-              "h array<double>, lam double, done boolean, steps int")
+    columns = [*by, "fit_n", "fit_cand", "fit_best", "fit_sse", "fit_g", "fit_h", "fit_lam", "fit_done", "fit_steps"]
+    schema = (f"{keys}, fit_n long, fit_cand array<double>, fit_best array<double>, fit_sse double, "
+              "fit_g array<double>, fit_h array<double>, fit_lam double, fit_done boolean, fit_steps int")
     k = len(start)
 
+    def load(r):
+        g = None if r.fit_g is None else np.array(r.fit_g, float)
+        h = None if r.fit_h is None else np.array(r.fit_h, float).reshape(k, k)
+        return _Fit(r.fit_cand, r.fit_best, r.fit_sse, g, h, r.fit_lam, r.fit_done, r.fit_steps)
+
     def update(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                fit = _Fit(r.cand, r.best, r.sse, None if r.g is None else np.array(r.g, float),
-                           None if r.h is None else np.array(r.h, float).reshape(k, k),
-                           r.lam, r.done, r.steps)
+                fit = load(r)
                 if not fit.done:
-                    h2 = None if r.h_new is None else list(r.h_new)
-                    fit.advance(r.sse_new, r.g_new, h2, tol)
-                out.append([*[getattr(r, c) for c in by], int(r.n if pd.isna(r.n_new) else r.n_new), fit.cand, fit.best,
-                            fit.sse, fit.g, None if fit.h is None else fit.h.ravel(), fit.lam,
-                            fit.done, fit.steps])
-            yield pd.DataFrame(out, columns=[*by, "n", "cand", "best", "sse", "g", "h", "lam", "done", "steps"])
+                    fit.advance(r.sse_new, r.g_new, r.h_new, tol)
+                n = int(r.fit_n if pd.isna(r.n_new) else r.n_new)
+                out.append([*[getattr(r, c) for c in by], n, fit.cand, fit.best, fit.sse, fit.g,
+                            None if fit.h is None else fit.h.ravel(), fit.lam, fit.done, fit.steps])
+            yield pd.DataFrame(out, columns=columns)
 
     arr = F.array(*[F.lit(v) for v in start])
     none = F.lit(None).cast("array<double>")
     state = rows.select(*by).distinct().select(
-        *by, F.lit(0).cast("bigint").alias("n"), arr.alias("cand"), arr.alias("best"),
-        F.lit(float("inf")).alias("sse"), none.alias("g"), none.alias("h"), F.lit(1e-3).alias("lam"),
-        F.lit(False).alias("done"), F.lit(0).alias("steps"))
+        *by, F.lit(0).cast("bigint").alias("fit_n"), arr.alias("fit_cand"), arr.alias("fit_best"),
+        F.lit(float("inf")).alias("fit_sse"), none.alias("fit_g"), none.alias("fit_h"),
+        F.lit(1e-3).alias("fit_lam"), F.lit(False).alias("fit_done"), F.lit(0).alias("fit_steps"))
     state = cut_lineage(state)
     small = state.count() <= SMALL_ROWS
-    held = [F.get("cand", F.lit(i)).alias(f"_p{i}") for i in range(k)]
+    held = [F.get("fit_cand", F.lit(i)).alias(f"_p{i}") for i in range(k)]
     sums = _sums(spec, [F.col(f"_p{i}") for i in range(k)], xs, "_new")
     for _ in range(max_iter):
-        now = state.filter("NOT done").select(*by, *held)
+        now = state.filter("NOT fit_done").select(*by, *held)
         if now.isEmpty():
             break
         stats = rows.join(F.broadcast(now) if small else now, by).groupBy(*by).agg(*sums)
@@ -293,10 +296,9 @@ def nls_by(df: DataFrame, y: str, form: str, xs: list[str], by: list[str], start
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                if r.h is None or r.n <= k:
+                if r.fit_h is None or r.fit_n <= k:
                     continue
-                fit = _Fit(r.cand, r.best, r.sse, None, np.array(r.h, float).reshape(k, k), steps=r.steps)
-                res = fit.result(r.n)
+                res = load(r).result(r.fit_n)
                 out.append([*[getattr(r, c) for c in by], res["n"], res["estimate"], res["se"], res["cov"],
                             res["sse"], res["sigma2"], res["aic"], res["steps"]])
             yield pd.DataFrame(out, columns=[*by, "n", "estimate", "se", "cov", "sse", "sigma2", "aic", "steps"])
