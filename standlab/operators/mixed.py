@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.operators import nls
 from standlab.operators.gram import global_moments, partial_sums, solve_ols
-from standlab.session import cut_lineage, literal_table, small_side
+from standlab.session import SMALL_ROWS, cut_lineage, literal_table, small_side
 
 
 @dataclass
@@ -196,6 +196,8 @@ def nested_effects(df: DataFrame, y: str, x: str, levels: list[list[str]], sweep
     var = [s2 / (len(levels) + 1)] * len(levels)
     s2 = s2 / (len(levels) + 1)
 
+    # levels counted to have few groups send their effects out, and the cells stay put
+    few = [cells.select(*keys).distinct().limit(SMALL_ROWS + 1).count() <= SMALL_ROWS for keys in levels]
     for _ in range(sweeps):
         line = F.col("_sy") - a * F.col("_n") - b * F.col("_sx")
         post = []
@@ -206,8 +208,7 @@ def nested_effects(df: DataFrame, y: str, x: str, levels: list[list[str]], sweep
                                            F.sum("_n").alias("_g"))
             new = new.select(*keys, (F.col("_r") / (F.col("_g") + ratio)).alias("_new"),
                              (s2 / (F.col("_g") + ratio)).alias(f"_p{i}"), F.col("_g").alias(f"_g{i}"))
-            # the outer levels have few groups: their effects go out, the cells stay put
-            state = state.drop(names[i]).join(small_side(new) if i < len(levels) - 1 else new, keys).withColumnRenamed("_new", names[i])
+            state = state.drop(names[i]).join(F.broadcast(new) if few[i] else new, keys).withColumnRenamed("_new", names[i])
             post.append((f"_p{i}", f"_g{i}"))
         state = cut_lineage(state)
         u = sum((F.col(c) for c in names), F.lit(0.0))

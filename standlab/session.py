@@ -37,9 +37,14 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an iteration's state to the shared folder and go on from there."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an iteration's state as a table in the shared folder and go on from there.
+
+    A table survives the loss of executors, and reading it back gives the next plan the
+    state's true size; size estimates carried through repeated joins would only grow.
+    """
+    path = scratch_path(df.sparkSession, "state")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
