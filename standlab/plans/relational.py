@@ -554,7 +554,7 @@ def _(t):
 WITH p AS (SELECT code, uid, sum(dbh * dbh) * 0.005454::DOUBLE * 10 AS bapa, count(*) * 10 AS tpa,
   sqrt(sum(dbh * dbh) / count(*)) AS qmd FROM stems GROUP BY code, uid),
 h AS (SELECT uid, avg(final_ht) AS ht_40 FROM (SELECT *, rank() OVER (PARTITION BY uid ORDER BY dbh DESC) AS r FROM stems) WHERE r <= 4 GROUP BY uid)
-SELECT code, count(*) AS n_plots, round(avg(bapa), 8) AS bapa, round(stddev_samp(bapa) / sqrt(count(*)), 6) AS bapa_se,
+SELECT code, count(*) AS n_plots, round(avg(bapa), 3) AS bapa, round(stddev_samp(bapa) / sqrt(count(*)), 6) AS bapa_se,
  round(avg(tpa), 6) AS tpa, round(avg(qmd), 6) AS qmd, round(stddev_samp(qmd) / sqrt(count(*)), 6) AS qmd_se,
  round(avg(ht_40), 6) AS ht_40, round(stddev_samp(ht_40) / sqrt(count(*)), 6) AS ht_40_se
 FROM p JOIN h USING (uid) GROUP BY code""")
@@ -563,5 +563,5 @@ def _(t):
     top = windows.top_mean(t.stems, ["uid"], "dbh", "final_ht", 4, "ht_40")
     return density.join(top, "uid").groupBy("code").agg(
         F.count(F.lit(1)).alias("n_plots"),
-        *[F.round(F.avg(c), d).alias(c) for c, d in {"bapa": 8, "tpa": 6, "qmd": 6, "ht_40": 6}.items()],
+        *[F.round(F.avg(c), d).alias(c) for c, d in {"bapa": 3, "tpa": 6, "qmd": 6, "ht_40": 6}.items()],
         *[F.round(C.std_error(c), 6).alias(c + "_se") for c in ["bapa", "qmd", "ht_40"]])
