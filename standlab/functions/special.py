@@ -7,7 +7,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import PandasUDFType
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -83,9 +82,14 @@ def _on_rows(fn, *cols):
     def run(*parts: pd.Series) -> pd.Series:
         return pd.Series([fn(*map(float, row)) for row in zip(*parts)], dtype="float64")
 
-    # Spark reads the number of inputs from the signature
-    shapes = {2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}
-    return F.pandas_udf(shapes[len(cols)], "double", PandasUDFType.SCALAR)(*cols)
+    # Spark reads the number of inputs and the kind of function from the signature
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return run(a, b, c)
+
+    return F.pandas_udf(two if len(cols) == 2 else three, "double")(*cols)
 
 
 def p_f(f, df1, df2) -> Column:
