@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,19 +20,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local master may
-    fall back to a temporary folder; elsewhere that would not be shared.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder inside the
+    session's own warehouse serves, which all executors share too.  No setting is changed.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="standlab-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
-    return configured or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/standlab-work"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
