@@ -254,13 +254,13 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-      ELSE list_distinct(list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' '))) END AS g
+      ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS g
       FROM w),
 t AS (SELECT doc_id, unnest(g) AS g FROM s),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id
       GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
-      WHERE 100 * both >= 85 * (len(x.g) + len(y.g) - both)),
+      WHERE 100 * shared >= 85 * (len(x.g) + len(y.g) - shared)),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, len(g) AS n_shingles, least(doc_id, (SELECT min(b) FROM r WHERE a = doc_id)) AS component_id FROM s
 """)
