@@ -11,8 +11,8 @@ filters, and a pair goes on to verification only if it shares a prefix shingle u
 * The first order puts rare shingles first.  Rarity comes from a count of all shingles of all
   documents in a fixed number of hash cells (any global order is exact, so shared cells cost
   time only).  Its prefixes are joined on the shingle, which makes the candidates.
-* The other orders are of independent hashes.  They are intersected on the candidates, and the
-  survivors are verified on their whole sets.
+* The other orders are of independent hashes.  A candidate's heads under each of them must share
+  enough for the rest to make up a link; pairs that pass all orders are verified on whole sets.
 
 Equal sets are one class, so copies never meet each other.  Within the documents of a shingle,
 pairs are not enumerated: rounds of stars compare every document with one leader of another
@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from standlab.llm.packed import PLACES, dealt, part_of, read_places
 from standlab.llm.registry import register
 from standlab.llm.tables import components, table
 from standlab.llm.words import Words, by_text, mix, slices
@@ -37,6 +38,8 @@ from standlab.session import cut_lineage
 CELLS = 1 << 18  # cells of the rarity count: 2 MB, at every size of corpus
 BLOCK = 1 << 12
 STARS = 2  # star rounds before the last one
+HEAD = 20  # percent of a set that an order's filter sees
+SLOTS = 1 << 20  # hashed ids that are broadcast at most
 
 
 def _sets(words: Words, width: int):
@@ -117,61 +120,142 @@ def describe(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFr
         run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, width: int) -> DataFrame:
+def postings(reps: DataFrame) -> DataFrame:
+    """shingle, doc, n, at (the shingle's place in the prefix) of shingles in two prefixes at least."""
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches):
+        for batch in batches:
+            size = batch["prefix"].map(len).to_numpy()
+            for a, b in slices((8 * size).tolist()):
+                doc = np.repeat(np.arange(b - a), size[a:b])
+                at = np.arange(len(doc)) - np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])
+                shingles = np.concatenate(batch["prefix"].iloc[a:b].tolist()).astype(np.int64).view(np.uint64)
+                yield pd.DataFrame(dealt(part_of(shingles, parts), doc, at, batch["doc"].to_numpy()[a:b], {
+                    "shingles": shingles, "sizes": batch["n"].to_numpy()[a:b][doc].astype(np.int64)}))
+
+    def unpack(batches):
+        rows = [r for batch in batches for r in batch.itertuples(index=False)]
+        if rows:
+            shingles = np.concatenate([np.frombuffer(r.shingles, np.int64) for r in rows])
+            _, inverse, count = np.unique(shingles, return_inverse=True, return_counts=True)
+            keep, at = count[inverse] > 1, 0
+            for r in rows:
+                doc, place = read_places(r.ids, r.counts, r.steps)
+                mine = keep[at:at + len(doc)]
+                yield pd.DataFrame({"shingle": shingles[at:at + len(doc)][mine], "doc": doc[mine],
+                                    "n": np.frombuffer(r.sizes, np.int64)[mine], "at": place[mine]})
+                at += len(doc)
+
+    packed = reps.mapInPandas(pack, PLACES + ", shingles binary, sizes binary")
+    return (packed.repartitionById(parts, F.col("part"))
+            .mapInPandas(unpack, "shingle long, doc long, n long, at long"))
+
+
+def near(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents of the pairs, and few others: a semi-join by SLOTS hashed ids, which bounds
+    what is broadcast and spares the texts a shuffle."""
+    def slot(column):
+        return F.pmod(F.xxhash64(column), F.lit(SLOTS))
+
+    slots = pairs.select(F.explode(F.array(slot("a"), slot("b"))).alias("slot")).distinct()
+    return docs.join(F.broadcast(slots), slot("doc_id") == F.col("slot"), "left_semi")
+
+
+def _per_document(docs: DataFrame, width: int, columns: str, make) -> DataFrame:
     def run(batches):
         for rows, words in by_text(batches, lower=True):
             doc, shingles = _sets(words, width)
             n = np.bincount(doc, minlength=len(rows))
-            yield pd.DataFrame({"doc": rows["doc_id"].to_numpy(), "shingles": [
-                x.tobytes() for x in np.split(shingles, np.cumsum(n)[:-1])]})
+            yield pd.DataFrame({"doc": rows["doc_id"].to_numpy(), "n": n} | {
+                k: [x.tobytes() for x in np.split(v, np.cumsum(c)[:-1])]
+                for k, (v, c) in make(doc, shingles, n).items()})
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc long, n long, {columns}").dropDuplicates(["doc"])
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc long, shingles binary")
+def order_heads(docs: DataFrame, width: int, orders: int) -> DataFrame:
+    """The first HEAD of every set under each other order, as 32 bits of the order's keys."""
+    def make(doc, shingles, n):
+        out = {}
+        size = n - n * (100 - HEAD) // 100
+        for number in range(2, orders + 1):
+            key = (_order(shingles, number) >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((key, doc))
+            keep = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(size, n)
+            out[f"h{number}"] = key[order][keep], size
+        return out
+
+    columns = ", ".join(f"h{number} binary" for number in range(2, orders + 1))
+    return _per_document(docs, width, columns, make)
+
+
+def whole_sets(docs: DataFrame, width: int) -> DataFrame:
+    return _per_document(docs, width, "shingles binary", lambda doc, shingles, n: {"shingles": (shingles, n)})
 
 
-def heads(key: np.ndarray, row: np.ndarray, n: np.ndarray, num: int, den: int):
-    """The prefix of every row's set under the order of ``key``, as (row, key) sorted by both."""
-    order = np.lexsort((key, row))
-    head = n - -(-n * num // den) + 1
-    keep = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(head, n)
-    return row[order][keep], key[order][keep]
+def _rows(sets, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(s) for s in sets], np.int64) // np.dtype(kind).itemsize
+    return size, np.repeat(np.arange(len(size)), size), np.frombuffer(b"".join(sets), kind)
 
 
-def common(rows_x, x, rows_y, y, size: int) -> np.ndarray:
-    """For each row, how many values its x and its y have in common; values in a row are distinct."""
-    row, value = np.concatenate([rows_x, rows_y]), np.concatenate([x, y])
+def common(row_x, x, row_y, y, size: int) -> np.ndarray:
+    """For each row, how many values its x and its y have in common."""
+    row, value = np.concatenate([row_x, row_y]), np.concatenate([x, y])
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
     return np.bincount(row[1:][same], minlength=size)
 
 
-def linked(xs: list[bytes], ys: list[bytes], num: int, den: int, orders: int) -> np.ndarray:
-    """Which pairs of sets link: the other orders' filters one by one, then the whole sets."""
-    left = np.arange(len(xs))
-    sides = []
-    for sets in (xs, ys):
-        n = np.array([len(s) // 8 for s in sets], np.int64)
-        sides.append((n, np.repeat(left, n), np.frombuffer(b"".join(sets), np.uint64)))
-    alive = np.ones(len(xs), bool)
-    for number in range(2, orders + 1):
-        found = [heads(_order(v, number), row, n, num, den) for n, row, v in sides]
-        alive &= common(*found[0], *found[1], len(xs)) > 0
-        sides = [(np.where(alive, n, 0), row[alive[row]], v[alive[row]]) for n, row, v in sides]
-    both = common(sides[0][1], sides[0][2], sides[1][1], sides[1][2], len(xs))
-    return alive & (den * both >= num * (sides[0][0] + sides[1][0] - both))
+def may_link(x, y, n, m, num: int, den: int) -> np.ndarray:
+    """Order filter on the heads x and y of sets of n and m shingles.
 
+    Up to the lower of the two last keys both sets are known; what lies behind can add no more
+    than the smaller rest.  Equal 32-bit keys of unequal shingles only let a pair pass.
+    """
+    (nx, rx, vx), (ny, ry, vy) = _rows(x, np.uint32), _rows(y, np.uint32)
+    end = np.minimum(vx[np.cumsum(nx) - 1], vy[np.cumsum(ny) - 1])
+    kx, ky = vx <= end[rx], vy <= end[ry]
+    both = common(rx[kx], vx[kx], ry[ky], vy[ky], len(nx))
+    rest = np.minimum(n - np.bincount(rx[kx], minlength=len(nx)), m - np.bincount(ry[ky], minlength=len(nx)))
+    return (both + np.maximum(rest, 0)) * (num + den) >= num * (n + m)
+
+
+def linked(x, y, num: int, den: int) -> np.ndarray:
+    (n, rx, vx), (m, ry, vy) = _rows(x, np.uint64), _rows(y, np.uint64)
+    both = common(rx, vx, ry, vy, len(n))
+    return den * both >= num * (n + m - both)
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, orders: int) -> DataFrame:
+
+def _filtered(pairs: DataFrame, sides: DataFrame, columns: list[str], test) -> DataFrame:
+    """The pairs whose two rows of ``sides`` pass ``test``."""
     def run(batches):
         for batch in batches:
-            for i, j in slices((batch["x"].map(len) + batch["y"].map(len)).tolist()):
+            for i, j in slices(batch[[s + columns[0] for s in "xy"]].map(len).sum(axis=1).tolist()):
                 part = batch.iloc[i:j]
-                ok = linked(part["x"].tolist(), part["y"].tolist(), num, den, orders)
-                yield part.loc[ok, ["a", "b"]]
+                yield part.loc[test(part), ["a", "b"]]
+
+    def side(key, letter):
+        return sides.select(F.col("doc").alias(key), *[F.col(c).alias(letter + c) for c in ["n", *columns]])
+
+    both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a")
+    return both.mapInPandas(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, orders: int) -> DataFrame:
+    """The linked ones of the pairs (a, b): all other orders' filters, then the whole sets."""
+    heads = [f"h{number}" for number in range(2, orders + 1)]
+
+    def orders_agree(part):
+        n, m = part["xn"].to_numpy(), part["yn"].to_numpy()
+        return np.logical_and.reduce([may_link(part["x" + h], part["y" + h], n, m, num, den) for h in heads])
 
-    both = (pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-            .join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a"))
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    if heads:
+        found = cut_lineage(order_heads(near(docs, pairs), width, orders))
+        pairs = cut_lineage(_filtered(pairs, found, heads, orders_agree))
+    sets = cut_lineage(whole_sets(near(docs, pairs), width))
+    return _filtered(pairs, sets, ["shingles"], lambda part: linked(part["xshingles"], part["yshingles"], num, den))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100,
@@ -187,15 +271,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     all_docs = cut_lineage(describe(docs, width, num, den, classes))
     reps = (all_docs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n")
             .agg(F.min(F.struct("doc_id", "prefix")).alias("r")))
-    posts = reps.select("n", F.col("r.doc_id").alias("doc"), F.posexplode("r.prefix").alias("at", "shingle"))
-    leaders = (posts.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("doc"), "doc", "n", "at")).alias("l"))
-        .filter("c > 1").select("shingle", F.col("l.doc").alias("doc2"), F.col("l.n").alias("n2"),
-                                F.col("l.at").alias("at2")))
-    posts = cut_lineage(posts.join(leaders, "shingle"))  # shingles of two classes at least
-    wanted = posts.select(F.col("doc").alias("doc_id")).distinct()
-    sets = cut_lineage(whole_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width)
-                       .dropDuplicates(["doc"]))
+    posts = cut_lineage(postings(reps.select("n", F.col("r.doc_id").alias("doc"), "r.prefix")))
+    leaders = posts.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("doc"), "doc", "n", "at")).alias("l")).select(
+        "shingle", F.col("l.doc").alias("doc2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2"))
     # sizes must fit, and what follows the first common shingle must suffice; a linked pair
     # passes at its first common shingle, whatever its other rows do
     fit = (f"least(n, n2) * {den} >= greatest(n, n2) * {num} AND "
@@ -203,10 +281,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
     def check(rows):
         pairs = rows.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-        return cut_lineage(verify(pairs, sets, num, den, orders))
+        return cut_lineage(verify(cut_lineage(pairs), docs, width, num, den, orders))
 
-    links = check(posts.filter(f"doc <> doc2 AND {fit}"))
-    posts = posts.drop("doc2", "n2", "at2")
+    links = check(posts.join(leaders, "shingle").filter(f"doc <> doc2 AND {fit}"))
     labels = components(links)
     for last in [False] * (STARS - 1) + [True]:
         told = cut_lineage(posts.join(labels.withColumnRenamed("node", "doc"), "doc", "left")

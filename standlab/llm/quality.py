@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.llm.registry import register
 from standlab.llm.tables import table
-from standlab.llm.words import Words, mix, slices, utf8
+from standlab.llm.words import Words, mix, slices, text_sizes, utf8
 from standlab.session import cut_lineage
 
 BUCKETS = 1 << 14
@@ -51,9 +51,8 @@ def features(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(batch):
-    data = utf8(batch["text"])
-    for a, b in slices([len(t) for t in data]):
-        yield batch.iloc[a:b], data[a:b]
+    for a, b in slices(text_sizes(batch["text"])):
+        yield batch.iloc[a:b], utf8(batch["text"].iloc[a:b])
 
 
 def bucket_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:

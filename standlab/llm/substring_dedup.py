@@ -24,76 +24,30 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from standlab.llm.packed import PLACES, dealt, part_of, read_places
 from standlab.llm.registry import register
 from standlab.llm.tables import table
-from standlab.llm.words import Words, gram_hashes, slices, utf8
+from standlab.llm.words import Words, by_text, gram_hashes, utf8
 
 GROUPS = 4  # text groups for each shuffle partition
 
 
-def _pack(values: np.ndarray, kind) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def _places(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Sorted (text, word) places as text ids, places for each id and steps between places."""
-    new = np.flatnonzero(np.diff(doc, prepend=-1))
-    counts = np.diff(np.append(new, len(doc)))
-    steps = np.diff(pos, prepend=0)
-    steps[new] = pos[new]
-    return _pack(ids[doc[new]], np.int64), _pack(counts, np.uint32), _pack(steps, np.uint32)
-
-
-def _read_places(ids: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids, counts = _unpack(ids, np.int64), _unpack(counts, np.uint32).astype(np.int64)
-    total = np.cumsum(_unpack(steps, np.uint32).astype(np.int64))
-    first = np.cumsum(counts) - counts
-    before = np.where(first > 0, total[first - 1], 0)
-    return np.repeat(ids, counts), total - np.repeat(before, counts)
-
-
-def _dealt(part: np.ndarray, doc, pos, ids, columns: dict[str, np.ndarray]):
-    """One row for each value of ``part``: its places and the columns' values."""
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-    for a, b in zip(edges[:-1], edges[1:]):
-        at = order[a:b]
-        i, c, s = _places(doc[at], pos[at], ids)
-        yield {"part": int(part[at[0]]), "ids": i, "counts": c, "steps": s,
-               **{k: v[at].tobytes() for k, v in columns.items()}}
-
-
-def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-_PLACES = "part int, ids binary, counts binary, steps binary"
-
-
 def _probes(keyed: DataFrame, window: int, block: int, parts: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            data = utf8(batch["text"])
-            for a, b in slices([len(t) for t in data]):
-                words = Words(data[a:b])
-                doc = words.doc()
-                pos = np.arange(len(doc)) - words.first[doc]
-                at = np.flatnonzero(words.whole(block) & (words.counts >= window)[doc])
-                if not len(at):
-                    continue
-                hashes = words.grams(block)[at]
-                key = hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE) | (pos[at] % block == 0)
-                yield pd.DataFrame(_dealt(_part(hashes, parts), doc[at], pos[at],
-                                          batch["id"].to_numpy()[a:b], {"hashes": key.astype(np.uint32)}))
-
-    return keyed.select("id", "text").mapInPandas(run, _PLACES + ", hashes binary")
+        for rows, words in by_text(batches):
+            doc = words.doc()
+            pos = np.arange(len(doc)) - words.first[doc]
+            at = np.flatnonzero(words.whole(block) & (words.counts >= window)[doc])
+            if not len(at):
+                continue
+            hashes = words.grams(block)[at]
+            key = hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE) | (pos[at] % block == 0)
+            yield pd.DataFrame(dealt(part_of(hashes, parts), doc[at], pos[at], rows["id"].to_numpy(),
+                                     {"hashes": key.astype(np.uint32)}))
+
+    return keyed.select("id", "text").mapInPandas(run, PLACES + ", hashes binary")
 
 
 def _hits(packed: DataFrame, parts: int, groups: int, width: int, anchored: bool) -> DataFrame:
@@ -120,7 +74,7 @@ def _hits(packed: DataFrame, parts: int, groups: int, width: int, anchored: bool
         for a in range(0, len(rows), 256):  # answers of many rows together, to send few
             ids, pos = [], []
             for r in rows[a:a + 256]:
-                i, p = _read_places(r.ids, r.counts, r.steps)
+                i, p = read_places(r.ids, r.counts, r.steps)
                 mine = hit[at:at + len(i)]
                 at += len(i)
                 ids.append(i[mine]), pos.append(p[mine])
@@ -128,17 +82,16 @@ def _hits(packed: DataFrame, parts: int, groups: int, width: int, anchored: bool
             if len(ids):
                 order = np.lexsort((pos, ids))
                 known, doc = np.unique(ids[order], return_inverse=True)
-                yield pd.DataFrame(_dealt((ids[order] % groups), doc, pos[order], known, {}))
+                yield pd.DataFrame(dealt((ids[order] % groups), doc, pos[order], known, {}))
 
-    dealt = packed.repartitionById(parts, F.col("part"))
-    return dealt.mapInPandas(run, _PLACES)
+    return packed.repartitionById(parts, F.col("part")).mapInPandas(run, PLACES)
 
 
 def _by_id(hits: pd.DataFrame) -> dict[int, np.ndarray]:
     """Places of a text group's texts."""
     if not len(hits):
         return {}
-    ids, pos = (np.concatenate(x) for x in zip(*[_read_places(r.ids, r.counts, r.steps)
+    ids, pos = (np.concatenate(x) for x in zip(*[read_places(r.ids, r.counts, r.steps)
                                                  for r in hits.itertuples(index=False)]))
     order = np.lexsort((pos, ids))
     known, first = np.unique(ids[order], return_index=True)
@@ -150,11 +103,9 @@ def _windows(keyed: DataFrame, hits: DataFrame, window: int, block: int, parts:
     def run(texts, hits):
         places = _by_id(hits)
         texts = texts[texts["id"].isin(places.keys())]
-        data = utf8(texts["text"])
         rows = []
-        for a, b in slices([len(t) for t in data]):
-            words = Words(data[a:b], seeds=(1, 2))
-            ids = texts["id"].to_numpy()[a:b]
+        for group, words in by_text([texts], seeds=(1, 2)):
+            ids = group["id"].to_numpy()
             cover = np.zeros(len(words.starts) + 1, np.int64)
             for k, i in enumerate(ids.tolist()):
                 at = places[i]
@@ -165,12 +116,12 @@ def _windows(keyed: DataFrame, hits: DataFrame, window: int, block: int, parts:
             if len(at):
                 doc = words.doc()[at]
                 x, y = (gram_hashes(h, window)[at] for h in words.hashes)
-                rows += _dealt(_part(x, parts), doc, at - words.first[doc], ids,
+                rows += dealt(part_of(x, parts), doc, at - words.first[doc], ids,
                                {"hashes": np.stack([x, y], axis=1)})
         return pd.DataFrame(rows, columns=["part", "ids", "counts", "steps", "hashes"])
 
     return (keyed.groupBy("part").cogroup(hits.groupBy("part"))
-            .applyInPandas(run, _PLACES + ", hashes binary"))
+            .applyInPandas(run, PLACES + ", hashes binary"))
 
 
 def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:

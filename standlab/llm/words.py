@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 4 << 20  # bytes hashed at once, which bounds the working arrays
+PIECE = 1 << 20  # bytes hashed at once, which bounds the working arrays
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,6 +43,10 @@ def utf8(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
+def text_sizes(texts) -> list[int]:
+    return [0 if t is None else len(t) for t in texts]
+
+
 def slices(sizes: list[int], most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes add up to about ``most``; a larger row is a run of its own."""
     start = total = 0
@@ -118,9 +122,9 @@ def _hash_piece(data: np.ndarray, seeds) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.array(out), starts, ends
 
 
-def by_text(batches, lower: bool = False, seeds: tuple[int, ...] = (1,), column: str = "text"):
-    """For each batch of a mapInPandas, runs of its rows with their words."""
+def by_text(batches, lower: bool = False, seeds: tuple[int, ...] = (1,)):
+    """For each batch of a mapInPandas, runs of its rows with the words of their ``text``."""
     for batch in batches:
-        data = utf8(batch[column])
-        for a, b in slices([len(t) for t in data]):
-            yield batch.iloc[a:b], Words(data[a:b], lower, seeds)
+        for a, b in slices(text_sizes(batch["text"])):
+            rows = batch.iloc[a:b]
+            yield rows, Words(utf8(rows["text"]), lower, seeds)
