@@ -26,11 +26,10 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from standlab.llm.registry import register
 from standlab.llm.tables import table
-from standlab.llm.words import slices
 
 KEPT = 1 << 18  # pre-tokens remembered by a task; beyond it the memory starts anew
 PAIRS = 1 << 20
@@ -229,38 +228,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
-                  digest: bool = False) -> DataFrame:
-    """``key`` with the ids of each text and the text decoded from them, or digests of both.
+def coder(spark, path: str, digest: bool = False):
+    """A column function of texts: struct of n_tokens, ids and the text decoded from them.
 
+    With ``digest``, ids_sha256 and decoded_sha256 (of decimal ids joined by one space, and of the
+    decoded text) stand for the last two.  A null text is empty: no ids and an empty decoded text.
     The vocabulary file is read once by the driver and broadcast; its size is the tokenizer's.
-    A null text is empty: no ids, an empty decoded text.  Rows come back as often as they came,
-    with null keys too.  The work is one pass without a shuffle.
+    One pass, no shuffle; rows and all other columns stay as they are.
     """
-    config = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
-
-    def run(batches):
-        coder = encoder(config.value)
-        for batch in batches:
-            texts = batch["text"]
-            for a, b in slices([len(t) if t is not None else 0 for t in texts]):
-                ids = [coder.encode(t) for t in texts.iloc[a:b]]
-                decoded = [coder.decode(i) for i in ids]
-                out = {"key": batch["key"].iloc[a:b].to_numpy(), "n_tokens": [len(i) for i in ids]}
-                if digest:
-                    out["ids_sha256"] = [hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in ids]
-                    out["decoded_sha256"] = [hashlib.sha256(d).hexdigest() for d in decoded]
-                else:
-                    out["ids"] = ids
-                    out["decoded"] = [d.decode() for d in decoded]
-                yield pd.DataFrame(out)
-
-    kind = docs.schema[key].dataType.simpleString()
-    rest = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return (docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text")
-            .mapInPandas(run, f"key {kind}, n_tokens long, {rest}").withColumnRenamed("key", key))
+    with open(path, encoding="utf-8") as file:
+        config = spark.sparkContext.broadcast(file.read())
+    kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
+
+    @F.pandas_udf(f"n_tokens long, {kind}")
+    def encoded(texts: pd.Series) -> pd.DataFrame:
+        own = encoder(config.value)
+        rows = []
+        for text in texts:
+            ids = own.encode(text)
+            decoded = own.decode(ids)
+            rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                         hashlib.sha256(decoded).hexdigest()) if digest else (len(ids), ids, decoded.decode()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in f"n_tokens long, {kind}".split(", ")])
+
+    return encoded
 
 
 @register("op10_bpe")
 def op10_bpe(spark, sf_dir):
-    return encode_column(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", coder(spark, tokenizer_path(), digest=True)("text").alias("e")).select("doc_id", "e.*")

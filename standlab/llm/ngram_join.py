@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.llm.packed import PLACES, dealt, part_of, read_places
 from standlab.llm.registry import register
-from standlab.llm.tables import components, table
+from standlab.llm.tables import components, near_ids, table, without_ids
 from standlab.llm.words import Words, by_text, mix, slices
 from standlab.session import cut_lineage
 
@@ -39,7 +39,6 @@ CELLS = 1 << 18  # cells of the rarity count: 2 MB, at every size of corpus
 BLOCK = 1 << 12
 STARS = 2  # star rounds before the last one
 HEAD = 20  # percent of a set that an order's filter sees
-SLOTS = 1 << 20  # hashed ids that are broadcast at most
 
 
 def _sets(words: Words, width: int):
@@ -153,13 +152,8 @@ def postings(reps: DataFrame) -> DataFrame:
 
 
 def near(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents of the pairs, and few others: a semi-join by SLOTS hashed ids, which bounds
-    what is broadcast and spares the texts a shuffle."""
-    def slot(column):
-        return F.pmod(F.xxhash64(column), F.lit(SLOTS))
-
-    slots = pairs.select(F.explode(F.array(slot("a"), slot("b"))).alias("slot")).distinct()
-    return docs.join(F.broadcast(slots), slot("doc_id") == F.col("slot"), "left_semi")
+    """The documents of the pairs, and few others."""
+    return near_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
 
 def _per_document(docs: DataFrame, width: int, columns: str, make) -> DataFrame:
@@ -321,9 +315,9 @@ def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     Documents without words and documents without doc_id stay; of rows that share a doc_id and
     are kept, all stay.
     """
-    drop = (jaccard_components(docs, width, num, den).filter("component_id <> doc_id")
-            .select("doc_id").distinct())
-    return docs.join(drop, "doc_id", "left_anti")
+    found = cut_lineage(jaccard_components(docs, width, num, den).filter("component_id <> doc_id")
+                        .select("doc_id").distinct())
+    return without_ids(docs, found)
 
 
 @register("op1_ngram_join", sql=r"""

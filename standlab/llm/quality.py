@@ -93,21 +93,19 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
 
 
-def importance(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` (row_key, text, good) with log_ratio in place of text; 0 for a text without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def importance(spark, weights: np.ndarray):
+    """A column function of texts: the log ratio; 0 for a null text or one without words."""
+    shared = spark.sparkContext.broadcast(weights)
 
-    def run(batches):
-        table_ = shared.value
-        for batch in batches:
-            for rows, data in _runs(batch):
-                doc, bucket = features(data, len(table_))
-                score = np.bincount(doc, weights=table_[bucket], minlength=len(rows))
-                yield rows.drop(columns="text").assign(log_ratio=score)
+    @F.pandas_udf("double")
+    def log_ratio(texts: pd.Series) -> pd.Series:
+        table_, out = shared.value, []
+        for a, b in slices(text_sizes(texts)):
+            doc, bucket = features(utf8(texts.iloc[a:b]), len(table_))
+            out.append(np.bincount(doc, weights=table_[bucket], minlength=b - a))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    keep = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", log_ratio double"
-    return docs.mapInPandas(run, schema)
+    return log_ratio
 
 
 def best_cut(scored: DataFrame) -> float:
@@ -129,31 +127,44 @@ def best_cut(scored: DataFrame) -> float:
     return float(bins[int(np.argmax(rejected - lost))]["low"])
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17,
-             buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, log_ratio, gumbel_key and selected for every row of ``docs`` (doc_id, text).
+def gumbel_key(log_ratio, doc_id, seed: int):
+    """The log ratio plus Gumbel noise that depends on the id only."""
+    uniform = (F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return log_ratio - F.log(-F.log(uniform))
 
-    ``labels`` has doc_id and quality (1 good, 0 bad); other values, and a doc_id with both, are no
-    label.  A null or blank text has log_ratio 0 and is judged like any other.  Rows with the same
-    doc_id and text get the same key; ties at the k-th key are all selected.  Without labels
-    of both kinds all rows are selected, unless ``share`` names the part to keep.
-    """
+
+def fit(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17,
+        buckets: int = BUCKETS):
+    """Log ratios of the buckets, and the k-th highest key over all texts."""
     marks = (labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
              .agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
-             .select(F.col("doc_id").alias("label_id"), (F.col("low") == 1).alias("good")))
-    known = (docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("label_id"), "left")
-             .select("doc_id", "text", "good"))
-    target, raw = bucket_counts(known.select("text", "good"), buckets)
-    scored = importance(known.withColumn("salt", F.xxhash64("doc_id", F.lit(seed))), log_ratios(target, raw))
-    uniform = (F.pmod("salt", F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = cut_lineage(scored.withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform))).drop("salt"))
+             .select("doc_id", (F.col("low") == 1).alias("good")))
+    known = docs.select("doc_id", "text").join(marks, "doc_id", "left")
+    weights = log_ratios(*bucket_counts(known.select("text", "good"), buckets))
+    scored = docs.select("doc_id", importance(docs.sparkSession, weights)("text").alias("log_ratio"))
+    scored = cut_lineage(scored.withColumn("gumbel_key", gumbel_key(F.col("log_ratio"), "doc_id", seed)))
     if share is None:
-        cut = best_cut(scored)
+        cut = best_cut(scored.join(marks, "doc_id"))
         k = scored.filter(F.col("log_ratio") >= cut).count()
     else:
         k = round(share * scored.count())
-    least = kth_highest(scored, k)
-    return scored.select("doc_id", "log_ratio", "gumbel_key", (F.col("gumbel_key") >= least).alias("selected"))
+    return weights, kth_highest(scored, k)
+
+
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17,
+             buckets: int = BUCKETS) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text and any others) with log_ratio, gumbel_key and selected.
+
+    ``labels`` has doc_id and quality (1 good, 0 bad); other values, and a doc_id with both, are no
+    label.  A null or blank text has log_ratio 0 and is judged like any other.  Rows with the same
+    doc_id and text get the same key; ties at the k-th key are all selected.  Without labels
+    of both kinds all rows are selected, unless ``share`` names the part to keep.  Columns of
+    ``docs`` with the three new names are replaced.
+    """
+    weights, least = fit(docs, labels, share, seed, buckets)
+    docs = docs.withColumn("log_ratio", importance(docs.sparkSession, weights)("text"))
+    docs = docs.withColumn("gumbel_key", gumbel_key(F.col("log_ratio"), "doc_id", seed))
+    return docs.withColumn("selected", F.col("gumbel_key") >= least)
 
 
 def kth_highest(scored: DataFrame, k: int) -> float:
@@ -182,4 +193,5 @@ def kth_highest(scored: DataFrame, k: int) -> float:
 
 @register("op7_quality_resampling")
 def op7_quality_resampling(spark, sf_dir):
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "labels")).drop("text")

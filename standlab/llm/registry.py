@@ -7,7 +7,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-_OPERATORS = ["ngram_join", "substring_dedup", "bpe"]
+_OPERATORS = ["ngram_join", "quality", "substring_dedup", "decontaminate", "bpe"]
 
 
 def register(name: str, sql: str | None = None):

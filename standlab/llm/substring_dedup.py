@@ -24,7 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from standlab.llm.packed import PLACES, dealt, part_of, read_places
 from standlab.llm.registry import register
@@ -129,7 +129,7 @@ def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame
     block = (window + 1) // 2
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = parts * GROUPS
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("id"))
+    keyed = docs.withColumn("id", F.xxhash64("doc_id", "text"))
     keyed = keyed.select("*", F.pmod("id", F.lit(groups)).cast("int").alias("part"))
     anchors = _hits(_probes(keyed, window, block, parts), parts, groups, 1, anchored=True)
     windows = _windows(keyed, anchors, window, block, parts)
@@ -137,15 +137,23 @@ def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept text of every row of ``docs`` (doc_id, text).
+    """Every row of ``docs`` (doc_id, text and any others) without its repeated windows.
 
-    With ``digest``, kept_sha256 of the kept words joined by one space stands for the text; else
-    ``text`` is the input without the removed runs, each run and the white space around it giving
-    one space, and ``spans`` the removed runs as [first word, behind the last word].
+    With ``digest``: doc_id, n_words, n_removed and kept_sha256 of the kept words joined by one
+    space.  Else the columns of ``docs``, with ``text`` the input without the removed runs (each
+    run and the white space around it gives one space), then n_words, n_removed and ``spans``, the
+    removed runs as [first word, behind the last word]; columns of these names are replaced.
     A null text has no words and stays null.  Texts shorter than a window lose nothing.  Rows may
     repeat, share a doc_id or have none: a row counts as a place of its own.
     """
-    keyed, repeats = repeated_windows(docs, window)
+    rest = [] if digest else [f for f in docs.schema.fields
+                              if f.name not in ("doc_id", "text", "n_words", "n_removed", "spans")]
+    # whole numbers travel as text: a null beside them would make them floats in pandas
+    exact = {f.name: isinstance(f.dataType, T.IntegralType) for f in rest}
+    plain = docs.select(F.col("doc_id").cast("string"), "text", *[
+        F.col(f"`{f.name}`").cast("string" if exact[f.name] else f.dataType).alias(f"c{i}")
+        for i, f in enumerate(rest)])
+    keyed, repeats = repeated_windows(plain, window)
 
     def run(texts, hits):
         places = _by_id(hits)
@@ -158,19 +166,28 @@ def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> D
                 gone[at] += 1
                 np.add.at(gone, at + window, -1)
             keep = np.cumsum(gone)[:-1] == 0
-            record = {"doc_id": row.doc_id, "n_words": len(words), "n_removed": int((~keep).sum())}
+            record = [len(words), int((~keep).sum())]
             if digest:
-                record["kept_sha256"] = hashlib.sha256(b" ".join(compress(words, keep))).hexdigest()
+                record.append(hashlib.sha256(b" ".join(compress(words, keep))).hexdigest())
             else:
-                edge = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=1, append=1))
-                record["spans"] = edge.reshape(-1, 2).tolist()
-                record["text"] = _cut(row.text, edge.reshape(-1, 2))
+                edge = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=1, append=1)).reshape(-1, 2)
+                record += [edge.tolist(), _cut(row.text, edge)]
             out.append(record)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        new = ["n_words", "n_removed"] + (["kept_sha256"] if digest else ["spans", "text"])
+        kept = texts[["doc_id", *[f"c{i}" for i in range(len(rest))]]].reset_index(drop=True)
+        return kept.join(pd.DataFrame(out, columns=new))
 
-    schema = "doc_id long, n_words long, n_removed long, " + (
+    schema = "doc_id string" + "".join(
+        f", c{i} {'string' if exact[f.name] else f.dataType.simpleString()}" for i, f in enumerate(rest))
+    schema += ", n_words long, n_removed long, " + (
         "kept_sha256 string" if digest else "spans array<array<long>>, text string")
-    return keyed.groupBy("part").cogroup(repeats.groupBy("part")).applyInPandas(run, schema)
+    found = keyed.groupBy("part").cogroup(repeats.groupBy("part")).applyInPandas(run, schema)
+    doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
+    if digest:
+        return found.withColumn("doc_id", doc_id)
+    named = {f.name: F.col(f"c{i}").cast(f.dataType) for i, f in enumerate(rest)} | {
+        "doc_id": doc_id, "text": F.col("text")}
+    return found.select(*[named[c].alias(c) for c in docs.columns if c in named], "n_words", "n_removed", "spans")
 
 
 def _cut(text: str | None, spans: np.ndarray) -> str | None:

@@ -11,6 +11,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SLOTS = 1 << 20  # hashed ids that are broadcast at most
+
+
+def _slot(column):
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS))
+
+
+def near_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of the ids, and a few others: a semi-join by SLOTS hashed
+    ids, which bounds what is broadcast and spares the texts a shuffle."""
+    slots = ids.select(_slot("doc_id").alias("_slot")).distinct()
+    return docs.join(F.broadcast(slots), _slot("doc_id") == F.col("_slot"), "left_semi")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with none of the ids; a row without doc_id stays.
+
+    Rows whose hashed id is free of them pass by; only the others are shuffled for the exact test.
+    """
+    slots = ids.select(_slot("doc_id").alias("_slot")).distinct()
+    clear = docs.join(F.broadcast(slots), _slot("doc_id") == F.col("_slot"), "left_anti")
+    return clear.unionByName(near_ids(docs, ids).join(ids, "doc_id", "left_anti").select(docs.columns))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable over links (a, b), for every node that is not the smallest itself.
 
