@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from standlab.llm import bpe, decontaminate, ngram_join, quality, substring_dedup
-from standlab.llm.tables import table
+from standlab.llm.tables import ready, table
 from standlab.session import scratch_path
 
 
@@ -17,11 +17,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    ready(spark)
     return ngram_join.one_per_component(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 35 words and more that occur elsewhere; no document goes."""
+    ready(spark)
     cut = substring_dedup.remove_repeats(docs)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(
         F.col("n_chars"))).select(docs.columns)
@@ -34,6 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
+    ready(spark)
     coded = docs.withColumn("_coded", bpe.coder(spark, bpe.tokenizer_path())("text"))
     return coded.select("doc_id", "lang", "source", "_coded.n_tokens", "_coded.ids", "_coded.decoded")
 

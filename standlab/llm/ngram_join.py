@@ -29,14 +29,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from standlab.llm.packed import PLACES, dealt, part_of, read_places
+from standlab.llm.packed import PLACES, dealt, pack, part_of, read_places, unpack
 from standlab.llm.registry import register
 from standlab.llm.tables import components, near_ids, table, without_ids
 from standlab.llm.words import Words, by_text, mix, slices
 from standlab.session import cut_lineage
 
-CELLS = 1 << 18  # cells of the rarity count: 2 MB, at every size of corpus
-BLOCK = 1 << 12
+CELL_BITS = 22  # cells of the rarity count: 4 MB of classes, at every size of corpus
+CELLS, BLOCK = 1 << CELL_BITS, 1 << 16
 STARS = 2  # star rounds before the last one
 HEAD = 20  # percent of a set that an order's filter sees
 
@@ -61,30 +61,35 @@ def _sets(words: Words, width: int):
 def rarity(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles of all documents counted in CELLS cells by hash; tasks send their cells only."""
     def count(batches):
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint32)
         for _, words in by_text(batches, lower=True):
-            _, shingles = _sets(words, width)
-            cells += np.bincount((shingles >> np.uint64(46)).astype(np.int64), minlength=CELLS)
-        if cells.any():
-            yield pd.DataFrame({"block": range(CELLS // BLOCK), "cells": [
-                cells[i:i + BLOCK].tobytes() for i in range(0, CELLS, BLOCK)]})
+            cell, n = np.unique(_cell(_sets(words, width)[1]), return_counts=True)
+            cells[cell] += n.astype(np.uint32)
+        for i in range(0, CELLS, BLOCK):
+            part = cells[i:i + BLOCK]
+            if part.any():
+                yield pd.DataFrame({"block": [i // BLOCK], "cells": [pack(part, np.uint32)]})
 
     def add(key, parts):
         total = np.zeros(BLOCK, np.int64)
         for part in parts:
             for cells in part["cells"]:
-                total += np.frombuffer(cells, np.int64)
-        yield pd.DataFrame({"block": [key[0]], "cells": [total.tobytes()]})
+                total += unpack(cells, np.uint32)
+        yield pd.DataFrame({"block": [key[0]], "cells": [pack(total, np.int64)]})
 
     add.__annotations__ = {"key": tuple, "parts": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     rows = (docs.select("text").mapInPandas(count, "block int, cells binary")
             .groupBy("block").applyInPandas(add, "block int, cells binary").collect())
     total = np.zeros(CELLS, np.int64)
     for r in rows:
-        total[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(r["cells"], np.int64)
+        total[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = unpack(r["cells"], np.int64)
     return total
 
 
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def rarity_class(cells: np.ndarray) -> np.ndarray:
     """0 for cells about the mean, then one class for each doubling above it."""
     usual = max(1.0, float(np.mean(cells)))
@@ -106,7 +111,7 @@ def describe(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFr
             s1, s2 = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
             np.add.at(s1, doc, mix(shingles))
             np.add.at(s2, doc, mix(shingles ^ np.uint64(0xC0FFEE123457)))
-            kind = kinds[(shingles >> np.uint64(46)).astype(np.int64)]
+            kind = kinds[_cell(shingles)]
             order = np.lexsort((_order(shingles, 1), kind, doc))
             at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
             head = n - -(-n * num // den) + 1
@@ -123,7 +128,7 @@ def postings(reps: DataFrame) -> DataFrame:
     """shingle, doc, n, at (the shingle's place in the prefix) of shingles in two prefixes at least."""
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pack(batches):
+    def deal(batches):
         for batch in batches:
             size = batch["prefix"].map(len).to_numpy()
             for a, b in slices((8 * size).tolist()):
@@ -133,7 +138,7 @@ def postings(reps: DataFrame) -> DataFrame:
                 yield pd.DataFrame(dealt(part_of(shingles, parts), doc, at, batch["doc"].to_numpy()[a:b], {
                     "shingles": shingles, "sizes": batch["n"].to_numpy()[a:b][doc].astype(np.int64)}))
 
-    def unpack(batches):
+    def meet(batches):
         rows = [r for batch in batches for r in batch.itertuples(index=False)]
         if rows:
             shingles = np.concatenate([np.frombuffer(r.shingles, np.int64) for r in rows])
@@ -146,9 +151,9 @@ def postings(reps: DataFrame) -> DataFrame:
                                     "n": np.frombuffer(r.sizes, np.int64)[mine], "at": place[mine]})
                 at += len(doc)
 
-    packed = reps.mapInPandas(pack, PLACES + ", shingles binary, sizes binary")
+    packed = reps.mapInPandas(deal, PLACES + ", shingles binary, sizes binary")
     return (packed.repartitionById(parts, F.col("part"))
-            .mapInPandas(unpack, "shingle long, doc long, n long, at long"))
+            .mapInPandas(meet, "shingle long, doc long, n long, at long"))
 
 
 def near(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -165,7 +170,7 @@ def _per_document(docs: DataFrame, width: int, columns: str, make) -> DataFrame:
                 k: [x.tobytes() for x in np.split(v, np.cumsum(c)[:-1])]
                 for k, (v, c) in make(doc, shingles, n).items()})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc long, n long, {columns}").dropDuplicates(["doc"])
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc long, n long, {columns}")
 
 
 def order_heads(docs: DataFrame, width: int, orders: int) -> DataFrame:
@@ -249,7 +254,8 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, or
         found = cut_lineage(order_heads(near(docs, pairs), width, orders))
         pairs = cut_lineage(_filtered(pairs, found, heads, orders_agree))
     sets = cut_lineage(whole_sets(near(docs, pairs), width))
-    return _filtered(pairs, sets, ["shingles"], lambda part: linked(part["xshingles"], part["yshingles"], num, den))
+    return _filtered(pairs, sets, ["shingles"],
+                     lambda part: linked(part["xshingles"], part["yshingles"], num, den)).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100,

@@ -8,11 +8,11 @@ import zstandard
 PLACES = "part int, ids binary, counts binary, steps binary"
 
 
-def _pack(values: np.ndarray, kind) -> bytes:
+def pack(values: np.ndarray, kind) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
 
 
-def _unpack(data: bytes, kind) -> np.ndarray:
+def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
@@ -22,12 +22,12 @@ def places(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[bytes, by
     counts = np.diff(np.append(new, len(doc)))
     steps = np.diff(pos, prepend=0)
     steps[new] = pos[new]
-    return _pack(ids[doc[new]], np.int64), _pack(counts, np.uint32), _pack(steps, np.uint32)
+    return pack(ids[doc[new]], np.int64), pack(counts, np.uint32), pack(steps, np.uint32)
 
 
 def read_places(ids: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids, counts = _unpack(ids, np.int64), _unpack(counts, np.uint32).astype(np.int64)
-    total = np.cumsum(_unpack(steps, np.uint32).astype(np.int64))
+    ids, counts = unpack(ids, np.int64), unpack(counts, np.uint32).astype(np.int64)
+    total = np.cumsum(unpack(steps, np.uint32).astype(np.int64))
     first = np.cumsum(counts) - counts
     before = np.where(first > 0, total[first - 1], 0)
     return np.repeat(ids, counts), total - np.repeat(before, counts)

@@ -7,7 +7,7 @@ probabilities.  Selection is Gumbel top-k: the log ratio plus Gumbel noise of th
 replacement in proportion to their importance.
 
 k is set by the labels: the number of texts whose log ratio reaches the cut that best separates
-labelled good from labelled bad texts (half their sum of shares), unless a share is given.
+labelled good from labelled bad texts, unless a share is given.
 Counts cover all texts; a task sends one vector of ``buckets`` counts, whatever its input.
 """
 
@@ -108,8 +108,9 @@ def importance(spark, weights: np.ndarray):
     return log_ratio
 
 
-def best_cut(scored: DataFrame) -> float:
-    """The log ratio that best separates labelled good texts from bad ones, each class in shares.
+def best_cut(scored: DataFrame, care: float = 5) -> float:
+    """The log ratio that best separates labelled good texts from bad ones, each class in shares;
+    a good text lost weighs ``care`` times a bad one rejected.
 
     Found on labelled texts in equal bins of the squashed ratio, so only bin counts are collected.
     Without labels of both kinds it is minus infinity: nothing is rejected.
@@ -124,7 +125,7 @@ def best_cut(scored: DataFrame) -> float:
         return -np.inf
     lost = np.concatenate([[0], np.cumsum(good)[:-1]]) / good.sum()
     rejected = np.concatenate([[0], np.cumsum(bad)[:-1]]) / bad.sum()
-    return float(bins[int(np.argmax(rejected - lost))]["low"])
+    return float(bins[int(np.argmax(rejected - care * lost))]["low"])
 
 
 def gumbel_key(log_ratio, doc_id, seed: int):

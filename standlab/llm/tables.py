@@ -7,8 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from standlab.session import cut_lineage, prepare
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Batches sent to Python hold some megabytes, however long their texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return prepare(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 SLOTS = 1 << 20  # hashed ids that are broadcast at most
