@@ -7,7 +7,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-_OPERATORS = ["ngram_join", "language", "topk", "url_filter", "quality", "substring_dedup", "decontaminate", "bpe"]
+_OPERATORS = ["ngram_join", "language", "topk", "warc", "url_filter", "wrappers", "quality", "substring_dedup", "decontaminate", "bpe"]
 
 
 def register(name: str, sql: str | None = None):

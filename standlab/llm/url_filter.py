@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.llm.registry import register
 from standlab.llm.tables import table
+from standlab.session import cut_lineage
 
 # fixed values: host, path and verdict of the rules
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
@@ -65,17 +66,19 @@ def reputation(counts: DataFrame) -> DataFrame:
         "suffix", F.substring_index("domain", ".", -1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    overall = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("p"))
+    total = suffixes.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
+    overall = suffixes.select("suffix", F.lit(((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)).alias("p"))
 
     def shrunk(children, parents, key):
-        joined = children.join(parents, key) if key else children.crossJoin(parents)  # parents is one row
-        return joined.crossJoin(_concentration(joined)).withColumn("a", F.col("k") + F.col("m") * F.col("p")).withColumn(
-            "b", F.col("n") - F.col("k") + F.col("m") * (1 - F.col("p")))
+        joined = children.join(parents, key)
+        m = _concentration(joined).first()["m"]
+        return joined.withColumn("a", F.col("k") + m * F.col("p")).withColumn(
+            "b", F.col("n") - F.col("k") + m * (1 - F.col("p")))
 
     def mean(level, key):
         return level.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias("p"))
 
-    by_suffix = shrunk(suffixes, overall, None)
+    by_suffix = shrunk(suffixes, overall, "suffix")
     by_domain = shrunk(domains, mean(by_suffix, "suffix"), "suffix")
     return shrunk(hosts.drop("suffix"), mean(by_domain, "domain"), "domain").select("host", "a", "b")
 
@@ -96,7 +99,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, least: float = LEAST
     spark = pages.sparkSession
     # the expressions are cut in two projects so that each regular expression runs once a url
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    counts = (urls.join(outcomes(labels), F.col("page_id") == F.col("label_id"), "left").groupBy("host")
+    counts = cut_lineage(urls.join(outcomes(labels), F.col("page_id") == F.col("label_id"), "left").groupBy("host")
               .agg(F.coalesce(F.sum("good"), F.lit(0)).alias("k"), F.count("good").alias("n")))
     labels_of = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels_of)), lambda i: F.array_join(
