@@ -101,42 +101,36 @@ def _order(shingles: np.ndarray, number: int) -> np.ndarray:
     return mix(shingles ^ np.uint64(0xA5A5A5A5 * number))
 
 
-def describe(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFrame:
-    """doc_id, set size n, set signature (s1, s2) and the shingles of the first order's prefix."""
+def describe(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, set size n and set signature (s1, s2)."""
     def run(batches):
-        kinds = classes.value
         for rows, words in by_text(batches, lower=True):
             doc, shingles = _sets(words, width)
-            n = np.bincount(doc, minlength=len(rows))
             s1, s2 = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
             np.add.at(s1, doc, mix(shingles))
             np.add.at(s2, doc, mix(shingles ^ np.uint64(0xC0FFEE123457)))
-            kind = kinds[_cell(shingles)]
-            order = np.lexsort((_order(shingles, 1), kind, doc))
-            at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            head = n - -(-n * num // den) + 1
-            keep = at < np.repeat(head, n)
-            prefix = np.split(shingles[order][keep].view(np.int64), np.cumsum(np.minimum(head, n))[:-1])
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n": n, "s1": s1.view(np.int64),
-                                "s2": s2.view(np.int64), "prefix": prefix})
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n": np.bincount(doc, minlength=len(rows)),
+                                "s1": s1.view(np.int64), "s2": s2.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long")
 
 
-def postings(reps: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFrame:
     """shingle, doc, n, at (the shingle's place in the prefix) of shingles in two prefixes at least."""
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches):
-        for batch in batches:
-            size = batch["prefix"].map(len).to_numpy()
-            for a, b in slices((8 * size).tolist()):
-                doc = np.repeat(np.arange(b - a), size[a:b])
-                at = np.arange(len(doc)) - np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])
-                shingles = np.concatenate(batch["prefix"].iloc[a:b].tolist()).astype(np.int64).view(np.uint64)
-                yield pd.DataFrame(dealt(part_of(shingles, parts), doc, at, batch["doc"].to_numpy()[a:b], {
-                    "shingles": shingles, "sizes": batch["n"].to_numpy()[a:b][doc].astype(np.int64)}))
+        kinds = classes.value
+        for rows, words in by_text(batches, lower=True):
+            doc, shingles = _sets(words, width)
+            n = np.bincount(doc, minlength=len(rows))
+            order = np.lexsort((_order(shingles, 1), kinds[_cell(shingles)], doc))
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            keep = at < np.repeat(n - -(-n * num // den) + 1, n)
+            doc, at, shingles = doc[keep], at[keep], shingles[order][keep]
+            if len(doc):
+                yield pd.DataFrame(dealt(part_of(shingles, parts), doc, at, rows["doc_id"].to_numpy(np.int64), {
+                    "shingles": shingles, "sizes": n[doc].astype(np.int32)}))
 
     def meet(batches):
         rows = [r for batch in batches for r in batch.itertuples(index=False)]
@@ -148,10 +142,10 @@ def postings(reps: DataFrame) -> DataFrame:
                 doc, place = read_places(r.ids, r.counts, r.steps)
                 mine = keep[at:at + len(doc)]
                 yield pd.DataFrame({"shingle": shingles[at:at + len(doc)][mine], "doc": doc[mine],
-                                    "n": np.frombuffer(r.sizes, np.int64)[mine], "at": place[mine]})
+                                    "n": np.frombuffer(r.sizes, np.int32)[mine].astype(np.int64), "at": place[mine]})
                 at += len(doc)
 
-    packed = reps.mapInPandas(deal, PLACES + ", shingles binary, sizes binary")
+    packed = docs.select("doc_id", "text").mapInPandas(deal, PLACES + ", shingles binary, sizes binary")
     return (packed.repartitionById(parts, F.col("part"))
             .mapInPandas(meet, "shingle long, doc long, n long, at long"))
 
@@ -262,16 +256,21 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
                        orders: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of ``docs`` (doc_id, text).
 
-    class_id is the smallest doc_id with the same set.  A row with a null doc_id has a null
-    class and component; rows that repeat a doc_id and text come back as often as they came.
+    class_id is the smallest doc_id with the same set.  A row with a null doc_id is in
+    the class and component of documents with the same set, if there are any, else in none.  Rows that
+    repeat a doc_id have the same text and come back as often as they came.
     Further columns of ``docs`` are not used.
     """
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(rarity_class(rarity(docs, width)))
-    all_docs = cut_lineage(describe(docs, width, num, den, classes))
-    reps = (all_docs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n")
-            .agg(F.min(F.struct("doc_id", "prefix")).alias("r")))
-    posts = cut_lineage(postings(reps.select("n", F.col("r.doc_id").alias("doc"), "r.prefix")))
+    all_docs = cut_lineage(describe(docs, width))
+    ids = cut_lineage(all_docs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n")
+                      .agg(F.min("doc_id").alias("class_id")))
+    # documents that are not their class's first, told without moving the others' texts
+    copies = all_docs.filter("doc_id IS NOT NULL").join(
+        ids.select(F.col("class_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
+    firsts = without_ids(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), cut_lineage(copies))
+    posts = cut_lineage(postings(firsts, width, num, den, classes))
     leaders = posts.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("doc"), "doc", "n", "at")).alias("l")).select(
         "shingle", F.col("l.doc").alias("doc2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2"))
     # sizes must fit, and what follows the first common shingle must suffice; a linked pair
@@ -306,7 +305,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
         links = cut_lineage(links.union(check(found)).distinct())
         labels = components(links)
     named = labels.select(F.col("node").alias("class_id"), "component")
-    ids = all_docs.filter("doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"))
     ids = (ids.join(named, "class_id", "left")
            .select("s1", "s2", "n", "class_id", F.coalesce("component", "class_id").alias("component")))
     return (all_docs.select("doc_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left")

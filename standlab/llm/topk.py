@@ -110,7 +110,7 @@ def _pairs(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         q, v = np.array(left["v"].tolist(), float), np.array(right["v"].tolist(), float)
-        q, v = q.reshape(len(left), -1), v.reshape(len(right), -1)
+        q, v = (x.reshape(len(x), -1) if x.size else np.zeros((len(x), 0)) for x in (q, v))
         scores = pruned_products(q, v, left["least"].to_numpy(float))
         return pd.DataFrame(best(left["id"].to_numpy(), right["id"].to_numpy(), scores, k),
                             columns=["query_id", "vec_id", "score"])
