@@ -22,12 +22,14 @@ def _log_nb(y, mu, theta):
             + np.where(y > 0, y * (np.log(mu) - np.log(theta + mu)), 0.0))
 
 
-def zinb(df: DataFrame, y: str, count_terms: list[str], zero_terms: list[str], max_iter: int = 60,
-         tol: float = 1e-7) -> dict:
+def zinb(df: DataFrame, y: str, count_terms: list[str], zero_terms: list[str], max_iter: int = 500,
+         tol: float = 1e-8) -> dict:
     """Fit count mean (log link), dispersion and excess-zero probability (logit link).
 
     One pass per iteration sums both parts' Newton systems and the dispersion grid; the
-    driver holds only the coefficients.  Terms are standardised inside.
+    driver holds only the coefficients.  Terms are standardised inside.  The fit stops when no
+    standardised coefficient and no log dispersion moves by ``tol`` or more; a fit that has not
+    stopped after ``max_iter`` steps raises.
     """
     terms = list(dict.fromkeys([*count_terms, *zero_terms]))
     rows = df.dropna(subset=[y, *terms]).select(F.col(y).cast("double").alias("_y"),
@@ -43,7 +45,7 @@ def zinb(df: DataFrame, y: str, count_terms: list[str], zero_terms: list[str], m
     beta, gamma = np.zeros(p), np.zeros(q)
     beta[0] = math.log(max(s["y"] / max(1 - s["z"] / 2, 0.1), 1e-6))
     gamma[0] = math.log(max(s["z"] / 2, 1e-4) / (1 - max(s["z"] / 2, 1e-4)))
-    theta, width, previous = 1.0, 1.5, -np.inf
+    theta, width, loglik, converged = 1.0, 1.5, -np.inf, False
     size = p * p + p + q * q + q + 1 + 15
     rows = rows.persist()
     try:
@@ -73,16 +75,24 @@ def zinb(df: DataFrame, y: str, count_terms: list[str], zero_terms: list[str], m
             hc, gc = out[:a].reshape(p, p), out[a:b]
             hz, gz = out[b:b + q * q].reshape(q, q), out[b + q * q:b + q * q + q]
             loglik, disp = out[b + q * q + q], out[b + q * q + q + 1:]
-            if abs(loglik - previous) < tol * abs(loglik):
-                break
-            previous = loglik
-            beta = beta + np.clip(np.linalg.pinv(hc) @ gc, -2, 2)
-            gamma = gamma + np.clip(np.linalg.pinv(hz) @ gz, -2, 2)
+            to_beta, to_gamma = np.clip(np.linalg.pinv(hc) @ gc, -2, 2), np.clip(np.linalg.pinv(hz) @ gz, -2, 2)
             best = int(np.argmax(disp))
-            theta = float(grid[best])
-            width = max(width / 2, 0.01) if 0 < best < 14 else width
+            old, theta = theta, float(grid[best])
+            if 0 < best < 14:  # the top of the parabola through the best three, then a finer grid
+                y0, y1, y2 = disp[best - 1:best + 2]
+                bend = y0 - 2 * y1 + y2
+                if bend < 0:
+                    theta *= math.exp((y0 - y2) / (2 * bend) * width / 7)
+                width = max(width / 2, 0.01)
+            moved = max(np.abs(to_beta).max(), np.abs(to_gamma).max(), abs(math.log(theta / old)))
+            if moved < tol:
+                converged = True
+                break
+            beta, gamma = beta + to_beta, gamma + to_gamma
     finally:
         rows.unpersist()
+    if not converged:
+        raise ArithmeticError(f"no convergence in {max_iter} steps; the last moved by {moved:.1e}")
 
     def restore(coef, at):
         slope = coef[1:] / scale[at]
@@ -90,7 +100,7 @@ def zinb(df: DataFrame, y: str, count_terms: list[str], zero_terms: list[str], m
 
     return {"count": dict(zip(["(Intercept)", *count_terms], restore(beta, ci).tolist())),
             "zero": dict(zip(["(Intercept)", *zero_terms], restore(gamma, zi).tolist())),
-            "theta": theta, "loglik": float(previous), "n": n, "steps": step + 1}
+            "theta": theta, "loglik": float(loglik), "n": n, "steps": step + 1, "converged": converged}
 
 
 def zinb_response(fit: dict) -> Column:

@@ -50,8 +50,8 @@ def cell_index(x: Column, origin: float, res: float) -> Column:
 
 def covariates_at(points: DataFrame, cells: DataFrame, x0: float, y0: float, res: float,
                   how: str = "left") -> DataFrame:
-    """Cell values under each point; row 0 starts at ``y0`` and rows run with ``y``."""
-    at = points.withColumns({"row": cell_index(F.col("y"), y0, res), "col": cell_index(F.col("x"), x0, res)})
+    """Cell values under each point; as in ``terrain.crop``, ``y0`` is the top edge and rows run down."""
+    at = points.withColumns({"row": F.floor((y0 - F.col("y")) / res).cast("int"), "col": cell_index(F.col("x"), x0, res)})
     return at.join(cells, ["row", "col"], how)
 
 

@@ -11,9 +11,9 @@ PLOT = ["block", "plot", "uid", "code"]
 
 
 def predict_height(df: DataFrame, coef: DataFrame, out: str = "ht_fit") -> DataFrame:
-    """Height from diameter by species: 4.5 + exp(a + b / (d + 1))."""
+    """Height from diameter by species: 4.5 + exp(a + b / (d + 1)); null without coefficients."""
     curve = 4.5 + F.exp(F.col("ht_a") + F.col("ht_b") / (F.col("dbh") + 1))
-    return df.join(coef, "spp").withColumn(out, curve)
+    return df.join(coef, "spp", "left").withColumn(out, curve)
 
 
 def crown_width(a="cw_a", b="cw_b", dbh="dbh") -> Column:

@@ -108,7 +108,7 @@ def _(t):
 @query("best_subsets", "MD6")
 def _(t):
     xs = ["bapa", "tpa", "qmd", "rd", "ccf", "lai", "dep", "elevation", "winds", "ph", "swi", "rad", "slope"]
-    return rounded(gram.best_subsets(frame(t), "vol_ha", xs, 8), ["size", "terms"], ["rss", "r2"], 4)
+    return rounded(gram.best_subsets(frame(t).fillna(0, subset=["lai"]), "vol_ha", xs, 8), ["size", "terms"], ["rss", "r2"], 4)
 
 
 _BOXCOX = f"""{_FRAME}, g AS (SELECT -2 + 4.0::DOUBLE * range / 99 AS exponent FROM range(100)),
@@ -353,7 +353,7 @@ def _(t):
 def _(t):
     rows, spp = deduction_rows(t)
     rows = rows.persist()
-    fit = counts.zinb(rows, "deduct_class", ["sdi", "slope", "dbh"], ["sdi", "dbh", *spp], max_iter=25)
+    fit = counts.zinb(rows, "deduct_class", ["sdi", "slope", "dbh"], ["sdi", "dbh", *spp])
     scored = rows.withColumn("fit_deduction", counts.zinb_response(fit))
     out = gram.fit_stats(scored, "deduct_class", "fit_deduction", 1, ["spp"])
     return rounded(out, ["spp", "n"], ["mb", "mab"], 4)

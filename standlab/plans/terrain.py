@@ -68,10 +68,10 @@ def _(t):
 
 
 @query("covariates_at_plots", "GE7", "points cells", """
-SELECT p.id, CAST(floor(p.y / 30) AS INTEGER) AS row, CAST(floor(p.x / 30) AS INTEGER) AS col, c.z FROM points p
-LEFT JOIN cells c ON c.row = CAST(floor(p.y / 30) AS INTEGER) AND c.col = CAST(floor(p.x / 30) AS INTEGER)""")
+SELECT p.id, CAST(floor((1500 - p.y) / 30) AS INTEGER) AS row, CAST(floor(p.x / 30) AS INTEGER) AS col, c.z FROM points p
+LEFT JOIN cells c ON c.row = CAST(floor((1500 - p.y) / 30) AS INTEGER) AND c.col = CAST(floor(p.x / 30) AS INTEGER)""")
 def _(t):
-    return spatial.covariates_at(t.points, t.cells, 0.0, 0.0, RES).select("id", "row", "col", "z")
+    return spatial.covariates_at(t.points, t.cells, 0.0, 1500.0, RES).select("id", "row", "col", "z")
 
 
 _E2 = "(2 / 298.257222101::DOUBLE - 1 / (298.257222101::DOUBLE * 298.257222101::DOUBLE))"

@@ -60,6 +60,8 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     def cell(value, kind):
         if value is None:
             return f"CAST(NULL AS {kind})"
+        if isinstance(value, float) and (value != value or abs(value) == float("inf")):
+            return f"CAST('{value}' AS {kind})"
         text = "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
         return f"CAST({text} AS {kind})"
 

@@ -40,8 +40,8 @@ def load_table(spark: SparkSession, path: str, kind: str | None = None,
                schema: StructType | None = None) -> DataFrame:
     """Read CSV or Parquet with a declared schema.
 
-    In CSV, ``NA`` and blanks are null in numeric columns and blank text stays as an empty
-    string; a number that does not parse becomes null.
+    In CSV, ``NA`` is null; a blank is null in a numeric column and an empty string in a text
+    column; a number that does not parse becomes null.
     """
     schema = schema or (SCHEMAS[kind] if kind else None)
     if path.rstrip("/").endswith(".parquet"):
@@ -49,9 +49,9 @@ def load_table(spark: SparkSession, path: str, kind: str | None = None,
     if schema is None:
         raise ValueError("CSV needs a schema; inferring one costs a pass over the data")
     text = StructType([StructField(f.name, StringType()) for f in schema])
-    raw = (spark.read.schema(text).option("header", True).option("nullValue", "NA")
+    raw = (spark.read.schema(text).option("header", True).option("nullValue", "\u0001")
            .option("emptyValue", "").option("enforceSchema", True).csv(path))
-    raw = raw.fillna("", subset=[f.name for f in schema if isinstance(f.dataType, StringType)])
+    raw = raw.fillna("", subset=[f.name for f in schema]).replace("NA", None)
     return raw.select(*[
         raw[f.name] if isinstance(f.dataType, StringType)
         else raw[f.name].try_cast(f.dataType).alias(f.name) for f in schema])

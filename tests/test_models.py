@@ -49,8 +49,18 @@ def test_vif_and_subsets(spark):
         best = min(np.linalg.lstsq(np.column_stack([np.ones(len(y)), m[:, c]]), y, rcond=None)[1][0]
                    for c in combinations(range(6), row["size"]))
         assert row["rss"] == pytest.approx(best, rel=1e-6)
-    forward = gram.best_subsets(df, "y", list(x), 2, exhaustive=2).collect()
-    assert [r["size"] for r in forward] == [1, 2] and forward[1]["rss"] <= forward[0]["rss"]
+    every = [list(c) for c in combinations(range(6), 3)]
+    assert gram.subsets_at(np.arange(20), 6, 3).tolist() == every
+
+
+def test_best_subsets_beyond_thirty_candidates(spark):
+    rng = np.random.default_rng(3)
+    x = {f"x{i}": rng.normal(size=200) for i in range(34)}
+    # each alone explains little, so a forward search would begin with their shadow x0
+    y = x["x5"] - x["x6"]
+    x["x0"] = y + 0.5 * rng.normal(size=200)
+    best = gram.best_subsets(frame(spark, {**x, "y": y}), "y", list(x), 2).orderBy("size").collect()
+    assert best[0]["terms"] == "x0" and best[1]["terms"] == "x5+x6"
 
 
 def test_factor_columns(spark):
