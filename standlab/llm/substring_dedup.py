@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> D
             gone = np.zeros(len(words) + 1, np.int64)
             at = places.get(row.id)
             if at is not None:
-                gone[at] += 1
+                np.add.at(gone, at, 1)
                 np.add.at(gone, at + window, -1)
             keep = np.cumsum(gone)[:-1] == 0
             record = [len(words), int((~keep).sum())]
