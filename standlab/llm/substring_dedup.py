@@ -31,8 +31,6 @@ from standlab.llm.registry import register
 from standlab.llm.tables import table
 from standlab.llm.words import Words, by_text, gram_hashes, utf8
 
-GROUPS = 4  # text groups for each shuffle partition
-
 
 def _probes(keyed: DataFrame, window: int, block: int, parts: int) -> DataFrame:
     def run(batches):
@@ -50,7 +48,7 @@ def _probes(keyed: DataFrame, window: int, block: int, parts: int) -> DataFrame:
     return keyed.select("id", "text").mapInPandas(run, PLACES + ", hashes binary")
 
 
-def _hits(packed: DataFrame, parts: int, groups: int, width: int, anchored: bool) -> DataFrame:
+def _hits(packed: DataFrame, parts: int, width: int, anchored: bool) -> DataFrame:
     """Places whose hash occurs twice at least (and at a block, if ``anchored``), by text group."""
     def run(batches):
         rows = [r for batch in batches for r in batch.itertuples(index=False)]
@@ -70,19 +68,17 @@ def _hits(packed: DataFrame, parts: int, groups: int, width: int, anchored: bool
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         hit = np.zeros(len(hashes) // width, bool)
         hit[maybe] = count[inverse] > 1
-        at = 0
-        for a in range(0, len(rows), 256):  # answers of many rows together, to send few
-            ids, pos = [], []
-            for r in rows[a:a + 256]:
-                i, p = read_places(r.ids, r.counts, r.steps)
-                mine = hit[at:at + len(i)]
-                at += len(i)
-                ids.append(i[mine]), pos.append(p[mine])
-            ids, pos = np.concatenate(ids), np.concatenate(pos)
-            if len(ids):
-                order = np.lexsort((pos, ids))
-                known, doc = np.unique(ids[order], return_inverse=True)
-                yield pd.DataFrame(dealt((ids[order] % groups), doc, pos[order], known, {}))
+        at, ids, pos = 0, [], []
+        for r in rows:
+            i, p = read_places(r.ids, r.counts, r.steps)
+            mine = hit[at:at + len(i)]
+            at += len(i)
+            ids.append(i[mine]), pos.append(p[mine])
+        ids, pos = np.concatenate(ids), np.concatenate(pos)
+        if len(ids):  # one answer for each text group
+            order = np.lexsort((pos, ids))
+            known, doc = np.unique(ids[order], return_inverse=True)
+            yield pd.DataFrame(dealt(ids[order] % parts, doc, pos[order], known, {}))
 
     return packed.repartitionById(parts, F.col("part")).mapInPandas(run, PLACES)
 
@@ -128,12 +124,11 @@ def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame
     """Texts by group, and the places of their repeated windows by the same groups."""
     block = (window + 1) // 2
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = parts * GROUPS
     keyed = docs.withColumn("id", F.xxhash64("doc_id", "text"))
-    keyed = keyed.select("*", F.pmod("id", F.lit(groups)).cast("int").alias("part"))
-    anchors = _hits(_probes(keyed, window, block, parts), parts, groups, 1, anchored=True)
+    keyed = keyed.select("*", F.pmod("id", F.lit(parts)).cast("int").alias("part"))
+    anchors = _hits(_probes(keyed, window, block, parts), parts, 1, anchored=True)
     windows = _windows(keyed, anchors, window, block, parts)
-    return keyed, _hits(windows, parts, groups, 2, anchored=False)
+    return keyed, _hits(windows, parts, 2, anchored=False)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> DataFrame:

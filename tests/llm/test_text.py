@@ -194,11 +194,11 @@ def test_leaks_are_found_and_other_texts_left(spark, docs_of):
     rng = random.Random(4)
     say = lambda n: " ".join(f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.randrange(40)}" for _ in range(n))
     items = [(i, f"{say(12)}? {say(6)}." if i % 2 else f"{say(9)}. {say(4)}. {say(7)}") for i in range(30)] + [(98, None), (99, "?!")]
-    rows = [(i, f"{say(70)} {items[i][1].upper()} {say(150)}") for i in range(10)] + [(i, say(200)) for i in range(10, 30)]
+    rows = [(50 + i, f"{say(70)} {items[i][1].upper()} {say(150)}") for i in range(10)] + [(60 + i, say(200)) for i in range(20)]
     rows += [(40, items[3][1].split("?")[0]), (41, items[4][1]), (41, items[4][1]), *ODD]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contaminated(docs_of(rows), bench).collect()
-    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted([(i, i) for i in range(10)] + [(41, 4)])
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted([(50 + i, i) for i in range(10)] + [(41, 4)])
     left = decontaminate.without_leaks(docs_of(rows), bench)
     assert left.count() == len(rows) - 12 and left.columns == docs_of([]).columns
     assert decontaminate.contaminated(docs_of(rows), bench.limit(0)).count() == 0
