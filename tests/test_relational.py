@@ -22,7 +22,7 @@ def test_csv_blanks_and_junk(spark):
     text.coalesce(1).write.text(path)
     schema = tables._struct("block:s plot:i uid:s lai:d")
     rows = [tuple(r) for r in tables.load_table(spark, path, schema=schema).collect()]
-    assert rows == [("B2", 1, "", None), ("", None, "u", 2.5), ("B3", None, "u", None)]
+    assert rows == [("B2", 1, "", None), (None, None, "u", 2.5), ("B3", None, "u", None)]
 
 
 def test_strict_aggregates(spark):
