@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -63,6 +64,11 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in config.get("added_tokens", [])}
         split = next(p for p in config["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        # the same classes within ASCII, for the library that is faster but lacks them
+        plain = split["pattern"]["Regex"]
+        for wide, narrow in ((r"\p{L}", "a-zA-Z"), (r"\p{N}", "0-9"), (r"\s", r" \t\n\r\f\v")):
+            plain = plain.replace(wide, narrow)
+        self.ascii_pattern = re.compile(plain) if "\\p" not in plain else self.pattern
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) \
             if self.special else None
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -113,6 +119,7 @@ class Encoder:
         self.table = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         size = np.array([len(t) + 1 for t in texts], np.int64)
         self.start, self.size = np.cumsum(size) - size, size
+        self.digits = [str(i) for i in range(len(size))]
 
     # -- one pre-token --------------------------------------------------------------------
     def compatible(self, left: str, right: str) -> bool:
@@ -179,8 +186,10 @@ class Encoder:
 
     # -- whole texts ----------------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
-        """Pre-tokens of a text: NFC, white space to one space, lower case, then the pattern."""
-        text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
+        """Pre-tokens of a text: NFC, lower case, then the pattern, which drops all white space."""
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
         return self.pattern.findall(text)
 
@@ -208,7 +217,7 @@ class Encoder:
 
     def decode(self, ids) -> bytes:
         """Names of the tokens joined by one space, taken from the offset table."""
-        ids = np.asarray(ids, np.int64)
+        ids = np.array(ids, np.int64)
         if not len(ids):
             return b""
         size = self.size[ids]
@@ -247,7 +256,7 @@ def coder(spark, path: str, digest: bool = False):
         for text in texts:
             ids = own.encode(text)
             decoded = own.decode(ids)
-            rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+            rows.append((len(ids), hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest(),
                          hashlib.sha256(decoded).hexdigest()) if digest else (len(ids), ids, decoded.decode()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in f"n_tokens long, {kind}".split(", ")])
 
