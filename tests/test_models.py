@@ -245,3 +245,18 @@ def test_smoothers(spark):
     out = smooth.smooth_profile(line, ["g"], "x", "y").collect()
     assert all(r["smooth"] >= 0 for r in out)
     assert [r["smooth"] for r in out] == pytest.approx([max(5 - 8 * r["x"], 0) for r in out], abs=1e-6)
+
+
+def test_banded_smoother_and_many_points(spark):
+    from standlab.operators import smooth
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 5, 60):
+        v, a = rng.normal(size=n), np.eye(n)
+        if n > 2:
+            d = np.diff(np.eye(n), 2, axis=0)
+            a = a + 10 * d.T @ d
+        assert smooth._whittaker(v, 10.0) == pytest.approx(np.linalg.solve(a, v))
+    rows = [("g", float(i), float(i % 7)) for i in range(30_000)]
+    out = smooth.smooth_profile(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y")
+    assert out.count() == 30_000
