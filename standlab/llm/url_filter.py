@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.llm.registry import register
 from standlab.llm.tables import table
-from standlab.session import cut_lineage
+from standlab.session import cut_lineage, literal_table
 
 # fixed values: host, path and verdict of the rules
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
@@ -84,8 +84,8 @@ def reputation(counts: DataFrame) -> DataFrame:
 
 
 def _rules(spark, rules) -> DataFrame:
-    return spark.createDataFrame([(h, p, h + p, v) for h, p, v in rules],
-                                 "rule_host string, rule_path string, rule string, rule_verdict string")
+    return literal_table(spark, [(h, p, h + p, v) for h, p, v in rules],
+                         "rule_host string, rule_path string, rule string, rule_verdict string")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, least: float = LEAST, z: float = Z) -> DataFrame:
