@@ -195,4 +195,4 @@ def kth_highest(scored: DataFrame, k: int) -> float:
 @register("op7_quality_resampling")
 def op7_quality_resampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, table(spark, sf_dir, "labels")).drop("text")
+    return resample(docs, table(spark, sf_dir, "labels")).filter("selected").drop("text", "selected")
