@@ -7,7 +7,7 @@ it has the same words as a window that starts anywhere else, in the same text or
   window holds one whole block of its text.  The blocks are the index; every place of every text
   probes it with the hash of as many words.  A repeated window therefore covers a probe that hits
   a block at another place.
-* Extension.  Only windows over such hits are compared, by 128-bit hashes of all their words;
+* Extension.  Only windows over such hits are compared, by 96-bit hashes of all their words;
   overlapping repeats merge to maximal runs of removed words.
 
 Probes and windows travel packed: a task sends, for each partition of the hash space, one row
@@ -32,6 +32,9 @@ from standlab.llm.tables import table
 from standlab.llm.words import Words, by_text, gram_hashes, utf8
 
 
+WINDOW = np.dtype([("x", "<u8"), ("y", "<u4")])  # a window's hash
+
+
 def _probes(keyed: DataFrame, window: int, block: int, parts: int) -> DataFrame:
     def run(batches):
         for rows, words in by_text(batches):
@@ -48,26 +51,27 @@ def _probes(keyed: DataFrame, window: int, block: int, parts: int) -> DataFrame:
     return keyed.select("id", "text").mapInPandas(run, PLACES + ", hashes binary")
 
 
-def _hits(packed: DataFrame, parts: int, width: int, anchored: bool) -> DataFrame:
+def _hits(packed: DataFrame, parts: int, anchored: bool) -> DataFrame:
     """Places whose hash occurs twice at least (and at a block, if ``anchored``), by text group."""
     def run(batches):
         rows = [r for batch in batches for r in batch.itertuples(index=False)]
         if not rows:
             return
-        hashes = np.concatenate([np.frombuffer(r.hashes, np.uint32 if anchored else np.uint64) for r in rows])
+        hashes = np.concatenate([np.frombuffer(r.hashes, np.uint32 if anchored else WINDOW) for r in rows])
+        hit = np.zeros(len(hashes), bool)
         if anchored:
             blocks = np.unique(hashes[hashes & 1 == 1] >> 1)
+            if not len(blocks):
+                return
             value = hashes >> 1
-            near = np.searchsorted(blocks, value)
-            maybe = np.flatnonzero(blocks[np.minimum(near, len(blocks) - 1)] == value) if len(blocks) else []
-            key = value[maybe]
+            near = np.minimum(np.searchsorted(blocks, value), len(blocks) - 1)
+            maybe = np.flatnonzero(blocks[near] == value)
+            order = maybe[np.argsort(value[maybe], kind="stable")]
+            same = value[order][1:] == value[order][:-1]
         else:
-            both = hashes.reshape(-1, 2)
-            maybe = np.arange(len(both))
-            key = both.view([("x", np.uint64), ("y", np.uint64)]).ravel()
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        hit = np.zeros(len(hashes) // width, bool)
-        hit[maybe] = count[inverse] > 1
+            order = np.lexsort((hashes["y"], hashes["x"]))
+            same = hashes[order][1:] == hashes[order][:-1]
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
         at, ids, pos = 0, [], []
         for r in rows:
             i, p = read_places(r.ids, r.counts, r.steps)
@@ -95,7 +99,7 @@ def _by_id(hits: pd.DataFrame) -> dict[int, np.ndarray]:
 
 
 def _windows(keyed: DataFrame, hits: DataFrame, window: int, block: int, parts: int) -> DataFrame:
-    """128-bit hashes of all windows that cover a hit."""
+    """Hashes of all windows that cover a hit."""
     def run(texts, hits):
         places = _by_id(hits)
         texts = texts[texts["id"].isin(places.keys())]
@@ -111,9 +115,9 @@ def _windows(keyed: DataFrame, hits: DataFrame, window: int, block: int, parts:
             at = np.flatnonzero((np.cumsum(cover)[:-1] > 0) & words.whole(window))
             if len(at):
                 doc = words.doc()[at]
-                x, y = (gram_hashes(h, window)[at] for h in words.hashes)
-                rows += dealt(part_of(x, parts), doc, at - words.first[doc], ids,
-                               {"hashes": np.stack([x, y], axis=1)})
+                both = np.empty(len(at), WINDOW)
+                both["x"], both["y"] = (gram_hashes(h, window)[at] for h in words.hashes)
+                rows += dealt(part_of(both["x"], parts), doc, at - words.first[doc], ids, {"hashes": both})
         return pd.DataFrame(rows, columns=["part", "ids", "counts", "steps", "hashes"])
 
     return (keyed.groupBy("part").cogroup(hits.groupBy("part"))
@@ -126,9 +130,9 @@ def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("id", F.xxhash64("doc_id", "text"))
     keyed = keyed.select("*", F.pmod("id", F.lit(parts)).cast("int").alias("part"))
-    anchors = _hits(_probes(keyed, window, block, parts), parts, 1, anchored=True)
+    anchors = _hits(_probes(keyed, window, block, parts), parts, anchored=True)
     windows = _windows(keyed, anchors, window, block, parts)
-    return keyed, _hits(windows, parts, 2, anchored=False)
+    return keyed, _hits(windows, parts, anchored=False)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> DataFrame:
