@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from standlab.operators.joins import match_nulls
 from standlab.session import small_side
 
 FIVE = ["q0", "q25", "q50", "q75", "q100"]
@@ -53,7 +54,7 @@ def exact_quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, flo
     place = F.when(F.col("_hi") > F.col("_lo"),
                    F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
     span = small_side(span)
-    binned = rows.join(span, by).withColumn("_bin", F.coalesce(place, F.lit(0)))
+    binned = match_nulls(rows, span, by, "inner").withColumn("_bin", F.coalesce(place, F.lit(0)))
 
     def cumulative(table, group, order):
         w = W.partitionBy(*group).orderBy(order)
@@ -67,16 +68,16 @@ def exact_quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, flo
               .select(*by, F.col("_t.q").alias("_q"), F.col("_h"),
                       F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))).alias("_rank")))
     counts = cumulative(binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n")), by, "_bin")
-    hit = (wanted.join(counts, by)
+    hit = (match_nulls(wanted, counts, by, "inner")
            .filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
            .select(*by, "_bin", "_q", "_h", "_rank", (F.col("_rank") - F.col("_from")).alias("_k")))
     hit = small_side(hit)
-    values = (binned.join(hit.select(*by, "_bin").distinct(), [*by, "_bin"], "left_semi")
+    values = (match_nulls(binned, hit.select(*by, "_bin").distinct(), [*by, "_bin"], "left_semi")
               .groupBy(*by, "_bin", "_x").agg(F.count(F.lit(1)).alias("_n")))
-    found = (hit.join(cumulative(values, [*by, "_bin"], "_x"), [*by, "_bin"])
+    found = (match_nulls(hit, cumulative(values, [*by, "_bin"], "_x"), [*by, "_bin"], "inner")
              .filter((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_upto"))))
     near = F.col("_rank") == F.floor("_h")
     weight = F.when(near, 1.0 - (F.col("_h") - F.floor("_h"))).otherwise(F.col("_h") - F.floor("_h"))
     wide = (found.groupBy(*by).pivot("_q", list(probs))
             .agg(F.sum(F.col("_x") * weight)))
-    return wide.join(span.select(*by, "n", "mean"), by)
+    return match_nulls(wide, span.select(*by, "n", "mean"), by, "inner")

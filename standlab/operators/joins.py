@@ -11,14 +11,29 @@ from pyspark.sql import DataFrame, functions as F
 from standlab.session import small_side
 
 
+def match_nulls(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join in which a null key matches a null key, as a group of null keys is one group.
+
+    For left, inner and semi joins; the key columns are the left side's.
+    """
+    if not on:
+        return left.join(right, on, how)
+    mine = {c: f"_right_{c}" for c in on}
+    right = right.withColumnsRenamed(mine)
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in mine.items()]
+    out = left.join(right, same, how).drop(*mine.values())
+    return out.select(*on, *[c for c in out.columns if c not in on])
+
+
 def left_join(left: DataFrame, right: DataFrame, on: list[str],
-              assert_unique: bool = False) -> DataFrame:
-    """Left equi-join; ``assert_unique`` refuses a right side that would fan rows out."""
+              assert_unique: bool = False, na_matches: bool = False) -> DataFrame:
+    """Left equi-join; ``assert_unique`` refuses a right side that would fan rows out, and with
+    ``na_matches`` null keys match each other."""
     if assert_unique:
         repeated = right.groupBy(*on).count().filter("count > 1").limit(1).count()
         if repeated:
             raise ValueError(f"right side repeats {on}")
-    return left.join(right, on, "left")
+    return match_nulls(left, right, on) if na_matches else left.join(right, on, "left")
 
 
 def natural_keys(left: DataFrame, right: DataFrame) -> list[str]:
@@ -33,7 +48,9 @@ def natural_left(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, natural_keys(left, right), "left")
 
 
-def inner_merge(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def inner_merge(left: DataFrame, right: DataFrame, on: list[str], na_matches: bool = False) -> DataFrame:
+    if na_matches:
+        return match_nulls(left, right, on, "inner")
     return left.join(right, on, "inner")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from standlab.operators.joins import match_nulls
 from standlab.session import cut_lineage
 
 
@@ -23,7 +24,7 @@ def species_share(df: DataFrame, plot: list[str], spp: str = "spp") -> DataFrame
 def with_group_total(df: DataFrame, by: list[str], **totals: Column) -> DataFrame:
     """Carry group aggregates on every row: aggregate map-side, then join back."""
     table = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in totals.items()])
-    return df.join(table, by, "left")
+    return match_nulls(df, table, by)
 
 
 def top_mean(df: DataFrame, by: list[str], order: str, value: str, n: int,

@@ -124,3 +124,20 @@ def test_exact_quantiles(spark, bins):
 def test_literal_table_keeps_nulls(spark):
     rows = [("a'b", None), ("c", 2.5)]
     assert sorted(map(tuple, literal_table(spark, rows, "k string, v double").collect()), key=str) == sorted(rows, key=str)
+
+
+def test_null_groups_keep_their_totals_and_quantiles(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 6.0)], "g string, x double")
+    totals = {(r["g"], r["x"]): r["t"] for r in windows.with_group_total(df, ["g"], t=F.sum("x")).collect()}
+    assert totals == {("a", 1.0): 4.0, ("a", 3.0): 4.0, (None, 2.0): 8.0, (None, 6.0): 8.0}
+    five = {r["g"]: (r["n"], r["q50"]) for r in aggregates.five_number(df, ["g"], "x", continuous=True).collect()}
+    assert five == {"a": (2, 2.0), None: (2, 4.0)}
+    right = spark.createDataFrame([(None, 9), ("b", 7)], "g string, v int")
+    assert {r["g"]: r["v"] for r in joins.left_join(df, right, ["g"], na_matches=True).collect()} == {"a": None, None: 9}
+    assert joins.inner_merge(df, right, ["g"], na_matches=True).count() == 2
+    assert joins.inner_merge(df, right, ["g"]).count() == 0
+
+
+def test_literals_that_are_not_numbers(spark):
+    row = literal_table(spark, [(float("nan"), float("inf"), None)], "a double, b double, c double").first()
+    assert row["a"] != row["a"] and row["b"] == float("inf") and row["c"] is None
