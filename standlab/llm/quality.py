@@ -1,7 +1,8 @@
 """Quality selection by importance resampling over hashed n-gram models.
 
-Two bag-of-n-grams models are counted over hashed unigrams and bigrams: the target from all texts
-labelled good, the raw one from all texts.  A text's importance is the log ratio of its two
+Two bag-of-n-grams models are counted over hashed unigrams and bigrams: the target from texts
+labelled good (at most TRAIN of them, the documented bound of this classifier), the raw one from
+all texts.  A text's importance is the log ratio of its two
 probabilities.  Selection is Gumbel top-k: the log ratio plus Gumbel noise of the text's own
 (a fixed hash of its id), of which the k highest are kept, which samples k texts without
 replacement in proportion to their importance.
@@ -25,6 +26,7 @@ from standlab.llm.words import Words, mix, slices, text_sizes, utf8
 from standlab.session import cut_lineage
 
 BUCKETS = 1 << 14
+TRAIN = 100_000  # good labels that teach the target model at most, by the hash of their ids
 BINS = 4096  # of log ratios, for the cut and for the k-th key
 _MARK = np.zeros(256, np.uint8)  # 1 letters and digits, 2 other signs, 0 white space
 _MARK[33:127] = 2
@@ -135,12 +137,14 @@ def gumbel_key(log_ratio, doc_id, seed: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17,
-        buckets: int = BUCKETS):
+        buckets: int = BUCKETS, train: int = TRAIN):
     """Log ratios of the buckets, and the k-th highest key over all texts."""
     marks = (labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
              .agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
              .select("doc_id", (F.col("low") == 1).alias("good")))
-    known = docs.select("doc_id", "text").join(marks, "doc_id", "left")
+    # the bounded sample of good labels travels to the texts, which so are never shuffled
+    good = marks.filter("good").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(train)
+    known = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
     weights = log_ratios(*bucket_counts(known.select("text", "good"), buckets))
     scored = docs.select("doc_id", importance(docs.sparkSession, weights)("text").alias("log_ratio"))
     scored = cut_lineage(scored.withColumn("gumbel_key", gumbel_key(F.col("log_ratio"), "doc_id", seed)))
