@@ -66,7 +66,7 @@ def pruned_products(q: np.ndarray, v: np.ndarray, least: np.ndarray) -> np.ndarr
     out = np.full((len(q), len(v)), PRUNED, np.int64)
     if not len(q) or not len(v):
         return out
-    if np.abs(q).max() * np.abs(v).max() * q.shape[1] >= EXACT:
+    if not q.shape[1] or np.abs(q).max() * np.abs(v).max() * q.shape[1] >= EXACT:
         return products(q, v)
     longest = nv.max()
     slack = 1e-9 * (nq * longest + 1)
