@@ -32,12 +32,15 @@ def top_mean(df: DataFrame, by: list[str], order: str, value: str, n: int,
     """Mean of ``value`` over the n largest by ``order``, ties at the n-th kept.
 
     Rows collapse to one per distinct ``order`` first; a class belongs to the top n
-    exactly when fewer than n rows are larger.
+    exactly when fewer than n rows are larger.  As every class has a row, only the n
+    highest classes can, so every task passes on no more than these.
     """
     classes = df.filter(F.col(order).isNotNull()).groupBy(*by, order).agg(
         F.count(F.lit(1)).alias("_n"), F.count(value).alias("_nv"), F.sum(value).alias("_sv"))
-    larger = W.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
-    return (classes.withColumn("_before", F.coalesce(F.sum("_n").over(larger), F.lit(0)))
+    descending = W.partitionBy(*by).orderBy(F.desc(order))
+    larger = descending.rowsBetween(W.unboundedPreceding, -1)
+    return (classes.withColumn("_place", F.row_number().over(descending)).filter(F.col("_place") <= n)
+            .withColumn("_before", F.coalesce(F.sum("_n").over(larger), F.lit(0)))
             .filter(F.col("_before") < n)
             .groupBy(*by)
             .agg((F.sum("_sv") / F.sum("_nv")).alias(out), F.sum("_n").alias("n_top")))

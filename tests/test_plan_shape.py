@@ -43,3 +43,7 @@ def test_only_needed_columns_are_read(spark):
 
 def test_filter_reaches_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*l_line", plan(spark, "stand_density_plot"))
+
+
+def test_top_n_is_pruned_in_every_task(spark):
+    assert "WindowGroupLimit" in plan(spark, "top_height")
