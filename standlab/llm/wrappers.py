@@ -6,8 +6,8 @@ after the other: equal tokens stay, a run that only one side has becomes an opti
 group that the other side has once is a repeated group there too.  The result is the host's
 wrapper, a regular expression of tags, slots, ``(...)+`` and ``(...)?`` without alternatives.
 
-The wrapper says which slots hold the main text: slots inside its article or main region, or
-where the host has no such region all slots of the body, but never slots inside menus, headers,
+The wrapper says which slots hold the main text: slots inside the page's article or main region,
+or on a page without text in such a region all slots of the body, but never slots inside menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments, which are told by tag, role,
 class or id.  A page's text at those slots is then taken in page order.
 
@@ -201,10 +201,8 @@ def slots(nodes) -> list[str]:
 
 
 def main_slots(paths: list[str]) -> set[str]:
-    """The slots of the main text."""
-    clean = [p for p in paths if not any(e.endswith("-") for e in p.rstrip(SLOT).split("/"))]
-    inside = [p for p in clean if REGION & set(p.rstrip(SLOT).split("/"))]
-    return set(inside or clean)
+    """The slots that can hold main text."""
+    return {p for p in paths if not any(e.endswith("-") for e in p.rstrip(SLOT).split("/"))}
 
 
 def _tuples(nodes):
@@ -239,11 +237,15 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 def main_text(source: str | None, wanted: set[str]) -> str:
-    """Text of the wanted slots: references decoded, white space of a block one space, blocks by \\n."""
+    """Text of the wanted slots: references decoded, white space of a block one space, blocks by \\n.
+
+    A page with text in an article or main region gives that region's text only.
+    """
+    taken = [(path, raw, block) for path, raw, block in texts(source) if path + SLOT in wanted]
+    inside = [t for t in taken if REGION & set(t[0].split("/"))]
     blocks: dict[int, list[str]] = {}
-    for path, raw, block in texts(source):
-        if path + SLOT in wanted:
-            blocks.setdefault(block, []).append(raw)
+    for _, raw, block in inside if any(raw.strip() for _, raw, _ in inside) else taken:
+        blocks.setdefault(block, []).append(raw)
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 

@@ -147,6 +147,15 @@ def test_main_text(spark, pages):
     assert wrappers.extract(pages([])).count() == 0
 
 
+def test_layouts_of_a_host_are_told_apart(spark, pages):
+    rows = [(i, u, h) for i, (u, h) in enumerate([
+        ("http://h/new", "<div>Top</div><main><p>new text</p></main>"), ("http://h/old", "<div><p>old text</p></div>"),
+        (None, "<article> <p>in article</p></article><p>out</p>"), (None, "<table><tr><td>in cell</table>"),
+        ("http://h/empty", "<main> <nav>Menu</nav> </main><p>beside</p>")])]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages(rows)).collect()}
+    assert got == {0: "new text", 1: "old text", 2: "in article", 3: "in cell", 4: "beside"}
+
+
 def test_wrapper_has_repeats_and_options(spark, pages):
     rows = [(i, "http://h/", "<article><h1>t</h1>" + "<p>x</p><h2>y</h2>" * (i % 4) + ("<blockquote>q</blockquote>" if i % 2 else "") + "</article>")
             for i in range(1, 9)]
