@@ -41,18 +41,35 @@ def letters(text: str | None) -> str:
 def dictionaries(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> dict[str, bytes]:
     """Raw content for each non-null ``lang``: the first ``each`` letters of ``sample`` texts.
 
-    The sample is the documented bound of this classifier: the texts with the smallest hashes of
-    their text, ranked inside every task before the shuffle.  Texts without letters teach nothing.
+    The sample is the documented bound of this classifier: the distinct texts with the smallest
+    hashes, so that copies of a text take one place.  Hashes are made distinct and ranked inside
+    every task before the shuffle; only the chosen texts are read whole and reduced to letters
+    before they are cut.  Texts without letters teach nothing.
     Languages come in the order of their labelled texts, the most frequent first.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    known = (docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-             .withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= sample)
-             .select("lang", "_place", F.substring("text", 1, 2 * each).alias("text")))
+    order = Window.partitionBy("lang").orderBy("_hash")
+    known = (docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+             .select("lang", "text", F.xxhash64("text").alias("_hash")))
+    chosen = (known.select("lang", "_hash").distinct()
+              .withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= sample))
+
+    def reduce(batches):  # every chosen text once a task
+        seen = set()
+        for batch in batches:
+            rows = []
+            for lang, key, text in zip(batch["lang"], batch["_hash"], batch["text"]):
+                if (lang, key) not in seen:
+                    seen.add((lang, key))
+                    rows.append((lang, key, letters(text)[:each]))
+            yield pd.DataFrame(rows, columns=["lang", "_hash", "text"])
+
+    sampled = (known.join(F.broadcast(chosen.select("lang", "_hash")), ["lang", "_hash"], "left_semi")
+               .select("lang", "_hash", "text").mapInPandas(reduce, "lang string, _hash long, text string")
+               .groupBy("lang", "_hash").agg(F.min("text").alias("text")))
     counts = docs.filter("lang IS NOT NULL").groupBy("lang").count().collect()
     parts: dict[str, list[str]] = {}
-    for row in known.orderBy("lang", F.desc("_place")).collect():
-        parts.setdefault(row["lang"], []).append(letters(row["text"])[:each])
+    for row in sampled.orderBy("lang", F.desc("_hash")).collect():
+        parts.setdefault(row["lang"], []).append(row["text"])
     ranked = [r["lang"] for r in sorted(counts, key=lambda r: (-r["count"], r["lang"]))]
     return {lang: " ".join(parts[lang]).encode() for lang in ranked if lang in parts}
 

@@ -228,6 +228,16 @@ def test_language_on_odd_input(spark, docs_of):
     assert language.dictionaries(spark.createDataFrame([], "text string, lang string")) == {}
 
 
+def test_language_sample_counts_a_text_once(spark):
+    texts = ["word" + "abcdefghij"[i] * 3 for i in range(10)]
+    rows = [(t, "en") for t in texts for _ in range(50)] + [("1 2 3 " * 400 + "behind", "xx"), (None, "xx"), ("4", "en")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    content = language.dictionaries(df, sample=10)
+    assert sorted(content["en"].decode().split()) == texts and content["xx"] == b"behind"
+    assert len(set(language.dictionaries(df, sample=4)["en"].decode().split())) == 4
+    assert language.dictionaries(df, sample=10, each=5)["xx"] == b"behin"
+
+
 @pytest.fixture(scope="module")
 def coder():
     with open(bpe.tokenizer_path(), encoding="utf-8") as file:
