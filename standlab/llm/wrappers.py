@@ -36,9 +36,9 @@ SLOT = "#"
 
 # fixed values: names of HTML elements and of page regions
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe object svg math select button".split())
-INLINE = set("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike "
-             "strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript template textarea title iframe select".split())
+INLINE = set("a abbr b bdi bdo big br button cite code del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow ms "
+             "msqrt msub msubsup msup mtext object q s samp small span strike strong sub sup svg time tt u var wbr".split())
 SKIPPED = set("nav header footer aside form head dialog menu".split()) | RAW
 REGION = set("article main".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -46,11 +46,16 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
              "pre section table ul".split())
 SCOPE = set("ul ol dl table article body div section".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsored|sponsors?|promos?|promotions?|nav|navbar|"
-    r"navigation|menus?|breadcrumbs?|sidebars?|widgets?|footers?|headers?|masthead|cookies?|notices?|consent|gdpr|alerts?|popups?|"
-    r"modals?|overlay|newsletters?|subscribe|subscription|signup|login|search|share|sharing|social|comments?|commentlist|"
-    r"replies|reply|discussion|disqus|respond|related|recommended|toolbar|pagination|pager|skip)(?=$|[\s_-])", re.I)
+_NAMES = ("ads?|adverts?|advertisements?|advertising|banners?|sponsored|sponsors?|promos?|promotions?|nav|navbar|"
+          "navigation|menus?|breadcrumbs?|sidebars?|widgets?|footers?|headers?|masthead|cookies?|notices?|consent|gdpr|alerts?|popups?|"
+          "modals?|overlay|newsletters?|subscribe|subscription|signup|login|search|share|sharing|social|comments?|commentlist|"
+          "replies|reply|discussion|disqus|respond|related|recommended|toolbar|pagination|pager|skip")
+_SITE = "site|page|main|global|top|bottom|left|right|primary|secondary|sub|sticky|mobile|desktop"
+_PARTS = ("area|bar|block|box|buttons?|container|content|form|icons?|inner|items?|links?|list|outer|posts?|row|section|slot|thread|"
+          "unit|wrap|wrapper|to|[0-9]+")
+_BESIDE = "(?:posts?|article|entry)[_-]+(?=comments?|nav|share|sharing|social|related)"  # a text's header is its own
+# a whole class, id or role: names, and besides them only words for a place in the site or for a container
+NOISE = re.compile(rf"(?:(?:{_SITE})[_-]+|{_BESIDE})*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_SITE}|{_PARTS}))*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _LAYOUT = re.compile(r"\b(?:no|has|with|without)[-_][\w-]+", re.I)  # names of the page's layout, not of a region
@@ -90,13 +95,17 @@ def tokens(source: str | None):
 
 
 def _noise(name: str, attributes: str) -> str:
-    """Whether the element is no main text: by its name, or by its class, id or role."""
+    """Whether the element is no main text: by its name, or by a whole class, id or role.
+
+    An article or main is never told by these, and a name that is part of another one, as in
+    entry-header or share-price-report, tells nothing.
+    """
     if name in SKIPPED:
         return "-"
-    if name not in ("html", "body") and "=" in attributes:
+    if name not in ("html", "body", *REGION) and "=" in attributes:
         for m in _MARKS.finditer(attributes):
             value = m[1] or m[2] or m[3] or ""
-            if NOISE.search(_LAYOUT.sub(" ", value)) or _ROLES.match(value):
+            if any(NOISE.fullmatch(t) or _ROLES.match(t) for t in value.split() if not _LAYOUT.fullmatch(t)):
                 return "-"
     return ""
 

@@ -156,6 +156,17 @@ def test_layouts_of_a_host_are_told_apart(spark, pages):
     assert got == {0: "new text", 1: "old text", 2: "in article", 3: "in cell", 4: "beside"}
 
 
+def test_names_are_whole_classes(spark, pages):
+    kept = ['<article class="post tag-search"><p>a</p></article>', '<main id="comments-open"><p>a</p></main>', '<div class="category-alerts">a</div>',
+            '<article><div class="entry-header"><h1>a</h1></div></article>', '<div class=post-header>a</div>', '<div class=share-price-report>a</div>', '<p class="x no-sidebar">a</p>',
+            '<article><button>a</button></article>', '<p><math><mi>a</mi></math></p>', '<p><object>a</object></p>', '<p><svg><text>a</text></svg></p>']
+    lost = ['<div class="x ad">b</div>', '<div id=cookie-banner>b</div>', '<div class="site-footer">b</div>', '<ul class="main_nav-links"><li>b</ul>',
+            '<div class="ad-slot-3">b</div>', '<div role=search>b</div>', '<article><div class="post-comments">b</div></article>', '<aside>b</aside>']
+    rows = [(i, f"http://h{i}/", h) for i, h in enumerate(kept + lost)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages(rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == ["a"] * len(kept) + [""] * len(lost)
+
+
 def test_wrapper_has_repeats_and_options(spark, pages):
     rows = [(i, "http://h/", "<article><h1>t</h1>" + "<p>x</p><h2>y</h2>" * (i % 4) + ("<blockquote>q</blockquote>" if i % 2 else "") + "</article>")
             for i in range(1, 9)]
