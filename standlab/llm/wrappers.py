@@ -1,15 +1,20 @@
 """Main text of pages by wrappers: union-free regular expressions inferred for each host.
 
-A page is a stream of tags and text slots.  Immediate repeats of a run of tokens become a
+A page is a stream of tags and texts.  Immediate repeats of a run of tokens become a
 repeated group, which leaves a short skeleton.  The distinct skeletons of a host are aligned one
 after the other: equal tokens stay, a run that only one side has becomes an optional group, a
 group that the other side has once is a repeated group there too.  The result is the host's
 wrapper, a regular expression of tags, slots, ``(...)+`` and ``(...)?`` without alternatives.
 
-The wrapper says which slots hold the main text: slots inside the page's article or main region,
-or on a page without text in such a region all slots of the body, but never slots inside menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments, which are told by tag, role,
-class or id.  A page's text at those slots is then taken in page order.
+Every node keeps the texts that all pages aligned at it have in common.  What is equal in all of
+them, on pages of at least TEMPLATE different texts, is template; the rest is a slot.
+
+Names and classes say which regions a page has: its text is that of its article or main region,
+or without text in one, all of the body, but never text inside menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and comments, which are told by tag, role, class
+or id.  Of the body, and of parts of a region whose names only hint at a menu or notice, the
+wrapper's template goes too; other text of an article or main stays, equal or not.  A block goes
+as a whole or not at all, so that a label inside a sentence stays.
 
 Skeletons are made distinct in every task before the shuffle and aligned in two levels (parts of
 a host, then the host), so neither a hot host nor one with many layouts meets in one task.
@@ -17,10 +22,12 @@ a host, then the host), so neither a hot host nor one with many layouts meets in
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -32,6 +39,7 @@ from standlab.session import cut_lineage
 
 PERIOD = 12  # tokens of a repeated run at most
 PARTS = 32  # parts of a host's skeletons that are aligned apart
+TEMPLATE = 3  # pages of different text that show a common text to be template; two may be copies
 SLOT = "#"
 
 # fixed values: names of HTML elements and of page regions
@@ -56,6 +64,9 @@ _PARTS = ("area|bar|block|box|buttons?|container|content|form|icons?|inner|items
 _BESIDE = "(?:posts?|article|entry)[_-]+(?=comments?|nav|share|sharing|social|related)"  # a text's header is its own
 # a whole class, id or role: names, and besides them only words for a place in the site or for a container
 NOISE = re.compile(rf"(?:(?:{_SITE})[_-]+|{_BESIDE})*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_SITE}|{_PARTS}))*", re.I)
+HINT = re.compile(rf"(?:^|[_-])(?:{_NAMES})(?=$|[_-])", re.I)  # a name inside another one
+_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_PLAIN = re.compile(r"[A-Za-z_-]*[A-Za-z_]")  # classes with digits may be those of one page
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _LAYOUT = re.compile(r"\b(?:no|has|with|without)[-_][\w-]+", re.I)  # names of the page's layout, not of a region
@@ -63,7 +74,7 @@ _ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|for
 
 
 def tokens(source: str | None):
-    """('open', name, noise), ('close', name, None) and ('text', raw, None) of a page, in order.
+    """('open', name, label), ('close', name, None) and ('text', raw, None) of a page, in order.
 
     The inside of raw elements is skipped; a tag that the page ends in is none.
     """
@@ -87,113 +98,176 @@ def tokens(source: str | None):
         if m[1]:
             yield "close", name, None
             continue
-        yield "open", name, _noise(name, m[3] or "")
+        yield "open", name, _label(name, m[3] or "")
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             yield "close", name, None
 
 
-def _noise(name: str, attributes: str) -> str:
-    """Whether the element is no main text: by its name, or by a whole class, id or role.
+def _label(name: str, attributes: str) -> str:
+    """Name and classes of an element; '-' behind them where it is no main text, '~' for a hint of that.
 
-    An article or main is never told by these, and a name that is part of another one, as in
-    entry-header or share-price-report, tells nothing.
+    It is no main text by its name, or by a whole class, id or role.  An article or main is never
+    told by these, and a name that is part of another one, as in entry-header or
+    share-price-report, is a hint.
     """
     if name in SKIPPED:
-        return "-"
-    if name not in ("html", "body", *REGION) and "=" in attributes:
-        for m in _MARKS.finditer(attributes):
-            value = m[1] or m[2] or m[3] or ""
-            if any(NOISE.fullmatch(t) or _ROLES.match(t) for t in value.split() if not _LAYOUT.fullmatch(t)):
-                return "-"
-    return ""
+        return name + "-"
+    if name in ("html", "body", *REGION) or "=" not in attributes:
+        return name
+    mark = ""
+    for m in _MARKS.finditer(attributes):
+        for t in (m[1] or m[2] or m[3] or "").split():
+            if _LAYOUT.fullmatch(t):
+                continue
+            if NOISE.fullmatch(t) or _ROLES.match(t):
+                return name + "-"
+            if HINT.search(t):
+                mark = "~"
+    m = _CLASS.search(attributes)
+    classes = sorted({t for t in (m[1] or m[2] or m[3] or "").split() if _PLAIN.fullmatch(t)}) if m else []
+    return ".".join([name, *classes]) + mark
+
+
+@lru_cache(1 << 16)
+def place(path: str) -> str:
+    """'noise', 'region' (inside an article or main), 'hint' (there, where a name hints at noise) or 'body'."""
+    elements = path.split("/")
+    if any(e.endswith("-") for e in elements):
+        return "noise"
+    if not REGION & set(elements):
+        return "body"
+    return "hint" if any(e.endswith("~") for e in elements) else "region"
 
 
 def texts(source: str | None):
-    """(path, raw text, block number) of all text of a page; a path names the open elements.
+    """(path, raw text, block number) of all text of a page; a path has the labels of the open elements.
 
-    An element that is no main text ends its name with '-'.  Open paragraphs, items and cells end
+    Open paragraphs, items and cells end
     as in HTML; a block ends wherever an element that is not inline begins or ends.
     """
-    stack: list[str] = []
+    names: list[str] = []
+    labels: list[str] = []
     block = 0
-    for kind, value, noise in tokens(source):
+    for kind, value, label in tokens(source):
         if kind == "text":
-            yield "/".join(stack), value, block
+            yield "/".join(labels), value, block
             continue
         if value not in INLINE:
             block += 1
         if kind == "open":
-            names = [s.rstrip("-") for s in stack]
             if value in ENDS_P and "p" in names:
-                del stack[names.index("p"):]
+                del labels[names.index("p"):], names[names.index("p"):]
             elif value in CLOSED_BY:
                 for i in range(len(names) - 1, -1, -1):
                     if names[i] in CLOSED_BY[value]:
-                        del stack[i:]
+                        del names[i:], labels[i:]
                         break
                     if names[i] in SCOPE:
                         break
             if value not in VOID:
-                stack.append(value + noise)
-        elif value in (names := [s.rstrip("-") for s in stack]):
-            del stack[len(names) - 1 - names[::-1].index(value):]
+                names.append(value)
+                labels.append(label)
+        elif value in names:
+            i = len(names) - 1 - names[::-1].index(value)
+            del names[i:], labels[i:]
+
+
+def mark(path: str, raw: str) -> int:
+    """48 bits of a path and its text without regard to white space."""
+    data = f"{path}\n{' '.join(html.unescape(raw).split())}".encode("utf-8", "replace")
+    return int.from_bytes(hashlib.blake2b(data, digest_size=6).digest(), "big")
+
+
+def candidates(source: str | None) -> list[tuple[str, str, int]]:
+    """(path, raw text, block) of a page that can be main text: its region's, or without text there its body's."""
+    clean = [t for t in texts(source) if place(t[0]) != "noise"]
+    inside = [t for t in clean if place(t[0]) != "body"]
+    return inside if any(raw.strip() for _, raw, _ in inside) else clean
+
 
+NONE = (frozenset(), ())  # of a slot: no common texts, seen on no pages
 
-def skeleton(source: str | None) -> list:
-    """Paths of the page's slots in order, with immediate repeats as groups ('+', [...])."""
+
+def skeleton(source: str | None) -> tuple[list, list]:
+    """Paths of the page's slots in order, with immediate repeats as groups ('+', [...]), and for
+    each node (marks of its texts, marks of the pages).  Noise, which is never taken, is left out."""
+    page = hashlib.blake2b(digest_size=6)
+    for path, raw, _ in candidates(source):
+        page.update(mark(path, raw).to_bytes(6, "big"))
+    seen = (int.from_bytes(page.digest(), "big"),)
     out: list = []
+    known: list = []
     for path, raw, _ in texts(source):
-        if not raw.strip():
+        where = place(path)
+        if where == "noise" or not raw.strip():
             continue
         out.append(path + SLOT)
-        _fold(out)
-    return out
+        known.append(set() if where == "region" else {mark(path, raw)})
+        _fold(out, known)
+    return out, [(frozenset(k), seen) if k else NONE for k in known]
 
 
-def _fold(out: list) -> None:
+def _fold(out: list, known: list) -> None:
     """Take back the last run if it repeats the run, or the group, before it."""
     for k in range(1, min(PERIOD, len(out) - 1) + 1):
         group = out[-k - 1]
         if isinstance(group, tuple) and group[0] == "+" and list(group[1]) == out[-k:]:
-            del out[-k:]
+            known[-k - 1].update(*known[-k:])
+            del out[-k:], known[-k:]
             return
         if 2 * k <= len(out) and out[-k:] == out[-2 * k:-k]:
             run = tuple(out[-k:])
-            del out[-2 * k:]
+            texts_of = set().union(*known[-2 * k:])
+            del out[-2 * k:], known[-2 * k:]
             out.append(run[0] if k == 1 and isinstance(run[0], tuple) and run[0][0] == "+" else ("+", run))
+            known.append(texts_of)
             return
 
 
 def align(a: list, b: list) -> list:
     """The union-free expression of two: common nodes stay, what one lacks is optional."""
+    return merge(a, [NONE] * len(a), b, [NONE] * len(b))[0]
+
+
+def merge(a: list, known_a: list, b: list, known_b: list) -> tuple[list, list]:
+    """``align`` of two expressions, and what is known of the texts at its nodes."""
+    if a == b:
+        return a, [_common(p, q) for p, q in zip(known_a, known_b)]
     plain = [n for n in (*a, *b) if isinstance(n, tuple) and n[0] == "+"]
-    a, b = _as_groups(a, plain), _as_groups(b, plain)
+    (a, known_a), (b, known_b) = _as_groups(a, known_a, plain), _as_groups(b, known_b, plain)
     bare_a, bare_b = ([n[1] if isinstance(n, tuple) and n[0] == "?" else (n,) for n in x] for x in (a, b))
-    out = []
+    out, known = [], []
     for op, i, j, k, m in SequenceMatcher(None, bare_a, bare_b, autojunk=False).get_opcodes():
         if op == "equal":  # optional where either side has it optional
             out += [x if isinstance(x, tuple) and x[0] == "?" else y for x, y in zip(a[i:j], b[k:m])]
+            known += [_common(p, q) for p, q in zip(known_a[i:j], known_b[k:m])]
         else:
             for side in (a[i:j], b[k:m]):
                 out += [n if isinstance(n, tuple) and n[0] == "?" else ("?", (n,)) for n in side]
-    return out
+            known += [*known_a[i:j], *known_b[k:m]]
+    return out, known
 
 
-def _as_groups(nodes: list, groups: list) -> list:
+def _common(p: tuple, q: tuple) -> tuple:
+    """The texts that both sides of a node have; the pages are as many as show a template."""
+    both = p[0] & q[0]
+    return (both, tuple(sorted({*p[1], *q[1]})[:TEMPLATE])) if both else NONE
+
+
+def _as_groups(nodes: list, known: list, groups: list) -> tuple[list, list]:
     """Runs that are a known repeated group's content once, as that group."""
     for group in groups:
-        run, out, i = list(group[1]), [], 0
+        run, out, kept, i = list(group[1]), [], [], 0
         while i < len(nodes):
-            if nodes[i:i + len(run)] == run:
-                out.append(group)
-                i += len(run)
-            else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-    return nodes
+            k = len(run) if nodes[i:i + len(run)] == run else 1
+            out.append(group if nodes[i:i + len(run)] == run else nodes[i])
+            told = [x for x in known[i:i + k] if x[0]]
+            kept.append((frozenset().union(*[t for t, _ in told]), min((p for _, p in told), key=len)) if told else NONE)
+            i += k
+        nodes, known = out, kept
+    return nodes, known
 
 
 def expression(nodes) -> str:
@@ -209,53 +283,72 @@ def slots(nodes) -> list[str]:
     return list(found)
 
 
-def main_slots(paths: list[str]) -> set[str]:
-    """The slots that can hold main text."""
-    return {p for p in paths if not any(e.endswith("-") for e in p.rstrip(SLOT).split("/"))}
-
-
 def _tuples(nodes):
     return [n if isinstance(n, str) else (n[0], tuple(_tuples(n[1]))) for n in nodes]
 
 
-def _wrap(skeletons) -> str:
-    """Alignment of skeletons or wrappers, the shortest first, ties by text."""
-    ordered = sorted(set(skeletons), key=lambda s: (len(s), s))
-    wrapper = _tuples(json.loads(ordered[0]))
-    for s in ordered[1:]:
-        wrapper = align(wrapper, _tuples(json.loads(s)))
-    return json.dumps(wrapper, separators=(",", ":"))
+def _written(nodes: list, known: list) -> tuple[str, str]:
+    return (json.dumps(nodes, separators=(",", ":")),
+            json.dumps([[sorted(t), p] if t else [] for t, p in known], separators=(",", ":")))
+
+
+def _read(nodes: str, known: str) -> tuple[list, list]:
+    return _tuples(json.loads(nodes)), [(frozenset(k[0]), tuple(k[1])) if k else NONE for k in json.loads(known)]
+
+
+def _wrap(rows) -> tuple[str, str]:
+    """Alignment of (skeleton or wrapper, what is known of its texts), the shortest first, ties by text."""
+    ordered = sorted(set(rows), key=lambda r: (len(r[0]), *r))
+    wrapper = _read(*ordered[0])
+    for r in ordered[1:]:
+        wrapper = merge(*wrapper, *_read(*r))
+    return _written(*wrapper)
+
+
+def _template(known: str) -> list[int]:
+    return sorted({t for k in json.loads(known) if k and len(k[1]) >= TEMPLATE for t in k[0]})
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON of nodes) from pages (host, html) of the same host."""
+    """host, wrapper (JSON of nodes) and template (marks of its constant texts) from pages (host, html) of the same host."""
+    kind = "host string, wrapper string, known string"
+
     def read(batches):
         for batch in batches:
-            seen = {(h, json.dumps(skeleton(x), separators=(",", ":"))) for h, x in zip(batch["host"], batch["html"])}
-            yield pd.DataFrame(sorted(seen), columns=["host", "skeleton"])
-
-    def join(column):
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [_wrap(rows[column])]})
-        return run
+            found: dict[tuple, list] = {}
+            for h, x in zip(batch["host"], batch["html"]):
+                nodes, known = skeleton(x)
+                key = h, json.dumps(nodes, separators=(",", ":"))
+                found[key] = [_common(p, q) for p, q in zip(found[key], known)] if key in found else known
+            yield pd.DataFrame([(h, w, _written([], k)[1]) for (h, w), k in sorted(found.items())],
+                               columns=["host", "wrapper", "known"])
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        wrapper, known = _wrap(zip(rows["wrapper"], rows["known"]))
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [wrapper], "known": [known]})
+
+    def constant(batches):
+        for batch in batches:
+            yield batch[["host", "wrapper"]].assign(template=[_template(k) for k in batch["known"]])
 
-    distinct = pages.select("host", "html").mapInPandas(read, "host string, skeleton string").distinct()
-    part = F.pmod(F.xxhash64("skeleton"), F.lit(PARTS))
-    partial = distinct.groupBy("host", part).applyInPandas(join("skeleton"), "host string, wrapper string")
-    return partial.groupBy("host").applyInPandas(join("wrapper"), "host string, wrapper string")
+    distinct = pages.select("host", "html").mapInPandas(read, kind).distinct()
+    partial = distinct.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))).applyInPandas(join, kind)
+    wrappers = partial.groupBy("host").applyInPandas(join, kind)
+    return wrappers.mapInPandas(constant, "host string, wrapper string, template array<long>")
 
 
-def main_text(source: str | None, wanted: set[str]) -> str:
-    """Text of the wanted slots: references decoded, white space of a block one space, blocks by \\n.
+def main_text(source: str | None, template: set[int]) -> str:
+    """Text of a page: references decoded, white space of a block one space, blocks by \\n.
 
-    A page with text in an article or main region gives that region's text only.
+    Blocks of nothing but template are left out, except in a region where no name hints at noise.
     """
-    taken = [(path, raw, block) for path, raw, block in texts(source) if path + SLOT in wanted]
-    inside = [t for t in taken if REGION & set(t[0].split("/"))]
     blocks: dict[int, list[str]] = {}
-    for _, raw, block in inside if any(raw.strip() for _, raw, _ in inside) else taken:
+    own: set[int] = set()
+    for path, raw, block in candidates(source):
         blocks.setdefault(block, []).append(raw)
-    lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
+        if raw.strip() and (place(path) == "region" or mark(path, raw) not in template):
+            own.add(block)
+    lines = (" ".join(html.unescape("".join(parts)).split()) for block, parts in blocks.items() if block in own)
     return "\n".join(line for line in lines if line)
 
 
@@ -269,16 +362,10 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = cut_lineage(infer(known))
 
     @F.pandas_udf("string")
-    def text_of(sources: pd.Series, wrappers: pd.Series) -> pd.Series:
-        wanted: dict[str, set[str]] = {}
-        out = []
-        for source, wrapper in zip(sources, wrappers):
-            if wrapper not in wanted:
-                wanted[wrapper] = main_slots(slots(_tuples(json.loads(wrapper))))
-            out.append(main_text(source, wanted[wrapper]))
-        return pd.Series(out, dtype=object)
-
-    found = known.join(wrappers, "host").withColumn("text", text_of("html", "wrapper"))
+    def text_of(sources: pd.Series, templates: pd.Series) -> pd.Series:
+        return pd.Series([main_text(x, set(t)) for x, t in zip(sources, templates)], dtype=object)
+
+    found = known.join(wrappers.select("host", "template"), "host").withColumn("text", text_of("html", "template"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "host")
 
 

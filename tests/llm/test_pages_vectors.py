@@ -167,6 +167,19 @@ def test_names_are_whole_classes(spark, pages):
     assert [got[i] for i in range(len(rows))] == ["a"] * len(kept) + [""] * len(lost)
 
 
+def test_equal_text_of_a_host_is_template(spark, pages):
+    words = "one two three four five".split()
+    old = ["<div>Home</div><ul class=x><li>News<li>About</ul><div><p>Price: <b>{}</b></p></div><p class=fine>All rights</p>".format(w) for w in words]
+    new = [f"<article><h1>Same</h1><div class=share-price-report>{h}</div><p>{h}</p><div class=entry-notice>Sign up</div></article>" for h in words]
+    rows = [(i, "http://old/", h) for i, h in enumerate(old)] + [(i + 10, "http://new/", h) for i, h in enumerate(new)]
+    rows += [(i + 20, f"http://both/{i}", h) for i, h in enumerate(old + new)] + [(i + 40, "http://copies/", old[i % 2]) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages(rows)).collect()}
+    whole = [f"Home\nNews\nAbout\nPrice: {w}\nAll rights" for w in words]
+    assert [got[i] for i in range(5)] == [got[i + 20] for i in range(5)] == [f"Price: {w}" for w in words]
+    assert [got[i + 10] for i in range(5)] == [got[i + 25] for i in range(5)] == [f"Same\n{w}\n{w}" for w in words]
+    assert [got[i + 40] for i in range(6)] == whole[:2] * 3
+
+
 def test_wrapper_has_repeats_and_options(spark, pages):
     rows = [(i, "http://h/", "<article><h1>t</h1>" + "<p>x</p><h2>y</h2>" * (i % 4) + ("<blockquote>q</blockquote>" if i % 2 else "") + "</article>")
             for i in range(1, 9)]
