@@ -16,8 +16,9 @@ or id.  Of the body, and of parts of a region whose names only hint at a menu or
 wrapper's template goes too; other text of an article or main stays, equal or not.  A block goes
 as a whole or not at all, so that a label inside a sentence stays.
 
-Skeletons are made distinct in every task before the shuffle and aligned in two levels (parts of
-a host, then the host), so neither a hot host nor one with many layouts meets in one task.
+Skeletons are made distinct in every task before the shuffle and aligned in a tree: every round
+deals a host's expressions into parts of about FAN and leaves one of each part, until the host has
+one wrapper.  So neither a hot host nor one with many layouts meets in one task.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ from standlab.llm.url_filter import host_of
 from standlab.session import cut_lineage
 
 PERIOD = 12  # tokens of a repeated run at most
-PARTS = 32  # parts of a host's skeletons that are aligned apart
+FAN = 16  # expressions of a host that are aligned in one part of a round
+HELD = 5000  # distinct skeletons that a task holds before it passes them on
 TEMPLATE = 3  # pages of different text that show a common text to be template; two may be copies
 SLOT = "#"
 
@@ -296,45 +298,70 @@ def _read(nodes: str, known: str) -> tuple[list, list]:
     return _tuples(json.loads(nodes)), [(frozenset(k[0]), tuple(k[1])) if k else NONE for k in json.loads(known)]
 
 
-def _wrap(rows) -> tuple[str, str]:
-    """Alignment of (skeleton or wrapper, what is known of its texts), the shortest first, ties by text."""
-    ordered = sorted(set(rows), key=lambda r: (len(r[0]), *r))
-    wrapper = _read(*ordered[0])
-    for r in ordered[1:]:
-        wrapper = merge(*wrapper, *_read(*r))
-    return _written(*wrapper)
-
-
 def _template(known: str) -> list[int]:
     return sorted({t for k in json.loads(known) if k and len(k[1]) >= TEMPLATE for t in k[0]})
 
 
 def infer(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON of nodes) and template (marks of its constant texts) from pages (host, html) of the same host."""
+    columns = ["host", "wrapper", "known"]
     kind = "host string, wrapper string, known string"
 
     def read(batches):
+        found: dict[tuple, list] = {}
+
+        def passed():
+            rows = [(h, w, _written([], k)[1]) for (h, w), k in sorted(found.items())]
+            found.clear()
+            return pd.DataFrame(rows, columns=columns)
+
         for batch in batches:
-            found: dict[tuple, list] = {}
             for h, x in zip(batch["host"], batch["html"]):
                 nodes, known = skeleton(x)
                 key = h, json.dumps(nodes, separators=(",", ":"))
                 found[key] = [_common(p, q) for p, q in zip(found[key], known)] if key in found else known
-            yield pd.DataFrame([(h, w, _written([], k)[1]) for (h, w), k in sorted(found.items())],
-                               columns=["host", "wrapper", "known"])
+                if len(found) >= HELD:
+                    yield passed()
+        yield passed()
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        wrapper, known = _wrap(zip(rows["wrapper"], rows["known"]))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [wrapper], "known": [known]})
+    def join(batches):  # rows of a part lie together, the shortest first, equal expressions side by side
+        part, last, wrapper, same = None, None, None, None
+
+        def aligned():
+            return same if wrapper is None else merge(*wrapper, *same)
+
+        for batch in batches:
+            done = []
+            for h, k, w, known in zip(batch["host"], batch["part"], batch["wrapper"], batch["known"]):
+                row = _read(w, known)
+                if (h, k) != part:
+                    if part is not None:
+                        done.append((part[0], *_written(*aligned())))
+                    part, wrapper, same = (h, k), None, row
+                elif w == last:
+                    same = merge(*same, *row)
+                else:
+                    wrapper, same = aligned(), row
+                last = w
+            yield pd.DataFrame(done, columns=columns)
+        if part is not None:
+            yield pd.DataFrame([(part[0], *_written(*aligned()))], columns=columns)
 
     def constant(batches):
         for batch in batches:
             yield batch[["host", "wrapper"]].assign(template=[_template(k) for k in batch["known"]])
 
-    distinct = pages.select("host", "html").mapInPandas(read, kind).distinct()
-    partial = distinct.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))).applyInPandas(join, kind)
-    wrappers = partial.groupBy("host").applyInPandas(join, kind)
-    return wrappers.mapInPandas(constant, "host string, wrapper string, template array<long>")
+    state, turn, most = cut_lineage(pages.select("host", "html").mapInPandas(read, kind)), 0, 2
+    while most > 1:
+        parts = (state.select("host", F.xxhash64("wrapper").alias("w")).distinct().groupBy("host")
+                 .agg(F.ceil(F.count(F.lit(1)) / FAN).alias("parts")))
+        most = parts.agg(F.max("parts")).first()[0] or 0
+        part = F.pmod(F.xxhash64("wrapper", F.lit(turn)), F.col("parts")).alias("part")
+        state = cut_lineage(state.join(parts, "host").select("host", part, "wrapper", "known").repartition("host", "part")
+                            .sortWithinPartitions("host", "part", F.length("wrapper"), "wrapper", "known")
+                            .mapInPandas(join, kind))
+        turn += 1
+    return state.mapInPandas(constant, "host string, wrapper string, template array<long>")
 
 
 def main_text(source: str | None, template: set[int]) -> str:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from standlab.llm import topk, url_filter, warc, wrappers
+from standlab.session import cut_lineage
 
 
 @pytest.fixture
@@ -189,6 +190,24 @@ def test_wrapper_has_repeats_and_options(spark, pages):
     assert "|" not in text
 
 
+def test_skeletons_of_a_host_meet_in_rounds(spark, pages, monkeypatch):
+    rounds = []
+
+    def kept(df):
+        df = cut_lineage(df)
+        rounds.append(df.count())
+        return df
+
+    monkeypatch.setattr(wrappers, "FAN", 4)
+    monkeypatch.setattr(wrappers, "cut_lineage", kept)
+    tags = "p h2 blockquote pre h3 dt".split()
+    rows = [(i, "http://h/", "<div>Menu</div><section>" + "".join(f"<{t}>{t}{i}</{t}>" for j, t in enumerate(tags) if i >> j & 1) + "</section>")
+            for i in range(1, 61)] * 2 + [(99, "http://one/", "<p>x</p>")]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages(rows)).collect()}
+    assert got == {99: "x"} | {i: "\n".join(f"{t}{i}" for j, t in enumerate(tags) if i >> j & 1) for i in range(1, 61)}
+    assert rounds[0] >= 61 and rounds[1] <= 16 and rounds[-2] == 2 and len(rounds) >= 5
+
+
 def test_alignment_covers_both_sides():
     rng = random.Random(1)
     for _ in range(100):
