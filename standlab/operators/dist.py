@@ -118,11 +118,12 @@ def kernel_density(df: DataFrame, by: list[str], col: str, points: int = 512,
         smooth, keys + "point int, x double, density double, scaled double")
 
 
-def weibull_fit(df: DataFrame, by: list[str], col: str, steps: int = 10) -> DataFrame:
+def weibull_fit(df: DataFrame, by: list[str], col: str, steps: int = 200, tol: float = 1e-10) -> DataFrame:
     """Weibull shape and scale by maximum likelihood for every group at once.
 
     Rows collapse to value counts; a Newton step on the shape is one aggregate joined to
-    the table of shapes.  Groups without spread or with too few values give no row.
+    the table of shapes.  Groups without spread or with too few values give no row.  The fit stops
+    when no shape moves by the share ``tol`` or more; one that has not after ``steps`` steps raises.
     """
     z = F.log(col)
     rows = (df.filter(F.col(col) > 0).groupBy(*by, col)
@@ -130,32 +131,39 @@ def weibull_fit(df: DataFrame, by: list[str], col: str, steps: int = 10) -> Data
             .withColumn("_z", z).persist())
     start = (rows.groupBy(*by).agg(
         F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.col("_z")) / F.sum("_n")).alias("_m"),
-        F.sum(F.col("_n") * F.col("_z") * F.col("_z")).alias("_q"))
+        F.sum(F.col("_n") * F.col("_z") * F.col("_z")).alias("_q"), F.max("_z").alias("_top"))
         .withColumn("_v", F.col("_q") / F.col("n") - F.col("_m") * F.col("_m"))
         .filter("n > 1 AND _v > 1e-12")
-        .select(*by, "n", "_m", (1.2825 / F.sqrt("_v")).alias("shape")))
+        .select(*by, "n", "_m", "_top", (1.2825 / F.sqrt("_v")).alias("shape")))
     state = cut_lineage(start)
     small = state.count() <= SMALL_ROWS
-    # values are divided by their geometric mean, which keeps the powers in range
-    t = F.col("_z") - F.col("_m")
+    # values are divided by the largest, which keeps the powers in range
+    t = F.col("_z") - F.col("_top")
     e = F.col("_n") * F.exp(F.col("shape") * t)
+    moved = 0.0
     for i in range(steps):
         joined = rows.join(F.broadcast(state) if small else state, by)
         s = joined.groupBy(*by).agg(F.first("n").alias("n"), F.first("_m").alias("_m"),
-                                    F.first("shape").alias("shape"), F.sum(e).alias("s0"),
+                                    F.first("_top").alias("_top"), F.first("shape").alias("shape"), F.sum(e).alias("s0"),
                                     F.sum(e * t).alias("s1"), F.sum(e * t * t).alias("s2"))
         k, ratio = F.col("shape"), F.col("s1") / F.col("s0")
         slope = F.col("s2") / F.col("s0") - ratio * ratio + 1 / (k * k)
-        step = F.greatest(k / 3, k - (ratio - 1 / k) / slope)
-        state = s.select(*by, "n", "_m", step.alias("shape"))
-        if i % 3 == 2:
+        step = F.greatest(k / 3, k - (ratio - (F.col("_m") - F.col("_top")) - 1 / k) / slope)
+        state = s.select(*by, "n", "_m", "_top", step.alias("shape"), F.abs(step / k - 1).alias("_moved"))
+        if i % 3 == 2 or i == steps - 1:
             state = cut_lineage(state)
+            moved = state.agg(F.max("_moved")).first()[0] or 0.0
+            if moved < tol:
+                break
+    else:
+        rows.unpersist()
+        raise ArithmeticError(f"no convergence in {steps} steps; the last moved by {moved:.1e}")
     joined = rows.join(F.broadcast(state) if small else state, by)
     out = joined.groupBy(*by).agg(
         F.first("n").cast("bigint").alias("n"), F.first("shape").alias("shape"),
-        F.first("_m").alias("_m"), F.sum(e).alias("_s"))
+        F.first("_top").alias("_top"), F.sum(e).alias("_s"))
     k = F.col("shape")
-    out = out.withColumn("scale", F.exp("_m") * F.pow(F.col("_s") / F.col("n"), 1 / k))
+    out = out.withColumn("scale", F.exp("_top") * F.pow(F.col("_s") / F.col("n"), 1 / k))
     out = cut_lineage(out.select(*by, "n", "shape", "scale"))
     rows.unpersist()
     return out

@@ -194,8 +194,12 @@ RESULT = ("n long, estimate array<double>, se array<double>, cov array<double>,
 
 def fit_forms(df: DataFrame, y: str, forms: dict[str, tuple[str, list[str]]],
               starts: dict[str, tuple] | None = None, collapse: bool = True,
-              weight: str | None = None, max_iter: int = 60, tol: float = 1e-9) -> dict[str, dict]:
-    """Fit several curves at once; every step reads the rows once for all of them."""
+              weight: str | None = None, max_iter: int = 1000, tol: float = 1e-9) -> dict[str, dict]:
+    """Fit several curves at once; every step reads the rows once for all of them.
+
+    A curve stops when a step gains no more than the share ``tol`` of its squared error, or when no
+    step of any length gains; curves that have not after ``max_iter`` steps raise.
+    """
     xs = list(dict.fromkeys(x for _, cols in forms.values() for x in cols))
     rows = _prepare(df, y, xs, [], collapse, weight).withColumn("_all", F.lit(0)).persist()
     spark = df.sparkSession
@@ -221,6 +225,8 @@ def fit_forms(df: DataFrame, y: str, forms: dict[str, tuple[str, list[str]]],
                 fits[name].advance(row[f"sse_{i}"], row[f"g_{i}"], row[f"h_{i}"], tol)
     finally:
         rows.unpersist()
+    if open_ := [name for name in forms if not fits[name].done]:
+        raise ArithmeticError(f"no convergence in {max_iter} steps: {', '.join(open_)}")
     return {name: {**fit.result(sizes[name]), "params": FORMS[forms[name][0]].params}
             for name, fit in fits.items() if fit.h is not None}
 
@@ -240,9 +246,10 @@ def parameter_table(spark, fits: dict[str, dict]) -> DataFrame:
 
 
 def nls_by(df: DataFrame, y: str, form: str, xs: list[str], by: list[str], start=None,
-           collapse: bool = True, weight: str | None = None, max_iter: int = 40,
+           collapse: bool = True, weight: str | None = None, max_iter: int = 1000,
            tol: float = 1e-9) -> DataFrame:
-    """Fit one curve per group; groups that fail give no row.
+    """Fit one curve per group; groups that fail give no row, and groups that have not settled
+    after ``max_iter`` steps raise.
 
     Without start values every group starts from the curve through all rows.
     """
@@ -291,6 +298,8 @@ def nls_by(df: DataFrame, y: str, form: str, xs: list[str], by: list[str], start
         stats = rows.join(F.broadcast(now) if small else now, by).groupBy(*by).agg(*sums)
         state = cut_lineage(state.join(stats, by, "left").mapInPandas(update, schema))
     rows.unpersist()
+    if left := state.filter("NOT fit_done").count():
+        raise ArithmeticError(f"no convergence in {max_iter} steps: {left} groups")
 
     def finish(batches):
         for pdf in batches:
