@@ -8,7 +8,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 _OPERATORS = ["ngram_join", "language", "topk", "warc", "url_filter", "wrappers", "quality", "substring_dedup", "decontaminate", "bpe",
-              "simhash", "collocations"]
+              "simhash", "collocations", "hard_negatives"]
 
 
 def register(name: str, sql: str | None = None):
