@@ -8,8 +8,10 @@ by frequency themselves, and phrases of three words are addresses in (pair rank,
 the same way; only triples of two frequent pairs are looked at, as no other can be frequent.
 
 The ids that travel to the tasks are bounded: HEAD words and PAIRS pairs.  Beyond them nothing is
-lost.  Phrases that hold a word without an id are counted as texts, and triples of a pair without a
-rank as coordinates of three word ids; bitmaps of fixed size keep most infrequent ones back.
+lost.  Triples of a pair without a rank are coordinates of three word ids.  Phrases that hold a word
+without an id are coordinates too, by a 64-bit hash; those whose hash is frequent are then counted by
+their texts, so a clash of hashes costs time, no count.  Bitmaps of fixed size say which words, pairs
+and hashes are frequent; where they are wrong they let too much pass, never too little.
 """
 
 from __future__ import annotations
@@ -17,28 +19,29 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from standlab.llm.packed import pack, unpack
 from standlab.llm.registry import register
 from standlab.llm.tables import ready, table
-from standlab.llm.words import mix, utf8
+from standlab.llm.words import gram_hashes, mix, utf8
 from standlab.session import cut_lineage
 
-HEAD = 1 << 17  # words with an id
-PAIRS = 1 << 18  # pairs with a rank
+HEAD = 1 << 15  # words with an id
+PAIRS = 1 << 16  # pairs with a rank
 LONGEST = 64  # bytes of a word with an id
 SIDE = 512  # of a tile
 FULL = SIDE * SIDE // 8  # addresses of a run that make a tile dense
 RUN = 1 << 20  # addresses counted at once
 TILES = 48  # dense tiles a task holds
 BITS = 20  # of a word id in a key
-SLOTS = 1 << 25  # bits of a bitmap
+SLOTS = 1 << 24  # bits of a bitmap
 PIECE = 1 << 20  # bytes of a text that are split at once
+SEED = 42  # of word hashes, as Spark has it
 EDGE = b"."  # stands for every end of a piece
 _TABLE = bytes(ord(EDGE) if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c
                for c in range(256))
@@ -71,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 mine = counts.setdefault(lang, Counter())
                 for words in pieces(text, 1):
                     mine.update(words)
-                if len(mine) > RUN // 4 or len(counts) > 1000:
+                if sum(map(len, counts.values())) > RUN // 4:
                     yield rows(counts, total)
                     counts = {}
         yield rows(counts, total)
@@ -91,18 +94,53 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Ids:
     """Word ids by language, built in each task from the plain lists that are broadcast."""
 
-    def __init__(self, langs: list[str], words: list[bytes]):
+    def __init__(self, langs: list[str], words: list[bytes], frequent: np.ndarray | None):
         self.of: dict[str, dict[bytes, int]] = {}
+        self.frequent = frequent
         for i, (lang, word) in enumerate(zip(langs, words)):
             self.of.setdefault(lang, {EDGE: -1})[word] = i
         self.none = {EDGE: -1}
 
-    def array(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """Ids of the words, -1 for an edge (one follows the last word), -2 for a word without id."""
+    def array(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and hashes of the words, and of an edge behind them.
+
+        An id is -1 for an edge or a word that is not frequent, -2 for a frequent word without id.
+        """
         get = self.of.get(lang, self.none).get
-        out = np.full(len(words) + 1, -1, np.int64)
-        out[:-1] = [get(w, -2) for w in words]
-        return out
+        ids = np.full(len(words) + 1, -1, np.int64)
+        ids[:-1] = [get(w, -2) for w in words]
+        hashes = mix(ids.view(np.uint64))
+        at = np.flatnonzero(ids == -2)
+        if len(at) and self.frequent is None:
+            ids[at] = -1
+        elif len(at):
+            digest = xxhash.xxh64_intdigest
+            own = np.array([digest(words[i], SEED) for i in at.tolist()], np.uint64)
+            hashes[at] = own ^ np.uint64(digest(lang.encode("utf-8", "surrogatepass"), SEED))
+            ids[at[~in_bitmap(self.frequent, own.view(np.int64))]] = -1
+        return ids, hashes
+
+    def texts(self, batch, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and hashes of a batch of texts, one behind the other."""
+        both = [self.array(lang, some) for lang, text in zip(batch["lang"], utf8(batch["text"])) for some in pieces(text, size)]
+        return tuple(np.concatenate(x) for x in zip(*both)) if both else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def with_tail(ids: np.ndarray, size: int) -> np.ndarray:
+    """Whether ``size`` frequent words, one without id among them at least, start at each word."""
+    if len(ids) < size:
+        return np.zeros(0, bool)
+    span = np.lib.stride_tricks.sliding_window_view(ids, size)
+    return (span != -1).all(axis=1) & (span == -2).any(axis=1)
+
+
+def tail_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    return gram_hashes(hashes, size)[:max(0, len(hashes) - size + 1)].view(np.int64)
+
+
+def in_bitmap(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    slot = numbers % SLOTS
+    return bits[slot >> 3] >> (slot & 7) & 1 > 0
 
 
 # -- counting addresses ---------------------------------------------------------------------
@@ -115,30 +153,55 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+class Coordinates:
+    """Counts of keys of one task, as sorted runs."""
+
+    def __init__(self):
+        self.runs, self.held = [], 0
+
+    def add(self, keys: np.ndarray):
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+        self.runs.append((keys[first], np.diff(np.append(first, len(keys)))))
+        self.held += len(first)
+        if self.held > 2 * RUN:
+            self.runs = [add_up(*(np.concatenate(x) for x in zip(*self.runs)))]
+            self.held = len(self.runs[0][0])
+
+    def out(self) -> tuple[np.ndarray, np.ndarray]:
+        """All counts so far; the task holds none afterwards."""
+        runs, self.runs, self.held = self.runs, [], 0
+        return add_up(*(np.concatenate(x) for x in zip(*runs))) if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 class Tiles:
-    """Counts of addresses (left, right) of one task; ``ranked`` lefts are ranks, others are keys."""
+    """Counts of addresses (left, right) of one task; lefts below ``ranked`` are ranks, others keys."""
 
     def __init__(self, ranked: int, rights: int):
         self.ranked, self.across = ranked, -(-rights // SIDE)
         self.dense: dict[int, np.ndarray] = {}
         self.waiting, self.n = [], 0
-        self.sparse, self.held = [], 0
+        self.sparse = Coordinates()
 
-    def add(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take addresses in; hands out counts where the task would hold too much."""
+    def add(self, left: np.ndarray, right: np.ndarray):
         self.waiting.append((left, right))
         self.n += len(left)
         if self.n >= RUN:
-            yield from self.count()
+            self.count()
+
+    def full(self) -> bool:
+        return self.sparse.held > RUN or len(self.dense) > TILES
 
     def count(self):
-        left, right = (np.concatenate([w[i] for w in self.waiting]) for i in (0, 1)) if self.waiting else [np.zeros(0, np.int64)] * 2
+        if not self.waiting:
+            return
+        left, right = (np.concatenate(x) for x in zip(*self.waiting))
         self.waiting, self.n = [], 0
         in_rank = np.flatnonzero(left < self.ranked)
         tile = left[in_rank] // SIDE * self.across + right[in_rank] // SIDE
         size = np.bincount(tile)
-        full = np.flatnonzero(size >= FULL)
         is_full = size >= FULL
+        full = np.flatnonzero(is_full)
         at = in_rank[is_full[tile]]
         slot = np.cumsum(is_full) - 1
         address = (slot[tile[is_full[tile]]] * SIDE + left[at] % SIDE) * SIDE + right[at] % SIDE
@@ -150,146 +213,147 @@ class Tiles:
                 self.dense[number] = square.copy()
         rest = np.ones(len(left), bool)
         rest[at] = False
-        keys = left[rest] << BITS | right[rest]
-        self.sparse.append(add_up(keys, np.ones(len(keys), np.int64)))
-        self.held += len(self.sparse[-1][0])
-        if self.held > 2 * RUN:
-            self.sparse = [add_up(*(np.concatenate(x) for x in zip(*self.sparse)))]
-            self.held = len(self.sparse[0][0])
-        if self.held > RUN or len(self.dense) > TILES:
-            yield self.out()
+        self.sparse.add(left[rest] << BITS | right[rest])
 
     def out(self) -> tuple[np.ndarray, np.ndarray]:
         """All counts so far, in order of their keys; the task holds none afterwards."""
-        parts = list(self.sparse)
+        self.count()
+        parts = [self.sparse.out()]
         for number, square in self.dense.items():
             at = np.flatnonzero(square)
             left, right = number // self.across * SIDE + at // SIDE, number % self.across * SIDE + at % SIDE
             parts.append((left << BITS | right, square[at]))
-        self.dense, self.sparse, self.held = {}, [], 0
-        return add_up(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.dense = {}
+        return add_up(*(np.concatenate(x) for x in zip(*parts)))
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, parts: int) -> pd.DataFrame:
+def _dealt(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pd.DataFrame:
     """Packed counts, one row for each target; a tile's rows of addresses are spread over targets."""
     part = (mix((keys >> np.int64(BITS + 3)).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     keys, counts, part = keys[order], counts[order], part[order]
     first = np.flatnonzero(np.diff(part, prepend=-1))
-    rows = [(int(part[a]), pack(np.diff(keys[a:b], prepend=0), np.int64), pack(counts[a:b], np.int64))
+    rows = [(int(part[a]), kind, pack(np.diff(keys[a:b], prepend=0), np.int64), pack(counts[a:b], np.int64))
             for a, b in zip(first, np.append(first[1:], len(part)))]
-    return pd.DataFrame(rows, columns=["part", "keys", "counts"])
+    return pd.DataFrame(rows, columns=["part", "kind", "keys", "counts"])
 
 
 def _added(least: int):
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def run(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new, size = [], 0
+        done, new, size = [none, none], [[], []], [0, 0]
         for batch in batches:
-            for k, c in zip(batch["keys"], batch["counts"]):
-                new.append((np.cumsum(unpack(k, np.int64)), unpack(c, np.int64)))
-                size += len(new[-1][0])
-                if size > max(RUN, len(keys)):
-                    keys, counts = add_up(*(np.concatenate(x) for x in zip((keys, counts), *new)))
-                    new, size = [], 0
-        keys, counts = add_up(*(np.concatenate(x) for x in zip((keys, counts), *new)))
-        often = counts >= least
-        for at in range(0, int(often.sum()), RUN):
-            k, c = keys[often][at:at + RUN], counts[often][at:at + RUN]
-            yield pd.DataFrame({"lhs": k >> BITS, "rhs": k & ((1 << BITS) - 1), "a": c})
+            for kind, k, c in zip(batch["kind"], batch["keys"], batch["counts"]):
+                new[kind].append((np.cumsum(unpack(k, np.int64)), unpack(c, np.int64)))
+                size[kind] += len(new[kind][-1][0])
+                if size[kind] > max(RUN, len(done[kind][0])):
+                    done[kind] = add_up(*(np.concatenate(x) for x in zip(done[kind], *new[kind])))
+                    new[kind], size[kind] = [], 0
+        for kind in (0, 1):
+            keys, counts = add_up(*(np.concatenate(x) for x in zip(done[kind], *new[kind])))
+            often = np.flatnonzero(counts >= least)
+            for at in range(0, len(often), RUN):
+                k, c = keys[often[at:at + RUN]], counts[often[at:at + RUN]]
+                yield pd.DataFrame({"lhs": k if kind else k >> BITS, "rhs": -1 if kind else k & ((1 << BITS) - 1), "a": c})
     return run
 
 
 def _counted(docs: DataFrame, size: int, head, ranked: int, addresses, least: int) -> DataFrame:
-    """lhs, rhs, a: the addresses that ``addresses(ids)`` names in the texts, found ``least`` times at least."""
+    """lhs, rhs, a: what ``addresses(ids, hashes)`` names in the texts, found ``least`` times at least.
+
+    It names addresses, and hashes of phrases with a word without id, which come as lhs beside rhs -1.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        langs, words = head.value
-        ids, tiles = Ids(langs, words), Tiles(ranked, max(1, len(words)))
+        langs, words, frequent = head.value
+        ids, tiles, tail = Ids(langs, words, frequent), Tiles(ranked, max(1, len(words))), Coordinates()
         find = addresses()
         for batch in batches:
-            found = [ids.array(lang, some) for lang, text in zip(batch["lang"], utf8(batch["text"]))
-                     for some in pieces(text, size)]
-            if found:
-                for keys, counts in tiles.add(*find(np.concatenate(found))):
-                    yield _dealt(keys, counts, parts)
-        for keys, counts in tiles.count():
-            yield _dealt(keys, counts, parts)
-        yield _dealt(*tiles.out(), parts)
-
-    packed = docs.mapInPandas(run, "part int, keys binary, counts binary")
+            left, right, others = find(*ids.texts(batch, size))
+            tiles.add(left, right)
+            tail.add(others)
+            if tiles.full():
+                yield _dealt(0, *tiles.out(), parts)
+            if tail.held > RUN:
+                yield _dealt(1, *tail.out(), parts)
+        yield _dealt(0, *tiles.out(), parts)
+        yield _dealt(1, *tail.out(), parts)
+
+    packed = docs.mapInPandas(run, "part int, kind int, keys binary, counts binary")
     return packed.repartitionById(parts, F.col("part")).mapInPandas(_added(least), "lhs long, rhs long, a long")
 
 
 def pair_addresses():
-    def find(ids):
+    def find(ids, hashes):
         both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        return ids[:-1][both], ids[1:][both]
+        return ids[:-1][both], ids[1:][both], tail_hashes(hashes, 2)[with_tail(ids, 2)]
     return find
 
 
 def triple_addresses(ranks, ranked: int):
     """(pair, word) of triples whose two pairs may be frequent; a pair without a rank stands for itself."""
     def make():
-        keys, rank, bits = ranks.value
+        keys, rank, pairs, tails = ranks.value
 
-        def find(ids):
+        def find(ids, hashes):
             known = (ids[:-1] >= 0) & (ids[1:] >= 0)
             pair = np.where(known, ids[:-1] << BITS | ids[1:], -1)
-            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-            left = np.where(keys[at] == pair, rank[at], -1)
-            if bits is not None:
-                slot = pair_slot(ids[:-1], ids[1:])
-                may = known & (left < 0) & (bits[slot >> 3] >> (slot & 7) & 1 > 0)
-                left = np.where(may, ranked + pair, left)
+            left = np.full(len(pair), -1, np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+                left = np.where(keys[at] == pair, rank[at], -1)
+            if pairs is not None:
+                may = np.flatnonzero(known & (left < 0))
+                may = may[in_bitmap(pairs, pair_number(ids[may], ids[may + 1]))]
+                left[may] = ranked + pair[may]
             both = (left[:-1] >= 0) & (left[1:] >= 0)
-            return left[:-1][both], ids[2:][both]
+            others = np.zeros(0, np.int64)
+            if tails is not None:
+                of_tail = np.flatnonzero(with_tail(ids, 2))
+                of_tail = of_tail[in_bitmap(tails, tail_hashes(hashes, 2)[of_tail])]
+                fit = left >= 0
+                fit[of_tail] = True
+                others = tail_hashes(hashes, 3)[with_tail(ids, 3) & fit[:-1] & fit[1:]]
+            return left[:-1][both], ids[2:][both], others
         return find
     return make
 
 
-def pair_slot(left, right):
-    """Place of a pair in the bitmap; for arrays and for columns alike."""
-    return (left * 1_000_003 + right) % SLOTS
+def pair_number(left, right):
+    """A number of a pair of ids for the bitmap; for arrays and for columns alike."""
+    return left * 1_000_003 + right
 
 
-def bitmap(slots: DataFrame) -> np.ndarray:
-    """SLOTS bits, those of the column ``slot`` set."""
-    place = F.col("slot") + 1
+def bitmap(numbers: DataFrame) -> np.ndarray | None:
+    """SLOTS bits, those of the column ``number`` set; none where there is no row."""
+    place = F.pmod(F.col("number"), F.lit(SLOTS)) + 1
+    rows = numbers.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     out = np.zeros(SLOTS // 8, np.uint8)
-    for row in slots.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+    for row in rows:
         part = np.frombuffer(row["bits"], np.uint8)
         out[(row["bucket"] - 1) * len(part):][:len(part)] |= part
-    return out
-
+    return out if rows else None
 
-def _word_slot(lang: str, word: bytes) -> int:
-    return zlib.crc32(lang.encode("utf-8", "surrogatepass") + b" " + word) % SLOTS
-
-
-def tail_phrases(docs: DataFrame, head, tail: np.ndarray, least: int) -> DataFrame:
-    """lang, phrase, size, a: phrases of two and three words, one without id among them at least."""
-    bits = docs.sparkSession.sparkContext.broadcast(tail)
 
+def tail_phrases(docs: DataFrame, head, often, least: int) -> DataFrame:
+    """lang, phrase, size, a: phrases of two and three words, one without id among them at least,
+    whose hashes are in the bitmap ``often``."""
     def run(batches):
-        ids, may, counts = Ids(*head.value), bits.value, Counter()
+        ids, may, counts = Ids(*head.value), often.value, Counter()
         for batch in batches:
             for lang, text in zip(batch["lang"], utf8(batch["text"])):
                 for size in (2, 3):
                     for words in pieces(text, size):
-                        number = ids.array(lang, words)
-                        for i in np.flatnonzero(number == -2).tolist():
-                            slot = _word_slot(lang, words[i])
-                            if not may[slot >> 3] >> (slot & 7) & 1:
-                                number[i] = -1
-                        span = np.lib.stride_tricks.sliding_window_view(number, size) if len(number) >= size else np.zeros((0, size))
-                        for i in np.flatnonzero((span != -1).all(axis=1) & (span == -2).any(axis=1)).tolist():
-                            counts[lang, size, b" ".join(words[i:i + size])] += 1
-                if len(counts) > RUN // 4:
-                    yield rows(counts)
-                    counts = Counter()
+                        number, hashes = ids.array(lang, words)
+                        at = np.flatnonzero(with_tail(number, size))
+                        at = at[in_bitmap(may, tail_hashes(hashes, size)[at])] if len(at) else at
+                        counts.update([(lang, size, b" ".join(words[i:i + size])) for i in at.tolist()])
+            if len(counts) > RUN // 8:
+                yield rows(counts)
+                counts = Counter()
         yield rows(counts)
 
     def rows(counts):
@@ -316,41 +380,37 @@ def frequent_phrases(docs: DataFrame, least: int, head: int, ranked: int) -> tup
     first = (known.filter(F.octet_length("w") <= LONGEST).orderBy(F.desc("c"), "lang", "w").limit(head)
              .toPandas().sort_values(["lang", "c", "w"], ascending=[True, False, True], kind="stable"))
     langs, texts = first["lang"].tolist(), first["w"].tolist()
-    sent = spark.sparkContext.broadcast((langs, utf8(texts)))
     names = cut_lineage(spark.createDataFrame(list(zip(range(len(langs)), langs, texts)), "id long, lang string, w string"))
-    none = spark.createDataFrame([], "lang string, phrase string, size int, a long")
-    tail = none
     others = known.join(names, ["lang", "w"], "left_anti")
-    if not others.isEmpty():
-        slots = others.select((F.crc32(F.concat_ws(" ", "lang", "w")) % SLOTS).alias("slot"))
-        tail = cut_lineage(tail_phrases(docs, sent, bitmap(slots), least))
-    split = F.split("phrase", " ")
-
-    def of(size):
-        return tail.filter(F.col("size") == size).select(
-            "lang", *[split[i].alias(f"w{i + 1}") for i in range(size)], "a")
+    sent = spark.sparkContext.broadcast((langs, utf8(texts), bitmap(others.select(F.xxhash64("w").alias("number")))))
 
     def named(df, key, out):
         return df.join(names.select(F.col("id").alias(key), F.col("w").alias(out), *(["lang"] if out == "w1" else [])), key)
 
-    pairs = cut_lineage(_counted(docs, 2, sent, len(langs), pair_addresses, least))
+    found = cut_lineage(_counted(docs, 2, sent, len(langs), pair_addresses, least))
+    pairs, tails = found.filter("rhs >= 0"), found.filter("rhs < 0").select(F.col("lhs").alias("number"))
     top = pairs.orderBy(F.desc("a"), "lhs", "rhs").limit(ranked).select("lhs", "rhs").toPandas()
     keys = (top["lhs"].to_numpy(np.int64) << BITS) | top["rhs"].to_numpy(np.int64)
     order = np.argsort(keys)
-    bits = bitmap(pairs.select(pair_slot(F.col("lhs"), F.col("rhs")).alias("slot"))) if pairs.count() > len(keys) else None
-    triples = spark.createDataFrame([], "lang string, w1 string, w2 string, w3 string, a long")
-    if len(keys):
-        ranks = spark.sparkContext.broadcast((keys[order], order, bits))
-        found = cut_lineage(_counted(docs, 3, sent, ranked, triple_addresses(ranks, ranked), least))
-        ranked_pairs = cut_lineage(spark.createDataFrame(pd.DataFrame(
-            {"lhs": np.arange(len(keys)), "i1": keys >> BITS, "i2": keys & ((1 << BITS) - 1)})))
-        by_rank = found.filter(F.col("lhs") < ranked).join(ranked_pairs, "lhs").select("i1", "i2", "rhs", "a")
-        by_words = found.filter(F.col("lhs") >= ranked).withColumn("lhs", F.col("lhs") - ranked).select(
-            F.shiftright("lhs", BITS).alias("i1"), F.col("lhs").bitwiseAND((1 << BITS) - 1).alias("i2"), "rhs", "a")
-        triples = named(named(named(by_rank.union(by_words), "i1", "w1"), "i2", "w2"), "rhs", "w3").select(
-            "lang", "w1", "w2", "w3", "a")
+    unranked = None if len(keys) < ranked else bitmap(pairs.select(pair_number(F.col("lhs"), F.col("rhs")).alias("number")))
+    ranks = spark.sparkContext.broadcast((keys[order], order, unranked, bitmap(tails)))
+    found = cut_lineage(_counted(docs, 3, sent, ranked, triple_addresses(ranks, ranked), least))
+    triples, tails = found.filter("rhs >= 0"), tails.union(found.filter("rhs < 0").select("lhs"))
+    ranked_pairs = cut_lineage(spark.createDataFrame(pd.DataFrame(
+        {"lhs": np.arange(len(keys)), "i1": keys >> BITS, "i2": keys & ((1 << BITS) - 1)}), "lhs long, i1 long, i2 long"))
+    by_rank = triples.filter(F.col("lhs") < ranked).join(ranked_pairs, "lhs").select("i1", "i2", "rhs", "a")
+    by_words = triples.filter(F.col("lhs") >= ranked).withColumn("lhs", F.col("lhs") - ranked).select(
+        F.shiftright("lhs", BITS).alias("i1"), F.col("lhs").bitwiseAND((1 << BITS) - 1).alias("i2"), "rhs", "a")
+    triples = named(named(named(by_rank.union(by_words), "i1", "w1"), "i2", "w2"), "rhs", "w3").select(
+        "lang", "w1", "w2", "w3", "a")
     pairs = named(named(pairs, "lhs", "w1"), "rhs", "w2").select("lang", "w1", "w2", "a")
-    return words, cut_lineage(pairs.union(of(2))), cut_lineage(triples.union(of(3)))
+    often = bitmap(tails)
+    if often is not None:
+        tail = cut_lineage(tail_phrases(docs, sent, spark.sparkContext.broadcast(often), least))
+        split = F.split("phrase", " ")
+        pairs, triples = (df.union(tail.filter(F.col("size") == size).select("lang", *[split[i] for i in range(size)], "a"))
+                          for df, size in ((pairs, 2), (triples, 3)))
+    return words, cut_lineage(pairs), cut_lineage(triples)
 
 
 def collocations(docs: DataFrame, top: int = 2000, least: int = 10, within: int = 50, head: int = HEAD,
@@ -389,12 +449,12 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, within: int
     three = three.withColumn("cut", cut).select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "cut.*")
     scored = two.union(three)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-    some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(
-        c("rank") <= top)
-    ranks = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
+    for shares in (512, 64, 8, 1):  # the best of shares of a language first, so that no task sorts all of one
+        share = F.pmod(F.xxhash64("phrase"), F.lit(shares))
+        scored = scored.withColumn("share", share).withColumn("rank", F.row_number().over(
+            Window.partitionBy("lang", "share").orderBy(*order)).cast("long")).filter(c("rank") <= top)
     totals = words.filter("w = ''").select("lang", c("c").alias("n"))
-    return ranks.filter(c("rank") <= top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return scored.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 @register("op12_collocations", sql=r"""
