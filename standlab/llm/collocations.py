@@ -23,6 +23,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from standlab.llm.packed import pack, unpack
@@ -50,9 +51,9 @@ _GAP = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
 
 # -- words of texts -------------------------------------------------------------------------
 
-def pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
-    """Words of a text with EDGE where a piece ends; of a long text several lists, each with the
-    ``size - 1`` words before it, so that every phrase of ``size`` words lies whole in one list."""
+def pieces(text: bytes, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Words of a text with EDGE where a piece ends; of a long text several lists, each led by up to
+    ``size - 1`` words of the one before it, whose number is given, so that every phrase of ``size`` words lies whole in one."""
     at, carry = 0, []
     while at < len(text):
         stop = at + PIECE
@@ -60,7 +61,7 @@ def pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
             gap = _GAP.search(text, stop)
             stop = gap.start() if gap else len(text)
         words = carry + text[at:stop].translate(_TABLE).replace(EDGE, b" . ").split()
-        yield words
+        yield len(carry), words
         carry = words[max(0, len(words) - size + 1):] if size > 1 else []
         at = stop
 
@@ -72,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch["lang"], utf8(batch["text"])):
                 mine = counts.setdefault(lang, Counter())
-                for words in pieces(text, 1):
+                for _, words in pieces(text, 1):
                     mine.update(words)
                 if sum(map(len, counts.values())) > RUN // 4:
                     yield rows(counts, total)
@@ -122,7 +123,8 @@ class Ids:
 
     def texts(self, batch, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and hashes of a batch of texts, one behind the other."""
-        both = [self.array(lang, some) for lang, text in zip(batch["lang"], utf8(batch["text"])) for some in pieces(text, size)]
+        both = [self.array(lang, some) for lang, text in zip(batch["lang"], utf8(batch["text"]))
+                for _, some in pieces(text, size)]
         return tuple(np.concatenate(x) for x in zip(*both)) if both else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
@@ -340,16 +342,21 @@ def bitmap(numbers: DataFrame) -> np.ndarray | None:
 
 def tail_phrases(docs: DataFrame, head, often, least: int) -> DataFrame:
     """lang, phrase, size, a: phrases of two and three words, one without id among them at least,
-    whose hashes are in the bitmap ``often``."""
+    whose hashes are in the bitmap ``often``.  Tasks send packed counts of texts."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches):
         ids, may, counts = Ids(*head.value), often.value, Counter()
         for batch in batches:
             for lang, text in zip(batch["lang"], utf8(batch["text"])):
-                for size in (2, 3):
-                    for words in pieces(text, size):
-                        number, hashes = ids.array(lang, words)
+                for carried, words in pieces(text, 3):
+                    number, hashes = ids.array(lang, words)
+                    if not (number == -2).any():
+                        continue
+                    for size in (2, 3):
                         at = np.flatnonzero(with_tail(number, size))
-                        at = at[in_bitmap(may, tail_hashes(hashes, size)[at])] if len(at) else at
+                        at = at[at + size > carried]
+                        at = at[in_bitmap(may, tail_hashes(hashes, size)[at])]
                         counts.update([(lang, size, b" ".join(words[i:i + size])) for i in at.tolist()])
             if len(counts) > RUN // 8:
                 yield rows(counts)
@@ -357,11 +364,25 @@ def tail_phrases(docs: DataFrame, head, often, least: int) -> DataFrame:
         yield rows(counts)
 
     def rows(counts):
-        return pd.DataFrame([(lang, w.decode("utf-8", "surrogatepass"), size, c) for (lang, size, w), c in counts.items()],
-                            columns=["lang", "phrase", "size", "a"])
-
-    parts = docs.mapInPandas(run, "lang string, phrase string, size int, a long")
-    return parts.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+        dealt = {}
+        for (lang, size, phrase), c in counts.items():
+            dealt.setdefault((xxhash.xxh64_intdigest(phrase) % parts, lang, size), []).append((phrase, c))
+        return pd.DataFrame([(*key, zstandard.compress(b"\n".join(p for p, _ in some)), pack(np.array([c for _, c in some]), np.int64))
+                             for key, some in dealt.items()], columns=["part", "lang", "size", "phrases", "counts"])
+
+    def added(batches):
+        total = {}
+        for batch in batches:
+            for lang, size, phrases, counts in zip(batch["lang"], batch["size"], batch["phrases"], batch["counts"]):
+                mine = total.setdefault((lang, size), Counter())
+                for phrase, c in zip(zstandard.decompress(phrases).split(b"\n"), unpack(counts, np.int64).tolist()):
+                    mine[phrase] += c
+        for (lang, size), mine in total.items():
+            found = [(lang, p.decode("utf-8", "surrogatepass"), size, c) for p, c in mine.items() if c >= least]
+            yield pd.DataFrame(found, columns=["lang", "phrase", "size", "a"])
+
+    packed = docs.mapInPandas(run, "part int, lang string, size int, phrases binary, counts binary")
+    return packed.repartitionById(parts, F.col("part")).mapInPandas(added, "lang string, phrase string, size int, a long")
 
 
 # -- scores ---------------------------------------------------------------------------------
