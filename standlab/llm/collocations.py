@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield rows(counts, total)
                     counts = {}
         yield rows(counts, total)
-        yield pd.DataFrame({"lang": list(total), "word": "", "c": list(total.values())})
+        yield pd.DataFrame([(lang, "", c) for lang, c in total.items()], columns=["lang", "word", "c"])
 
     def rows(counts, total):
         out = [(lang, w.decode("utf-8", "surrogatepass"), c) for lang, some in counts.items()

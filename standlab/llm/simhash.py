@@ -9,7 +9,8 @@ The grid splits the segments into ``distance + AGREE`` groups.  Vectors within `
 other differ in at most ``distance`` groups, so they lie in the same cell of at least one choice of
 AGREE groups.  Every distinct fingerprint goes into its cell of every choice; in a cell, sorted by
 total count, ranges of totals within ``distance`` are met, the Manhattan bound is tested, and what
-passes is verified on the fingerprints.  A cell gives the edges of a spanning forest, no pairs.
+passes is verified on the fingerprints.  A cell gives no pairs: each member is tied to the first one it
+reaches within the cell.
 
 Equal fingerprints are one class from the start.  A cell of more than ``limit`` classes is handed on
 and dealt over a finer grid of its remaining segments, twice at most; cells that are large even then
