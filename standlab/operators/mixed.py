@@ -8,95 +8,297 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from standlab.functions.special import p_range, p_t
 from standlab.operators import nls
-from standlab.operators.gram import global_moments, partial_sums, solve_ols
-from standlab.session import SMALL_ROWS, cut_lineage, literal_table, small_side
+from standlab.operators.gram import global_moments, linear_predictor, partial_sums
+from standlab.session import cut_lineage, literal_table, small_side
 
 
 @dataclass
-class RandomIntercept:
+class NestedFit:
+    """Fixed terms, variances and group effects of a model with nested random intercepts."""
+
     terms: list[str]
     beta: np.ndarray
     se: np.ndarray
     cov: np.ndarray
-    var_group: float
+    variances: list[float]      # one for each level, outermost first
     var_error: float
+    theta: float                # error spread grows as weight_on^theta
     reml: float
     n: int
-    effects: DataFrame          # one row per group: keys, n, effect
+    levels: list[list[str]]
+    tables: list[DataFrame]     # for each level its keys, n, effect
+    groups: int                 # of the deepest level
+
+    @property
+    def var_group(self) -> float:
+        return self.variances[0]
+
+    @property
+    def effects(self) -> DataFrame:
+        return self.tables[0]
+
+    @property
+    def df(self) -> int:
+        """Degrees of freedom of terms that vary within the deepest groups."""
+        return self.n - self.groups - (len(self.beta) - 1)
 
     def fixed(self, spark) -> DataFrame:
         rows = [(t, float(b), float(s)) for t, b, s in zip(self.terms, self.beta, self.se)]
-        rows += [("var(group)", self.var_group, None), ("var(residual)", self.var_error, None)]
+        names = ["group"] if len(self.levels) == 1 else [".".join(keys) for keys in self.levels]
+        rows += [(f"var({name})", float(v), None) for name, v in zip(names, self.variances)]
+        rows += [("var(residual)", self.var_error, None)]
         return literal_table(spark, rows, "term string, estimate double, se double")
 
 
-def random_intercept(df: DataFrame, y: str, xs: list[str], group: list[str]) -> RandomIntercept:
-    """Linear model with a random intercept per group, by restricted likelihood.
+class _Nested:
+    """Sums of a nested model, and its restricted likelihood at any ratios of variances.
+
+    Rows are reduced to one line of cross-products per deepest group.  Integrating out a group's
+    intercept takes ``ratio / (1 + ratio n) s s'`` from its cross-products, and what is left adds up to
+    the group above, whose intercept is integrated out the same way: level by level, no matrix
+    larger than the fixed part is formed.
+    """
+
+    def __init__(self, df: DataFrame, y: str, xs: list[str], levels: list[list[str]], weight_on: str | None):
+        for outer, inner in zip(levels, levels[1:]):
+            if inner[:len(outer)] != outer:
+                raise ValueError(f"level {inner} does not begin with the keys of level {outer}")
+        self.levels, self.weight_on, self.spark = levels, weight_on, df.sparkSession
+        cols = [*xs, y]
+        rows = df.dropna(subset=[*cols, *levels[-1]])
+        if weight_on:
+            rows = rows.filter(F.col(weight_on) > 0)
+        self.n, self.mean, _ = global_moments(rows, cols)
+        self.k = len(cols) + 1
+        self.pairs = [(i, j) for i in range(self.k) for j in range(i, self.k)]
+        self.names = [f"c{q}" for q in range(len(self.pairs))]
+        self.first = [q for q, (i, _) in enumerate(self.pairs) if i == 0]
+        z = [F.lit(1.0)] + [F.col(c) - float(m) for c, m in zip(cols, self.mean)]
+        self.rows = rows.select(*levels[-1], *[v.cast("double").alias(f"z{i}") for i, v in enumerate(z)],
+                                (F.log(weight_on) if weight_on else F.lit(0.0)).alias("_l"))
+        self.kept = None if weight_on else cut_lineage(self._lines([0.0]))
+
+    def _lines(self, thetas: list[float]) -> DataFrame:
+        """One line per deepest group and error exponent."""
+        if not self.weight_on and thetas == [0.0] and getattr(self, "kept", None) is not None:
+            return self.kept
+        rows = self.rows.withColumn("theta", F.explode(F.array(*[F.lit(float(t)) for t in thetas])))
+        w = F.exp(-2 * F.col("theta") * F.col("_l"))
+        return rows.groupBy(*self.levels[-1], "theta").agg(
+            *[F.sum(w * F.col(f"z{i}") * F.col(f"z{j}")).alias(c) for c, (i, j) in zip(self.names, self.pairs)],
+            F.count(F.lit(1)).alias("n"), F.sum("_l").alias("logs"))
+
+    def _above(self, state: DataFrame, ratio, level: int, extra: list[str]) -> DataFrame:
+        """Groups of a level, their intercepts integrated out, added up to the level above."""
+        shrink = ratio / (1 + ratio * F.col("c0"))
+        s = [F.col(self.names[q]) for q in self.first]
+        keys = self.levels[level - 1] if level else []
+        left = state.select(*keys, *extra, "n", "logs", (F.col("det") + F.log1p(ratio * F.col("c0"))).alias("det"),
+                            *[(F.col(c) - shrink * s[i] * s[j]).alias(c) for c, (i, j) in zip(self.names, self.pairs)])
+        return left.groupBy(*keys, *extra).agg(*[F.sum(c).alias(c) for c in ["n", "logs", "det", *self.names]])
+
+    def profile(self, points: np.ndarray) -> list[dict]:
+        """Fits at the points (ratio of each level, exponent), all in one pass."""
+        rows = [(i, *map(float, p)) for i, p in enumerate(points)]
+        names = [f"r{level}" for level in range(len(self.levels))]
+        grid = literal_table(self.spark, rows, "point int, " + ", ".join(f"{c} double" for c in names) + ", theta double")
+        state = self._lines(sorted({float(p[-1]) for p in points})).join(F.broadcast(grid), "theta").withColumn("det", F.lit(0.0))
+        for level in reversed(range(len(self.levels))):
+            carried = ["point", "theta", *names[:level]]
+            state = self._above(state, F.col(names[level]), level, carried)
+        found = {r["point"]: r for r in state.collect()}
+        return [self._solve(found[i], points[i]) for i in range(len(points))]
+
+    def _solve(self, row, point) -> dict:
+        full = np.zeros((self.k, self.k))
+        full[np.triu_indices(self.k)] = [row[c] for c in self.names]
+        full = full + np.triu(full, 1).T
+        xx, xy, yy = full[:-1, :-1], full[:-1, -1], full[-1, -1]
+        inverse = np.linalg.pinv(xx, hermitian=True)
+        beta = inverse @ xy
+        dof = self.n - (self.k - 1)
+        rss = max(float(yy - beta @ xy), 1e-300)
+        crit = -0.5 * (dof * (np.log(2 * np.pi * rss / dof) + 1) + row["det"] + np.linalg.slogdet(xx)[1]
+                       + 2 * point[-1] * row["logs"])
+        return {"crit": float(crit), "beta": beta, "s2": rss / dof, "inverse": inverse, "point": np.array(point, float)}
+
+    def effects(self, fit: dict) -> list[DataFrame]:
+        """Conditional effects of every level's groups: each group's residual sum less what the
+        groups around it already explain, shrunken by its own ratio."""
+        ratios, state, groups = fit["point"][:-1], self._lines([float(fit["point"][-1])]).withColumn("det", F.lit(0.0)), []
+        for level in reversed(range(len(self.levels))):
+            state = cut_lineage(state)
+            groups.insert(0, state)
+            state = self._above(state, F.lit(float(ratios[level])), level, [])
+        residual = F.col(self.names[self.first[-1]]) - sum(
+            (float(b) * F.col(self.names[q]) for b, q in zip(fit["beta"], self.first[:-1])), F.lit(0.0))
+        tables, above = [], None
+        for keys, ratio, table in zip(self.levels, ratios, groups):
+            table = table.select(*keys, "n", "c0", residual.alias("_r"))
+            if above is not None:
+                table = table.join(above, self.levels[len(tables) - 1])
+            else:
+                table = table.withColumn("_total", F.lit(0.0))
+            effect = float(ratio) * (F.col("_r") - F.col("c0") * F.col("_total")) / (1 + float(ratio) * F.col("c0"))
+            table = cut_lineage(table.withColumn("effect", effect))
+            tables.append(table.select(*keys, F.col("n").cast("long").alias("n"), "effect"))
+            above = table.select(*keys, (F.col("_total") + F.col("effect")).alias("_total"))
+        return tables
+
+
+FLAT = -5.0  # log ratio under which a level's variance is tried at zero
+
+
+def _highest(model: _Nested, theta: bool, tol: float, rounds: int) -> dict:
+    """Highest restricted likelihood, by Newton steps on log ratios and the error exponent.
+
+    Each round evaluates a stencil around the best point so far and the step it called for in one
+    pass over the group lines.  A ratio that runs towards zero is set to zero where that is no worse.
+    """
+    size = len(model.levels)
+
+    def ratios(x, zero):
+        return np.concatenate([np.where(zero, 0.0, np.exp(np.clip(x[:size], -60, 60))), x[size:]])
+
+    marks = np.array(np.meshgrid(*[[-7.0, -3.5, 0.0, 3.5]] * size)).reshape(size, -1).T
+    marks = np.column_stack([marks, np.zeros(len(marks))])
+    none = np.zeros(size, bool)
+    fits = model.profile(np.array([ratios(x, none) for x in marks]))
+    best = max(range(len(fits)), key=lambda i: fits[i]["crit"])
+    x, fit, zero, width = marks[best], fits[best], none, 0.5
+    for _ in range(rounds):
+        free = [i for i in range(size) if not zero[i]] + ([size] if theta else [])
+        if not free:
+            return fit
+        unit = np.eye(size + 1)[free] * width
+        steps = [np.zeros(size + 1), *unit, *-unit, *[a + b for i, a in enumerate(unit) for b in unit[i + 1:]]]
+        dropped = [i for i in free if i < size and x[i] < FLAT]
+        fits = model.profile(np.array([ratios(x + d, zero) for d in steps] + [ratios(x, zero | (np.arange(size) == i)) for i in dropped]))
+        f = [v["crit"] for v in fits]
+        m = len(free)
+        up, down = np.array(f[1:m + 1]), np.array(f[m + 1:2 * m + 1])
+        at_zero = [(f[len(steps) + j], i) for j, i in enumerate(dropped) if up[free.index(i)] <= down[free.index(i)]]
+        if at_zero and max(at_zero)[0] >= f[0]:
+            zero = zero | (np.arange(size) == max(at_zero)[1])
+            continue
+        slope = (up - down) / (2 * width)
+        bend = np.diag((up - 2 * f[0] + down) / width ** 2)
+        pair = iter(f[2 * m + 1:len(steps)])
+        for i in range(m):
+            for j in range(i + 1, m):
+                bend[i, j] = bend[j, i] = (next(pair) - up[i] - up[j] + f[0]) / width ** 2
+        values, vectors = np.linalg.eigh(bend)
+        step = vectors @ ((vectors.T @ slope) / np.maximum(np.abs(values), 1e-8))
+        step *= min(1.0, 3.0 / max(np.abs(step).max(), 1e-300))
+        top = int(np.argmax(f[:len(steps)]))
+        fit = fits[0]
+        if np.abs(step).max() < tol and width <= 0.01:
+            return fit
+        move = np.zeros(size + 1)
+        move[free] = step
+        tries = model.profile(np.array([ratios(x + move * t, zero) for t in (1.0, 0.25)]))
+        options = [(tries[0]["crit"], x + move), (tries[1]["crit"], x + move * 0.25), (f[top], x + steps[top])]
+        crit, x = max(options, key=lambda o: o[0])
+        width = max(0.005, min(width, np.abs(step).max()) if crit > f[0] else width / 4)
+    raise RuntimeError(f"the variances did not settle in {rounds} rounds")
+
+
+def nested_intercepts(df: DataFrame, y: str, xs: list[str], levels: list[list[str]], weight_on: str | None = None,
+                      theta: float | None = None, points: list[list[float]] | None = None, tol: float = 1e-6,
+                      rounds: int = 60) -> NestedFit:
+    """Linear model with nested random intercepts by restricted likelihood.
 
-    Rows are reduced to one line of sums per group.  The likelihood profile over the
-    variance ratio is evaluated on a grid in one pass over those lines, and refined twice.
+    ``levels`` are key lists, outermost first, each beginning with the one before.  With
+    ``weight_on`` the error's spread grows as a power of that column, whose exponent is fitted along
+    unless ``theta`` gives it.  Instead of the highest likelihood, the best of ``points`` (a ratio of group to
+    error variance for each level, then the exponent where there is one) can be asked for.  The fit
+    settles to ``tol`` in every log ratio or raises.  Rows with a null in a used column are left out.
     """
-    cols = [*xs, y]
-    rows = df.dropna(subset=cols)
-    n, mean, _ = global_moments(rows, cols)
-    z = [F.lit(1.0)] + [F.col(c) - float(m) for c, m in zip(cols, mean)]
-    k = len(z)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    lines = rows.groupBy(*group).agg(
-        *[F.sum(z[i] * z[j]).alias(f"c{q}") for q, (i, j) in enumerate(pairs)]).persist()
-    m, at = len(pairs), np.triu_indices(k)
-    first = [q for q, (i, _) in enumerate(pairs) if i == 0]
-
-    def profile(grid):
-        def kernel(x):
-            s, size = x[:, first], x[:, 0]
-            outer = (s[:, at[0]] * s[:, at[1]])
-            out = np.empty((len(grid), m + 1))
-            for g, lam in enumerate(grid):
-                shrink = lam / (1 + size * lam)
-                out[g, :m] = x.sum(axis=0) - shrink @ outer
-                out[g, m] = np.log1p(size * lam).sum()
-            return out.ravel()
-        sums = partial_sums(lines.select(*[f"c{q}" for q in range(m)]), kernel, len(grid) * (m + 1))
-        fits = []
-        for lam, row in zip(grid, sums.reshape(len(grid), m + 1)):
-            full = np.zeros((k, k))
-            full[at] = row[:m]
-            full = full + np.triu(full, 1).T
-            xx, xy, yy = full[:-1, :-1], full[:-1, -1], full[-1, -1]
-            inverse = np.linalg.pinv(xx)
-            beta = inverse @ xy
-            rss = max(yy - beta @ xy, 1e-300)
-            dof = n - (k - 1)
-            crit = -0.5 * (dof * (np.log(2 * np.pi * rss / dof) + 1) + row[m]
-                           + np.linalg.slogdet(xx)[1])
-            fits.append((crit, lam, beta, rss / dof, inverse))
-        return fits
-
-    grid = np.concatenate([[0.0], np.logspace(-6, 4, 41)])
-    try:
-        for _ in range(3):
-            fits = profile(grid)
-            best = max(range(len(fits)), key=lambda i: fits[i][0])
-            low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-            grid = np.linspace(low, high, 41)
-        crit, lam, beta, s2, inverse = max(fits, key=lambda f: f[0])
-        # back from centred columns: only the intercept moves
-        back = np.eye(k - 1)
-        back[0, 1:] = -mean[:-1]
-        original = back @ beta
-        original[0] += mean[-1]
-        cov = back @ inverse @ back.T * s2
-        resid = F.col(f"c{first[-1]}") - sum(
-            (float(b) * F.col(f"c{q}") for b, q in zip(beta, first[:-1])), F.lit(0.0))
-        effects = cut_lineage(lines.select(
-            *group, F.col("c0").cast("bigint").alias("n"),
-            (resid * lam / (1 + F.col("c0") * lam)).alias("effect")))
-    finally:
-        lines.unpersist()
-    return RandomIntercept(["(Intercept)", *xs], original, np.sqrt(np.diag(cov)), cov, float(lam * s2),
-                           float(s2), float(crit), int(n), effects)
+    model = _Nested(df, y, xs, levels, weight_on)
+    if points is not None:
+        tail = [theta or 0.0] if len(points[0]) == len(levels) else []
+        fit = max(model.profile(np.array([[*p, *tail] for p in points], float)), key=lambda f: f["crit"])
+    elif weight_on and theta is not None:
+        raise ValueError("a given exponent needs given points")
+    else:
+        fit = _highest(model, bool(weight_on), tol, rounds)
+    k, ratios = model.k, fit["point"][:-1]
+    # back from centred columns: only the intercept moves
+    back = np.eye(k - 1)
+    back[0, 1:] = -model.mean[:-1]
+    original = back @ fit["beta"]
+    original[0] += model.mean[-1]
+    cov = back @ fit["inverse"] @ back.T * fit["s2"]
+    tables = model.effects(fit)
+    return NestedFit(["(Intercept)", *xs], original, np.sqrt(np.diag(cov)), cov, [float(r * fit["s2"]) for r in ratios],
+                     float(fit["s2"]), float(fit["point"][-1]), fit["crit"], int(model.n), levels, tables, tables[-1].count())
+
+
+def random_intercept(df: DataFrame, y: str, xs: list[str], group: list[str],
+                     ratios: list[float] | None = None) -> NestedFit:
+    """Linear model with a random intercept per group: the one-level case of ``nested_intercepts``."""
+    return nested_intercepts(df, y, xs, [group], points=None if ratios is None else [[r] for r in ratios])
+
+
+def likelihood_profile(df: DataFrame, y: str, xs: list[str], levels: list[list[str]], points: list[list[float]],
+                       weight_on: str | None = None) -> DataFrame:
+    """Restricted log-likelihood at given ratios (and exponents), one row per point."""
+    tail = [] if weight_on else [0.0]
+    fits = _Nested(df, y, xs, levels, weight_on).profile(np.array([[*p, *tail] for p in points], float))
+    names = [f"ratio_{i}" for i in range(len(levels))]
+    return literal_table(df.sparkSession, [(*map(float, f["point"]), f["crit"], f["s2"]) for f in fits],
+                         ", ".join(f"{c} double" for c in [*names, "theta", "reml", "var_error"]))
+
+
+def predict_nested(df: DataFrame, fit: NestedFit, out: str, level: int | None = None) -> DataFrame:
+    """Fixed part plus the effects of the first ``level`` levels (all by default, 0 for none); a
+    group without an effect, or a null key, counts as zero."""
+    value = linear_predictor(fit.beta[0], dict(zip(fit.terms[1:], fit.beta[1:])))
+    for i, (keys, table) in enumerate(list(zip(fit.levels, fit.tables))[:level]):
+        df = df.join(small_side(table.select(*keys, F.col("effect").alias(f"_u{i}"))), keys, "left")
+        value = value + F.coalesce(F.col(f"_u{i}"), F.lit(0.0))
+    return df.withColumn(out, value).drop(*[f"_u{i}" for i in range(len(fit.levels))])
+
+
+def _contrast_rows(fit: NestedFit, factor: str, levels: list[str], others: dict[str, list[str]], at: dict[str, float]) -> np.ndarray:
+    """Design rows of a factor's levels: other factors equally weighted, numeric terms at given values."""
+    rows = []
+    for lv in levels:
+        row = {"(Intercept)": 1.0, **{f"{factor}_{v}": float(v == lv) for v in levels[1:]}, **at}
+        for name, values in others.items():
+            row |= {f"{name}_{v}": 1 / len(values) for v in values[1:]}
+        rows.append([row[t] for t in fit.terms])
+    return np.array(rows)
+
+
+def estimated_means(spark, fit: NestedFit, factor: str, levels: list[str], others: dict[str, list[str]] | None = None,
+                    at: dict[str, float] | None = None) -> DataFrame:
+    """Estimated marginal means of a factor whose dummies (``gram.dummies``) are terms of the fit.
+
+    ``levels`` are the factor's declared levels; ``at`` gives each numeric term's value.
+    """
+    x = _contrast_rows(fit, factor, levels, others or {}, at or {})
+    se = np.sqrt(np.einsum("ij,jk,ik->i", x, fit.cov, x))
+    return literal_table(spark, [(lv, float(m), float(s), fit.df) for lv, m, s in zip(levels, x @ fit.beta, se)],
+                         "level string, emmean double, se double, df int")
+
+
+def estimated_pairs(spark, fit: NestedFit, factor: str, levels: list[str], p_value: bool = True) -> DataFrame:
+    """Differences between all declared levels of a factor with the standard errors of the mixed model."""
+    x = _contrast_rows(fit, factor, levels, {}, {t: 0.0 for t in fit.terms if t != "(Intercept)" and not t.startswith(f"{factor}_")})
+    rows = []
+    for i, a in enumerate(levels):
+        for j in range(i + 1, len(levels)):
+            d = x[i] - x[j]
+            rows.append((a, levels[j], float(d @ fit.beta), float(np.sqrt(d @ fit.cov @ d)), fit.df))
+    out = literal_table(spark, rows, "level_a string, level_b string, difference double, se double, df int")
+    out = out.withColumn("t", F.try_divide("difference", "se")).withColumn("q", F.abs("t") * F.sqrt(F.lit(2.0)))
+    if p_value:
+        out = (out.withColumn("p_tukey", p_range("q", F.lit(len(levels)), "df"))
+               .withColumn("p_bonferroni", F.least(F.lit(1.0), p_t("t", "df") * len(rows))))
+    return out
 
 
 def variance_components(df: DataFrame, y: str, group: str) -> DataFrame:
@@ -173,70 +375,10 @@ def predict_two_stage(df: DataFrame, population: dict, groups: DataFrame, by: li
     return df.withColumn("ht_fit", 4.5 + F.exp(a + b / (F.col(dbh) + 1))).drop("_a", "_b")
 
 
-def nested_effects(df: DataFrame, y: str, x: str, levels: list[list[str]], sweeps: int = 12,
-                   tol: float = 1e-4) -> tuple[dict, list[DataFrame]]:
-    """Straight line plus nested random intercepts, by shrunken residual means level by level.
-
-    An approximation to the joint likelihood.  Rows collapse to one line per deepest
-    group; each sweep updates every level's effects, then slope and variances.  Returns
-    the fixed part and one effects table per level, outermost first.
-    """
-    rows = df.dropna(subset=[y, x])
-    n, mean, cross = global_moments(rows, [x, y])
-    deepest = levels[-1]
-    cx, cy = F.col(x) - float(mean[0]), F.col(y) - float(mean[1])
-    cells = cut_lineage(rows.groupBy(*deepest).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(cx).alias("_sx"), F.sum(cy).alias("_sy"),
-        F.sum(cx * cx).alias("_sxx"), F.sum(cx * cy).alias("_sxy"), F.sum(cy * cy).alias("_syy")))
-    names = [f"_u{i}" for i in range(len(levels))]
-    state = cells.withColumns({u: F.lit(0.0) for u in names})
-    fit = solve_ols(n, np.zeros(2), cross)
-    a, b = float(fit["beta"][0]), float(fit["beta"][1])
-    s2 = fit["sse"] / n
-    var = [s2 / (len(levels) + 1)] * len(levels)
-    s2 = s2 / (len(levels) + 1)
-
-    # levels counted to have few groups send their effects out, and the cells stay put
-    few = [cells.select(*keys).distinct().limit(SMALL_ROWS + 1).count() <= SMALL_ROWS for keys in levels]
-    for _ in range(sweeps):
-        line = F.col("_sy") - a * F.col("_n") - b * F.col("_sx")
-        post = []
-        for i, keys in enumerate(levels):
-            others = sum((F.col(u) for j, u in enumerate(names) if j != i), F.lit(0.0))
-            ratio = s2 / max(var[i], 1e-12)
-            new = state.groupBy(*keys).agg(F.sum(line - F.col("_n") * others).alias("_r"),
-                                           F.sum("_n").alias("_g"))
-            new = new.select(*keys, (F.col("_r") / (F.col("_g") + ratio)).alias("_new"),
-                             (s2 / (F.col("_g") + ratio)).alias(f"_p{i}"), F.col("_g").alias(f"_g{i}"))
-            state = state.drop(names[i]).join(F.broadcast(new) if few[i] else new, keys).withColumnRenamed("_new", names[i])
-            post.append((f"_p{i}", f"_g{i}"))
-        state = cut_lineage(state)
-        u = sum((F.col(c) for c in names), F.lit(0.0))
-        weight = [F.col("_n") / F.col(g) for _, g in post]      # each group's cells share one unit
-        row = state.agg(
-            F.sum("_sxx").alias("sxx"), F.sum(F.col("_sxy") - u * F.col("_sx")).alias("sxy"),
-            F.sum("_sx").alias("sx"), F.sum(F.col("_sy") - u * F.col("_n")).alias("sy"),
-            F.sum(F.col("_syy") - 2 * u * F.col("_sy") + u * u * F.col("_n")).alias("syy"),
-            *[F.sum(w * (F.col(c) * F.col(c) + F.col(p))).alias(f"q{i}")
-              for i, (w, c, (p, _)) in enumerate(zip(weight, names, post))],
-            *[F.sum(w).alias(f"k{i}") for i, w in enumerate(weight)],
-            *[F.sum(F.col("_n") * F.col(p)).alias(f"t{i}") for i, (p, _) in enumerate(post)]).first()
-        sxx = row["sxx"] - row["sx"] ** 2 / n
-        b_new = (row["sxy"] - row["sx"] * row["sy"] / n) / sxx
-        a_new = (row["sy"] - b_new * row["sx"]) / n
-        sse = (row["syy"] - 2 * a_new * row["sy"] - 2 * b_new * row["sxy"] + n * a_new ** 2
-               + 2 * a_new * b_new * row["sx"] + b_new ** 2 * row["sxx"])
-        moved = abs(b_new - b) / max(abs(b_new), 1e-12)
-        a, b = a_new, b_new
-        s2 = max(sse + sum(row[f"t{i}"] for i in range(len(levels))), 1e-12) / n
-        new_var = [row[f"q{i}"] / row[f"k{i}"] for i in range(len(levels))]
-        moved = max(moved, max(abs(p - q) / max(q, 1e-12) for p, q in zip(new_var, var)))
-        var = new_var
-        state = state.drop(*[c for pair in post for c in pair])
-        if moved < tol:
-            break
-    tables = [state.groupBy(*keys).agg(F.first(u).alias(f"b_{i}"), F.sum("_n").alias("n"))
-              for i, (keys, u) in enumerate(zip(levels, names))]
-    fixed = {"intercept": a + float(mean[1]) - b * float(mean[0]), "slope": b, "sigma2": s2,
-             **{f"var_{i}": v for i, v in enumerate(var)}}
-    return fixed, tables
+def nested_effects(df: DataFrame, y: str, x: str, levels: list[list[str]],
+                   points: list[list[float]] | None = None) -> tuple[dict, list[DataFrame]]:
+    """Straight line plus nested random intercepts: the fixed part and one effects table per level."""
+    fit = nested_intercepts(df, y, [x], levels, points=points)
+    fixed = {"intercept": float(fit.beta[0]), "slope": float(fit.beta[1]), "sigma2": fit.var_error,
+             **{f"var_{i}": v for i, v in enumerate(fit.variances)}}
+    return fixed, [table.withColumnRenamed("effect", f"b_{i}") for i, table in enumerate(fit.tables)]

@@ -9,6 +9,7 @@ from standlab.functions import columns as C
 from standlab.operators import clean, counts, damage, gram, mixed, nls, stand, windows
 from standlab.operators.reshape import widen
 from standlab.plans.registry import query
+from standlab.plans.sql import crossproducts, matrix, sweep
 from standlab.plans.stand import rounded
 from standlab.session import literal_table
 
@@ -284,6 +285,93 @@ def _(t):
     return rounded(fit.effects, ["uid", "n"], ["effect"], 5)
 
 
+CODES = K.PURE + K.MIXED
+RATIOS = [0.0] + [10.0 ** (i / 4 - 3) for i in range(21)]
+
+_CODE_Z = "[1, " + ", ".join(f"(code = '{c}')::INT" for c in CODES[1:]) + ", vol_ha]"
+_BLOCKS = f"""{_FRAME}, z AS (SELECT block, {_CODE_Z}::DOUBLE[] AS z FROM frame),
+{crossproducts("bc", "z", 11, "block, ")},
+gr AS (SELECT unnest({RATIOS!r}::DOUBLE[]) AS ratio),
+bl AS (SELECT block, max(v) FILTER (i = 1 AND j = 1) AS n, list(v ORDER BY j) FILTER (i = 1) AS s FROM bc GROUP BY block),
+vc AS (SELECT ratio, i, j, sum(v - ratio / (1 + ratio * n) * s[i] * s[j]) AS v FROM bc JOIN bl USING (block), gr GROUP BY ratio, i, j),
+{matrix("vm", "vc", "ratio, ")},
+{sweep("sw", "vm", 11, 10, "ratio, ")},
+fit AS (SELECT ratio, m, m[11][11] / (nn - 10) AS s2, nn, nb, -0.5::DOUBLE * ((nn - 10) * (ln(2 * pi() * m[11][11] / (nn - 10)) + 1) + det + ld) AS reml
+ FROM sw JOIN (SELECT ratio, sum(ln(1 + ratio * n)) AS det, sum(n) AS nn, count(*) AS nb FROM bl, gr GROUP BY ratio) USING (ratio)),
+best AS (SELECT * FROM fit ORDER BY reml DESC, ratio LIMIT 1),
+cf AS (SELECT c AS code, i, [CASE WHEN j = 1 OR j = i THEN 1 ELSE 0 END FOR j IN range(1, 11)] AS x
+ FROM (SELECT unnest({CODES!r}) AS c, unnest(range(1, 11)) AS i))"""
+
+
+def block_model(t):
+    """Plot volume by treatment with a random block, at the best of a list of variance ratios."""
+    rows, names = gram.dummies(frame(t).filter(F.col("code").isin(CODES)), {"code": CODES})
+    rows = rows.persist()
+    return rows, names, mixed.random_intercept(rows, "vol_ha", names, ["block"], RATIOS)
+
+
+@query("block_profile", "MD10 TC3", "stems site", f"""
+WITH RECURSIVE {_BLOCKS} SELECT round(ratio, 8) AS ratio, round(reml, 4) AS reml, round(s2, 4) AS var_error FROM fit""")
+def _(t):
+    rows, names = gram.dummies(frame(t).filter(F.col("code").isin(CODES)), {"code": CODES})
+    found = mixed.likelihood_profile(rows, "vol_ha", names, [["block"]], [[r] for r in RATIOS])
+    return found.select(F.round("ratio_0", 8).alias("ratio"), F.round("reml", 4).alias("reml"), F.round("var_error", 4).alias("var_error"))
+
+
+@query("block_means", "TC3 MD10", "stems site", f"""
+WITH RECURSIVE {_BLOCKS}, e AS (SELECT code, x, list_transform(range(1, 11), lambda r: m[r][11]) AS b, m, s2, nn - nb - 9 AS df FROM cf, best)
+SELECT code, round(list_dot_product(x::DOUBLE[], b), 5) AS emmean, df::INTEGER AS df,
+ round(sqrt(s2 * list_dot_product(x::DOUBLE[], list_transform(range(1, 11), lambda r: list_dot_product(m[r][1:10], x::DOUBLE[])))), 5) AS se FROM e""")
+def _(t):
+    rows, _, fit = block_model(t)
+    rows.unpersist()
+    out = mixed.estimated_means(t.spark, fit, "code", CODES).withColumnRenamed("level", "code")
+    return rounded(out, ["code", "df"], ["emmean", "se"], 5)
+
+
+@query("block_pairs", "TC4 MD10", "stems site", f"""
+WITH RECURSIVE {_BLOCKS}, e AS (SELECT a.code AS level_a, b.code AS level_b, list_transform(range(1, 11), lambda r: (a.x[r] - b.x[r])::DOUBLE) AS x,
+  list_transform(range(1, 11), lambda r: m[r][11]) AS b, m, s2, nn - nb - 9 AS df FROM cf a JOIN cf b ON a.i < b.i, best),
+p AS (SELECT level_a, level_b, list_dot_product(x, b) AS difference, df,
+ sqrt(s2 * list_dot_product(x, list_transform(range(1, 11), lambda r: list_dot_product(m[r][1:10], x)))) AS se FROM e)
+SELECT level_a, level_b, round(difference, 5) AS difference, round(se, 5) AS se, df::INTEGER AS df, round(difference / se, 5) AS t,
+ round(abs(difference / se) * sqrt(2), 5) AS q FROM p""")
+def _(t):
+    rows, _, fit = block_model(t)
+    rows.unpersist()
+    out = mixed.estimated_pairs(t.spark, fit, "code", CODES, p_value=False)
+    return rounded(out, ["level_a", "level_b", "df"], ["difference", "se", "t", "q"], 5)
+
+
+@query("block_pairs_adjusted", "TC4 TC5 MD10")
+def _(t):
+    rows, _, fit = block_model(t)
+    rows.unpersist()
+    out = mixed.estimated_pairs(t.spark, fit, "code", CODES)
+    return rounded(out, ["level_a", "level_b"], ["difference", "se", "p_tukey", "p_bonferroni"], 5)
+
+
+@query("block_prediction", "MD10 MD3", "stems site", f"""
+WITH RECURSIVE {_BLOCKS}, u AS (SELECT bl.block, ratio / (1 + ratio * bl.n) * (s[11] - list_sum(list_transform(range(1, 11), lambda r: s[r] * m[r][11]))) AS effect FROM bl, best)
+SELECT uid, frame.code, round(m[1][11] + CASE WHEN cf.i > 1 THEN m[cf.i][11] ELSE 0 END, 5) AS fixed_part,
+ round(m[1][11] + CASE WHEN cf.i > 1 THEN m[cf.i][11] ELSE 0 END + effect, 5) AS conditional
+FROM frame JOIN u USING (block) JOIN cf USING (code), best""")
+def _(t):
+    rows, _, fit = block_model(t)
+    scored = mixed.predict_nested(mixed.predict_nested(rows, fit, "fixed_part", 0), fit, "conditional")
+    return rounded(scored, ["uid", "code"], ["fixed_part", "conditional"], 5)
+
+
+@query("block_fit_bias", "MD10 MD4", "stems site", f"""
+WITH RECURSIVE {_BLOCKS}, u AS (SELECT bl.block, ratio / (1 + ratio * bl.n) * (s[11] - list_sum(list_transform(range(1, 11), lambda r: s[r] * m[r][11]))) AS effect FROM bl, best),
+e AS (SELECT frame.code, vol_ha - (m[1][11] + CASE WHEN cf.i > 1 THEN m[cf.i][11] ELSE 0 END + effect) AS e FROM frame JOIN u USING (block) JOIN cf USING (code), best)
+SELECT code, count(*) AS n, round(avg(e), 5) AS mb, round(avg(abs(e)), 5) AS mab FROM e GROUP BY code""")
+def _(t):
+    rows, _, fit = block_model(t)
+    scored = gram.fit_stats(mixed.predict_nested(rows, fit, "conditional"), "vol_ha", "conditional", 10, ["code"])
+    return rounded(scored, ["code", "n"], ["mb", "mab"], 5)
+
+
 @query("marginal_grid", "MD18 JN6")
 def _(t):
     rows, fit = mixture_model(t)
@@ -304,29 +392,87 @@ def _(t):
     return rounded(out, [], [*terms, "predicted", "se", "conf_low", "conf_high"], 5)
 
 
-@query("nested_height_effects", "MD11 CLN9")
+LEVELS = [["spp"], ["spp", "block"], ["spp", "block", "plot"]]
+POINTS = [[a, b, c] for a in (0.0, 0.001, 0.01) for b in (0.0, 0.001, 0.01) for c in (0.0, 0.003, 0.01, 0.03)]
+
+
+def log_heights(t):
+    return t.live.withColumns({"y": F.log("ht"), "x": F.log(F.col("dbh") + 1)})
+
+
+def _up(name, source, level, ratio, keys):
+    """SQL of one level: its groups' intercepts integrated out, sums for the level above."""
+    cells = ["n", "sx", "sy", "sxx", "sxy", "syy"]
+    side = {"n": ("n", "n"), "sx": ("n", "sx"), "sy": ("n", "sy"), "sxx": ("sx", "sx"), "sxy": ("sx", "sy"), "syy": ("sy", "sy")}
+    sums = ", ".join(f"sum({c} - {ratio} / (1 + {ratio} * n) * {side[c][0]} * {side[c][1]}) AS {c}" for c in cells)
+    return f"{name} AS (SELECT {keys}point, r0, r1, r2, sum(cnt) AS cnt, sum(det + ln(1 + {ratio} * n)) AS det, {sums} FROM {source} GROUP BY ALL)"
+
+
+_NESTED = f"""ro AS (SELECT spp, block, plot, ln(ht) AS y, ln(dbh + 1) AS x FROM live WHERE ht IS NOT NULL),
+ce AS (SELECT (SELECT avg(x) FROM ro) AS mx, (SELECT avg(y) FROM ro) AS my),
+gr AS (SELECT unnest(range({len(POINTS)})) AS point, unnest({[p[0] for p in POINTS]!r}::DOUBLE[]) AS r0, unnest({[p[1] for p in POINTS]!r}::DOUBLE[]) AS r1,
+ unnest({[p[2] for p in POINTS]!r}::DOUBLE[]) AS r2),
+li AS (SELECT spp, block, plot, count(*) AS cnt, 0.0::DOUBLE AS det, count(*)::DOUBLE AS n, sum(x - mx) AS sx, sum(y - my) AS sy, sum((x - mx) * (x - mx)) AS sxx,
+ sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy FROM ro, ce GROUP BY ALL),
+l3 AS (SELECT * FROM li, gr),
+{_up("l2", "l3", 2, "r2", "spp, block, ")},
+{_up("l1", "l2", 1, "r1", "spp, ")},
+{_up("l0", "l1", 0, "r0", "")},
+so AS (SELECT *, n * sxx - sx * sx AS dd, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM l0),
+sr AS (SELECT *, (sy - b * sx) / n AS a, syy - (sy - b * sx) / n * sy - b * sxy AS rss FROM so),
+fit AS (SELECT *, rss / (cnt - 2) AS s2, -0.5::DOUBLE * ((cnt - 2) * (ln(2 * pi() * rss / (cnt - 2)) + 1) + det + ln(dd)) AS reml FROM sr),
+best AS (SELECT * FROM fit ORDER BY reml DESC, point LIMIT 1),
+u0 AS (SELECT l1.spp, l1.cnt AS n, best.r0 / (1 + best.r0 * l1.n) * (l1.sy - best.a * l1.n - best.b * l1.sx) AS u FROM l1 JOIN best USING (point)),
+u1 AS (SELECT l2.spp, l2.block, l2.cnt AS n, best.r1 / (1 + best.r1 * l2.n) * (l2.sy - best.a * l2.n - best.b * l2.sx - l2.n * u0.u) AS u, u0.u AS above
+ FROM l2 JOIN best USING (point) JOIN u0 USING (spp)),
+u2 AS (SELECT l3.spp, l3.block, l3.plot, l3.cnt AS n, best.r2 / (1 + best.r2 * l3.n) * (l3.sy - best.a * l3.n - best.b * l3.sx - l3.n * (u1.u + u1.above)) AS u,
+ u1.u + u1.above AS above FROM l3 JOIN best USING (point) JOIN u1 USING (spp, block))"""
+
+
+@query("nested_height_profile", "MD11", "live", f"""
+WITH {_NESTED} SELECT r0, r1, r2, round(reml, 3) AS reml, round(s2, 8) AS var_error FROM fit""")
 def _(t):
-    rows = t.live.withColumns({"y": F.log("ht"), "x": F.log(F.col("dbh") + 1)})
-    fixed, tables = mixed.nested_effects(rows, "y", "x", [["spp"], ["spp", "block"], ["spp", "block", "plot"]])
+    found = mixed.likelihood_profile(log_heights(t), "y", ["x"], LEVELS, POINTS)
+    return found.select(*[F.col(f"ratio_{i}").alias(f"r{i}") for i in range(3)], F.round("reml", 3).alias("reml"),
+                        F.round("var_error", 8).alias("var_error"))
+
+
+@query("nested_height_effects", "MD11 CLN9", "live", f"""
+WITH {_NESTED} SELECT 0 AS level, spp AS key, n::BIGINT AS n, round(u, 6) AS effect FROM u0
+UNION ALL SELECT 1, concat_ws('/', spp, block), n::BIGINT, round(u, 6) FROM u1
+UNION ALL SELECT 2, concat_ws('/', spp, block, plot), n::BIGINT, round(u, 6) FROM u2""")
+def _(t):
+    _, tables = mixed.nested_effects(log_heights(t), "y", "x", LEVELS, POINTS)
     out = None
-    for i, table in enumerate(tables):
-        keys = [c for c in ("spp", "block", "plot") if c in table.columns]
+    for i, (keys, table) in enumerate(zip(LEVELS, tables)):
         part = table.select(F.lit(i).alias("level"), F.concat_ws("/", *keys).alias("key"), "n",
-                            F.round(f"b_{i}", 5).alias("effect"))
+                            F.round(f"b_{i}", 6).alias("effect"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("nested_height_prediction", "MD11 MD13 JN5 CLN15")
+@query("nested_height_prediction", "MD11 MD13 JN5 CLN15", "live", f"""
+WITH {_NESTED}, s AS (SELECT live.*, coalesce(u2.u + u2.above, u1.u + u1.above, u0.u, 0) AS effect FROM live LEFT JOIN u0 USING (spp)
+ LEFT JOIN u1 USING (spp, block) LEFT JOIN u2 USING (spp, block, plot))
+SELECT uid, tree, CASE WHEN ht IS NULL THEN 1 ELSE 0 END AS imputed,
+ round(coalesce(ht, exp(a + my - b * mx + effect + b * ln(dbh + 1) + s2 / 2)), 5) AS height FROM s, best, ce""")
 def _(t):
-    rows = t.live.withColumns({"y": F.log("ht"), "x": F.log(F.col("dbh") + 1)})
-    levels = [["spp"], ["spp", "block"], ["spp", "block", "plot"]]
-    fixed, tables = mixed.nested_effects(rows, "y", "x", levels)
+    rows = log_heights(t)
+    fixed, tables = mixed.nested_effects(rows, "y", "x", LEVELS, POINTS)
     from standlab.operators.joins import add_effects
-    scored = add_effects(rows, [(tb, keys, f"b_{i}") for i, (tb, keys) in enumerate(zip(tables, levels))])
+    scored = add_effects(rows, [(tb, keys, f"b_{i}") for i, (tb, keys) in enumerate(zip(tables, LEVELS))])
     mu = fixed["intercept"] + F.col("effect") + fixed["slope"] * F.col("x")
     scored = clean.impute(scored, "ht", F.exp(mu + fixed["sigma2"] / 2), "height", "imputed")
-    return rounded(scored, ["uid", "tree", "imputed"], ["height"], 4)
+    return rounded(scored, ["uid", "tree", "imputed"], ["height"], 5)
+
+
+@query("nested_height_reml", "MD11 MD12")
+def _(t):
+    fit = mixed.nested_intercepts(log_heights(t).filter("dbh > 0"), "y", ["x"], LEVELS, weight_on="dbh")
+    table = [(term, float(v)) for term, v in zip(fit.terms, fit.beta)]
+    table += [(f"var({'.'.join(keys)})", v) for keys, v in zip(LEVELS, fit.variances)]
+    table += [("var(residual)", fit.var_error), ("theta", fit.theta)]
+    return literal_table(t.spark, [(term, round(v, 4)) for term, v in table], "term string, estimate double")
 
 
 # -- counts ---------------------------------------------------------------------------------

@@ -95,6 +95,8 @@ def with_views(names: str, query: str) -> str:
         need(name)
     head = "WITH " + ",\n".join(SQL[n][1] for n in order)
     body = query.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return head.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + body[15:]
     return head + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
 
 

@@ -138,7 +138,7 @@ def test_nested_effects_follow_the_truth(spark):
     x = rng.normal(2, 1, len(s))
     y = 1 + 0.8 * x + us[s] + ub[s, b] + rng.normal(0, 0.2, len(s))
     df = frame(spark, {"s": [f"s{v}" for v in s], "b": [f"b{v}" for v in b], "p": [f"p{v}" for v in p], "x": x, "y": y})
-    fixed, tables = mixed.nested_effects(df, "y", "x", [["s"], ["s", "b"], ["s", "b", "p"]], sweeps=15)
+    fixed, tables = mixed.nested_effects(df, "y", "x", [["s"], ["s", "b"], ["s", "b", "p"]])
     assert fixed["slope"] == pytest.approx(0.8, abs=0.02)
     assert fixed["sigma2"] == pytest.approx(0.04, abs=0.01)
     top = {r["s"]: r["b_0"] for r in tables[0].collect()}
@@ -147,6 +147,92 @@ def test_nested_effects_follow_the_truth(spark):
     assert total == pytest.approx([1 + us[i] + ub[i, j] for i in range(4) for j in range(5)], abs=0.15)
 
 
+def _dense_reml(y, design, zs, ratios, w=None):
+    """Restricted likelihood, coefficients, error variance and effects on the whole covariance matrix."""
+    w = np.ones(len(y)) if w is None else w
+    v = np.diag(1 / w) + sum(r * z @ z.T for r, z in zip(ratios, zs))
+    inv = np.linalg.inv(v)
+    xx = design.T @ inv @ design
+    beta = np.linalg.solve(xx, design.T @ inv @ y)
+    r = y - design @ beta
+    dof = len(y) - design.shape[1]
+    s2 = r @ inv @ r / dof
+    crit = -0.5 * (dof * (math.log(2 * math.pi * s2) + 1) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(xx)[1])
+    return crit, beta, s2, [q * z.T @ inv @ r for q, z in zip(ratios, zs)]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_nested_intercepts_against_dense_likelihood(spark, weighted):
+    rng = np.random.default_rng(9)
+    s, b, p = np.meshgrid(range(4), range(4), range(3), indexing="ij")
+    copies = rng.integers(2, 6, 48)
+    s, b, p = (np.repeat(v.ravel(), copies) for v in (s, b, p))
+    d = rng.uniform(1, 6, len(s))
+    x = np.log(d)
+    y = (2 + 0.5 * x + rng.normal(0, 1, 4)[s] + rng.normal(0, 0.7, (4, 4))[s, b] + rng.normal(0, 0.5, (4, 4, 3))[s, b, p]
+         + rng.normal(0, 0.4, len(s)) * (d ** 0.6 if weighted else 1))
+    df = frame(spark, {"s": [f"s{v}" for v in s], "b": [f"b{v}" for v in b], "p": [f"p{v}" for v in p], "x": x, "y": y, "d": d})
+    levels = [["s"], ["s", "b"], ["s", "b", "p"]]
+    fit = mixed.nested_intercepts(df, "y", ["x"], levels, weight_on="d" if weighted else None)
+    zs = [np.eye(4)[s], np.eye(16)[s * 4 + b], np.eye(48)[(s * 4 + b) * 3 + p]]
+    design = np.column_stack([np.ones(len(y)), x])
+    ratios = [v / fit.var_error for v in fit.variances]
+
+    def at(ratios, theta):
+        crit, *rest = _dense_reml(y, design, zs, ratios, d ** (-2 * theta))
+        return crit, *rest
+
+    crit, beta, s2, effects = at(ratios, fit.theta)
+    assert fit.reml == pytest.approx(crit, rel=1e-9) and (fit.theta != 0) == weighted
+    assert fit.beta == pytest.approx(beta.tolist(), rel=1e-7) and fit.var_error == pytest.approx(s2, rel=1e-7)
+    for i in range(3):
+        for f in (0.98, 1.02):
+            assert at([r * (f if i == j else 1) for j, r in enumerate(ratios)], fit.theta)[0] <= crit + 1e-9
+    if weighted:
+        assert max(at(ratios, fit.theta + h)[0] for h in (-0.01, 0.01)) <= crit
+    for i, (table, want) in enumerate(zip(fit.tables, effects)):
+        got = {tuple(r[k] for k in levels[i]): r["effect"] for r in table.collect()}
+        names = sorted({(f"s{u}", f"b{v}", f"p{w}")[:i + 1] for u, v, w in zip(s, b, p)})
+        assert [got[k] for k in names] == pytest.approx(want.tolist(), rel=1e-5, abs=1e-8)
+    scored = mixed.predict_nested(df, fit, "fitted").orderBy("x").collect()
+    whole = design @ beta + sum(z @ u for z, u in zip(zs, effects))
+    assert [r["fitted"] for r in scored] == pytest.approx(whole[np.argsort(x)].tolist(), rel=1e-6)
+
+
+def test_a_level_without_variance_gets_none(spark):
+    rng = np.random.default_rng(1)
+    g = np.repeat(np.arange(8), 6)
+    y = rng.normal(0, 1, 48)
+    y = y - np.array([y[g == i].mean() for i in range(8)])[g]  # all groups alike
+    fit = mixed.random_intercept(frame(spark, {"g": [str(v) for v in g], "y": y, "x": np.tile(np.arange(6.0), 8)}), "y", ["x"], ["g"])
+    assert fit.var_group == 0 and all(r["effect"] == 0 for r in fit.effects.collect())
+    with pytest.raises(ValueError):
+        mixed.nested_intercepts(fit.effects, "effect", [], [["g"], ["n"]])
+
+
+def test_block_model_means_and_pairs_against_dense_solution(spark):
+    rng = np.random.default_rng(12)
+    block, code = (v.ravel() for v in np.meshgrid(range(6), range(3), indexing="ij"))
+    keep = rng.uniform(size=18) > 0.15  # unbalanced
+    block, code = block[keep], code[keep]
+    y = 5 + np.array([0, 1, 3])[code] + rng.normal(0, 2, 6)[block] + rng.normal(0, 0.5, len(block))
+    df, names = gram.dummies(frame(spark, {"block": [f"b{v}" for v in block], "code": [("P", "Q", "R")[v] for v in code], "y": y}),
+                             {"code": ["P", "Q", "R"]})
+    fit = mixed.random_intercept(df, "y", names, ["block"])
+    design = np.column_stack([np.ones(len(y)), code == 1, code == 2]).astype(float)
+    z = np.eye(6)[block]
+    crit, beta, s2, _ = _dense_reml(y, design, [z], [fit.var_group / fit.var_error])
+    inv = np.linalg.inv(np.eye(len(y)) + fit.var_group / fit.var_error * z @ z.T)
+    cov = np.linalg.inv(design.T @ inv @ design) * s2
+    means = {r["level"]: r for r in mixed.estimated_means(spark, fit, "code", ["P", "Q", "R"]).collect()}
+    assert means["R"]["emmean"] == pytest.approx(beta[0] + beta[2], rel=1e-7)
+    assert means["R"]["se"] == pytest.approx(math.sqrt(cov[0, 0] + 2 * cov[0, 2] + cov[2, 2]), rel=1e-7)
+    pairs = {(r["level_a"], r["level_b"]): r for r in mixed.estimated_pairs(spark, fit, "code", ["P", "Q", "R"]).collect()}
+    assert pairs["Q", "R"]["difference"] == pytest.approx(beta[1] - beta[2], rel=1e-7)
+    assert pairs["Q", "R"]["se"] == pytest.approx(math.sqrt(cov[1, 1] + cov[2, 2] - 2 * cov[1, 2]), rel=1e-7)
+    assert pairs["Q", "R"]["df"] == len(y) - 6 - 2 and 0 < pairs["P", "R"]["p_tukey"] < pairs["P", "R"]["p_bonferroni"] < 0.1
+
+
 def test_two_stage_height_pulls_small_groups(spark):
     rng = np.random.default_rng(6)
     d = rng.uniform(1, 10, 430)
