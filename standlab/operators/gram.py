@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -192,60 +190,6 @@ def vif_pair(df: DataFrame, x1: str, x2: str) -> DataFrame:
     return df.dropna(subset=[x1, x2]).agg((1 / (1 - r * r)).alias("vif"))
 
 
-def best_subsets(df: DataFrame, y: str, xs: list[str], max_size: int = 8) -> DataFrame:
-    """Best model of each size by residual sum of squares.
-
-    The rows are read once; every subset is scored on the small cross-product matrix.  The
-    subsets of a size are numbered, so each task builds its own from a range of numbers.
-    """
-    n, _, cross = global_moments(df, [*xs, y])
-    k, syy = len(xs), float(cross[-1, -1])
-    spark, names = df.sparkSession, np.array(xs)
-    sizes = [s for s in range(1, min(max_size, k) + 1)]
-    starts = np.cumsum([0] + [math.comb(k, s) for s in sizes])
-    ids = spark.range(int(starts[-1]))
-
-    def score(batches):
-        for pdf in batches:
-            number = pdf["id"].to_numpy()
-            which = np.searchsorted(starts, number, "right") - 1
-            for i in np.unique(which):
-                rank = number[which == i] - starts[i]
-                for at in range(0, len(rank), 20_000):
-                    pick = subsets_at(rank[at:at + 20_000], k, sizes[i])
-                    a = cross[pick[:, :, None], pick[:, None, :]]
-                    b = cross[pick, -1]
-                    # pinv keeps subsets with an exactly redundant term at that term's smaller fit
-                    sol = (np.linalg.pinv(a, hermitian=True) @ b[:, :, None])[:, :, 0]
-                    rss = syy - (sol * b).sum(axis=1)
-                    low = int(np.argmin(rss))
-                    yield pd.DataFrame({"size": [sizes[i]], "rss": [rss[low]],
-                                        "terms": ["+".join(names[pick[low]])]})
-
-    scored = ids.mapInPandas(score, "size int, rss double, terms string")
-    best = scored.groupBy("size").agg(F.min(F.struct("rss", "terms")).alias("b"))
-    return best.select("size", F.col("b.terms").alias("terms"), F.col("b.rss").alias("rss"),
-                       (1 - F.col("b.rss") / syy).alias("r2"))
-
-
-def subsets_at(rank: np.ndarray, k: int, size: int) -> np.ndarray:
-    """Members of the subsets with these numbers, in lexicographic order of all C(k, size)."""
-    out = np.empty((len(rank), size), int)
-    left = rank.astype(np.int64).copy()
-    low = np.zeros(len(rank), int)
-    for j in range(size):
-        chosen = np.full(len(rank), -1)
-        for c in range(k):
-            block = math.comb(k - c - 1, size - j - 1)
-            open_ = (chosen < 0) & (c >= low)
-            take = open_ & (left < block)
-            chosen[take] = c
-            left[open_ & ~take] -= block
-        out[:, j] = chosen
-        low = chosen + 1
-    return out
-
-
 BOXCOX_GRID = [-2.0 + 4.0 * i / 99 for i in range(100)]
 
 

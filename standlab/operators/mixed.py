@@ -179,9 +179,10 @@ def _highest(model: _Nested, theta: bool, tol: float, rounds: int) -> dict:
         f = [v["crit"] for v in fits]
         m = len(free)
         up, down = np.array(f[1:m + 1]), np.array(f[m + 1:2 * m + 1])
-        at_zero = [(f[len(steps) + j], i) for j, i in enumerate(dropped) if up[free.index(i)] <= down[free.index(i)]]
+        at_zero = [(f[len(steps) + j], i, j) for j, i in enumerate(dropped) if up[free.index(i)] <= down[free.index(i)]]
         if at_zero and max(at_zero)[0] >= f[0]:
-            zero = zero | (np.arange(size) == max(at_zero)[1])
+            _, i, j = max(at_zero)
+            zero, fit = zero | (np.arange(size) == i), fits[len(steps) + j]
             continue
         slope = (up - down) / (2 * width)
         bend = np.diag((up - 2 * f[0] + down) / width ** 2)

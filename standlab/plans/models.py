@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from standlab import constants as K
 from standlab.functions import columns as C
-from standlab.operators import clean, counts, damage, gram, mixed, nls, stand, windows
+from standlab.operators import clean, counts, damage, gram, mixed, nls, stand, subsets, windows
 from standlab.operators.reshape import widen
 from standlab.plans.registry import query
 from standlab.plans.sql import crossproducts, matrix, sweep
 from standlab.plans.stand import rounded
-from standlab.session import literal_table
+from standlab.session import cut_lineage, literal_table
 
 _FRAME = """frame AS (SELECT p.*, s.dep, s.slope, s.swi, s.rad, s.elevation, s.winds, s.ph FROM (
  SELECT block, plot, uid, code, sum(dbh * dbh) * 0.005454::DOUBLE * 10 AS bapa, count(*) * 10.0::DOUBLE AS tpa, sqrt(sum(dbh * dbh) / count(*)) AS qmd,
@@ -106,10 +106,49 @@ def _(t):
     return literal_table(t.spark, [(k, round(v, 6)) for k, v in values.items()], "term string, vif double")
 
 
-@query("best_subsets", "MD6")
-def _(t):
-    xs = ["bapa", "tpa", "qmd", "rd", "ccf", "lai", "dep", "elevation", "winds", "ph", "swi", "rad", "slope"]
-    return rounded(gram.best_subsets(frame(t).fillna(0, subset=["lai"]), "vol_ha", xs, 8), ["size", "terms"], ["rss", "r2"], 4)
+XS13 = ["bapa", "tpa", "qmd", "rd", "ccf", "lai", "dep", "elevation", "winds", "ph", "swi", "rad", "slope"]
+_WIDE = """wide AS (SELECT p.*, bapa / sqrt(qmd) AS rd, s.dep, s.elevation, s.winds, s.ph, s.swi, s.rad, s.slope FROM (
+ SELECT uid, sum(dbh * dbh) * 0.005454::DOUBLE * 10 AS bapa, count(*) * 10.0::DOUBLE AS tpa, sqrt(sum(dbh * dbh) / count(*)) AS qmd,
+  sum(pi() * pow(cw / 2, 2) * 10) / 43560 * 100 AS ccf, coalesce(avg(lai), 0) AS lai, sum(vol) * 10 * 2.47::DOUBLE AS vol_ha
+ FROM stems WHERE code <> 'C' GROUP BY uid) p JOIN site s USING (uid))"""
+_NEXT = ("CASE WHEN i = c AND j = c THEN 1 / m[c][c] WHEN i = c THEN m[i][j] / m[c][c] WHEN j = c THEN -m[i][j] / m[c][c] "
+         "ELSE m[i][j] - m[i][c] * m[c][j] / m[c][c] END")
+
+
+@query("best_subsets", "MD6", "stems site", f"""
+WITH RECURSIVE {_WIDE}, mu AS (SELECT [{", ".join(f"avg({c})" for c in [*XS13, "vol_ha"])}] AS mu FROM wide),
+z AS (SELECT list_transform(list_zip([{", ".join([*XS13, "vol_ha"])}], mu), lambda p: p[1] - p[2]) AS z FROM wide, mu),
+{crossproducts("cp", "z", 14)},
+{matrix("cm", "cp")},
+tree AS (SELECT 0 AS size, 0 AS last, ''::VARCHAR AS terms, m FROM cm UNION ALL
+ SELECT size + 1, c::INT, terms || CASE WHEN size > 0 THEN '+' ELSE '' END || {XS13!r}[c],
+  list_transform(range(1, 15), lambda i: list_transform(range(1, 15), lambda j: {_NEXT}))
+ FROM tree, range(1, 14) t(c) WHERE c > last AND size < 8)
+SELECT size, arg_min(terms, m[14][14]) AS terms, round(min(m[14][14]), 4) AS rss, round(1 - min(m[14][14]) / (SELECT m[14][14] FROM cm), 4) AS r2
+FROM tree WHERE size > 0 GROUP BY size""")
+def _(t):
+    return rounded(subsets.best_subsets(frame(t).fillna(0, subset=["lai"]), "vol_ha", XS13, 8), ["size", "terms"], ["rss", "r2"], 4)
+
+
+SITE_TERMS = ["dep", "elevation", "winds", "ph", "swi", "rad", "slope", "tmax", "vpdmax", "ppt"]
+
+
+@query("best_subsets_wide", "MD6")
+def _(t):
+    """48 candidates: plot metrics, species shares of density and volume, site covariates and squares."""
+    shares = stand.species_ratios(t.stems, ["uid"])
+    rows = frame(t).fillna(0, subset=["lai"])
+    names = ["bapa", "tpa", "qmd", "rd", "ccf", "lai", "sdi", *SITE_TERMS]
+    for value, suffix in (("rel_rd", "_rd"), ("rel_vol", "_vol")):
+        if value in shares.columns:
+            rows = rows.join(widen(shares, ["uid"], "spp", value, K.SPECIES, suffix, agg=F.avg), "uid")
+            names += [f"{spp}{suffix}" for spp in K.SPECIES]
+    squares = [*SITE_TERMS, "bapa", "tpa", "qmd", "rd", "ccf", "lai", "sdi"]
+    rows = rows.withColumns({f"{c}_2": F.col(c) * F.col(c) for c in squares} | {
+        f"{c}_rd": F.col(c) * F.col("rd") for c in SITE_TERMS[:6]})
+    names = [*names, *[f"{c}_2" for c in squares], *[f"{c}_rd" for c in SITE_TERMS[:6]]][:48]
+    rows = cut_lineage(rows.select("vol_ha", *names))  # one row per plot; the search reads it twice
+    return rounded(subsets.best_subsets(rows, "vol_ha", names, 8), ["size", "terms"], ["rss", "r2"], 4)
 
 
 _BOXCOX = f"""{_FRAME}, g AS (SELECT -2 + 4.0::DOUBLE * range / 99 AS exponent FROM range(100)),

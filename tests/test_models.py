@@ -1,12 +1,13 @@
 """Fits against numpy on small data with known answers."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from standlab.operators import counts, dist, gram, mixed, nls, smooth
+from standlab.operators import subsets, counts, dist, gram, mixed, nls, smooth
 
 
 def frame(spark, cols):
@@ -45,12 +46,10 @@ def test_vif_and_subsets(spark):
     assert list(gram.vif(df, list(x)).values()) == pytest.approx(np.diag(np.linalg.inv(r)).tolist(), rel=1e-6)
     from itertools import combinations
     m = np.column_stack(list(x.values()))
-    for row in gram.best_subsets(df, "y", list(x), 3).collect():
+    for row in subsets.best_subsets(df, "y", list(x), 3).collect():
         best = min(np.linalg.lstsq(np.column_stack([np.ones(len(y)), m[:, c]]), y, rcond=None)[1][0]
                    for c in combinations(range(6), row["size"]))
         assert row["rss"] == pytest.approx(best, rel=1e-6)
-    every = [list(c) for c in combinations(range(6), 3)]
-    assert gram.subsets_at(np.arange(20), 6, 3).tolist() == every
 
 
 def test_best_subsets_beyond_thirty_candidates(spark):
@@ -59,10 +58,44 @@ def test_best_subsets_beyond_thirty_candidates(spark):
     # each alone explains little, so a forward search would begin with their shadow x0
     y = x["x5"] - x["x6"]
     x["x0"] = y + 0.5 * rng.normal(size=200)
-    best = gram.best_subsets(frame(spark, {**x, "y": y}), "y", list(x), 2).orderBy("size").collect()
+    best = subsets.best_subsets(frame(spark, {**x, "y": y}), "y", list(x), 2).orderBy("size").collect()
     assert best[0]["terms"] == "x0" and best[1]["terms"] == "x5+x6"
 
 
+def test_best_subsets_equal_full_enumeration(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(120, 12))
+    base[:, 6] = base[:, 0] + 0.1 * rng.normal(size=120)
+    base[:, 7] = base[:, 1] - base[:, 2] + 0.05 * rng.normal(size=120)
+    base[:, 11] = base[:, 3] + base[:, 4]  # depends on two others
+    y = base[:, 0] - base[:, 1] + 0.7 * base[:, 3] + rng.normal(size=120)
+    df = frame(spark, {**{f"x{i}": base[:, i] for i in range(12)}, "flat": np.ones(120), "y": y})
+    got = {r["size"]: r for r in subsets.best_subsets(df, "y", [f"x{i}" for i in range(12)] + ["flat"], 6, budget=20).collect()}
+    x, z = base - base.mean(axis=0), y - y.mean()
+    for size in range(1, 7):
+        rss = {c: np.linalg.lstsq(x[:, c], z, rcond=None) for c in combinations(range(12), size)}
+        least = min(float(((z - x[:, c] @ v[0]) ** 2).sum()) for c, v in rss.items())
+        assert got[size]["rss"] == pytest.approx(least, rel=1e-8)
+        chosen = [int(t[1:]) for t in got[size]["terms"].split("+")]
+        assert float(((z - x[:, chosen] @ np.linalg.lstsq(x[:, chosen], z, rcond=None)[0]) ** 2).sum()) == pytest.approx(least, rel=1e-8)
+
+
+def test_best_subsets_of_48_terms(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 48)) @ (np.eye(48) + 0.1 * rng.normal(size=(48, 48)))
+    true = [3, 11, 19, 27, 40]
+    y = x[:, true] @ np.array([1.0, -1.0, 0.8, 0.6, 0.5]) + rng.normal(size=400)
+    got = {r["size"]: r["terms"] for r in subsets.best_subsets(
+        frame(spark, {**{f"x{i}": x[:, i] for i in range(48)}, "y": y}), "y", [f"x{i}" for i in range(48)], 8).collect()}
+    assert sorted(got) == list(range(1, 9)) and got[5] == "+".join(f"x{i}" for i in true)
+    search = subsets.Search(np.corrcoef(np.column_stack([x, y]).T), 8, {})
+    search.start()
+    found = subsets.Search(np.corrcoef(np.column_stack([x, y]).T), 8, search.best)
+    for size, terms in got.items():
+        chosen = [int(t[1:]) for t in terms.split("+")]
+        assert found.residual(chosen) <= search.best[size][0] + 1e-9
+
+
 def test_factor_columns(spark):
     df = frame(spark, {"g": ["a", "b", "c"] * 4, "x": np.arange(12.0), "y": np.tile([1.0, 3.0, 7.0], 4)})
     wide, names = gram.dummies(df, {"g": ["a", "b", "c"]}, [("x", "g")])
