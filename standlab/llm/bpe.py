@@ -21,7 +21,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -226,11 +226,6 @@ class Encoder:
         return self.table[at][:-1].tobytes()
 
 
-@lru_cache(maxsize=2)
-def encoder(config: str) -> Encoder:
-    return Encoder(json.loads(config))
-
-
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -250,15 +245,16 @@ def coder(spark, path: str, digest: bool = False):
     kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
 
     @F.pandas_udf(f"n_tokens long, {kind}")
-    def encoded(texts: pd.Series) -> pd.DataFrame:
-        own = encoder(config.value)
-        rows = []
-        for text in texts:
-            ids = own.encode(text)
-            decoded = own.decode(ids)
-            rows.append((len(ids), hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest(),
-                         hashlib.sha256(decoded).hexdigest()) if digest else (len(ids), ids, decoded.decode()))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in f"n_tokens long, {kind}".split(", ")])
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Encoder(json.loads(config.value))  # one for the task, gone with it
+        for texts in batches:
+            rows = []
+            for text in texts:
+                ids = own.encode(text)
+                decoded = own.decode(ids)
+                rows.append((len(ids), hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest(),
+                             hashlib.sha256(decoded).hexdigest()) if digest else (len(ids), ids, decoded.decode()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in f"n_tokens long, {kind}".split(", ")])
 
     return encoded
 

@@ -232,10 +232,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7,
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = spark.createDataFrame([], schema)
     for index in _shards(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(vars(index))  # plain arrays: workers need no copy of the class
 
         def run(batches, shared=shared):
-            index = shared.value
+            index = Index.__new__(Index)
+            vars(index).update(shared.value)
             for batch in batches:
                 for a, b in slices(text_sizes(batch["text"])):
                     ids = batch["doc_id"].iloc[a:b].to_numpy()

@@ -30,6 +30,7 @@ LEVEL = 3
 MARGIN = 0.01  # smallest share by which the second language must be larger
 UNKNOWN = "und"
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> str:
@@ -109,7 +110,7 @@ def identify(spark, content: dict[str, bytes], margin: float = MARGIN):
             rows = []
             for text in texts:
                 plain = letters(text)
-                if not plain or not own.langs:
+                if not own.langs or not _LETTER.search(plain):
                     rows.append((UNKNOWN, 0.0, 0.0, True))
                     continue
                 size = own.sizes(plain)

@@ -109,10 +109,12 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             s1, s2 = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
             np.add.at(s1, doc, mix(shingles))
             np.add.at(s2, doc, mix(shingles ^ np.uint64(0xC0FFEE123457)))
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n": np.bincount(doc, minlength=len(rows)),
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "n": np.bincount(doc, minlength=len(rows)),
                                 "s1": s1.view(np.int64), "s2": s2.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long")
+    # ids travel as text: beside a null, whole numbers would turn into floats
+    described = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n long, s1 long, s2 long")
+    return described.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def postings(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFrame:

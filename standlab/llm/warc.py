@@ -283,13 +283,16 @@ def page_records(spark: SparkSession, archive: Archive) -> DataFrame:
 
     read = cut_lineage(read_all(spark, archive).select(
         page("id").alias("page_id"), "type", page("refers").alias("refers_to"), "digest",
-        F.octet_length("payload").cast("long").alias("bytes")))
-    response = read.filter("type = 'response' AND page_id IS NOT NULL").groupBy("page_id").agg(
-        F.min(F.struct("bytes", "digest")).alias("r")).select(F.col("page_id").alias("refers_to"), "r")
-    both = read.join(response, "refers_to", "left")
-    return both.select("page_id", F.coalesce("r.bytes", "bytes").alias("payload_bytes"),
-                       F.coalesce("r.digest", "digest").alias("payload_digest"),
-                       F.col("type").alias("record_type"), "refers_to")
+        F.regexp_replace("claimed", "^sha1:", "").alias("claimed"), F.octet_length("payload").cast("long").alias("bytes")))
+    # a page_id may have several payloads: a revisit's is the one whose digest it claims
+    response = read.filter("type = 'response' AND page_id IS NOT NULL").select(
+        F.col("page_id").alias("refers_to"), F.col("digest").alias("claimed"), F.col("bytes").alias("full"), "digest").distinct()
+    both = read.drop("digest").join(response, ["refers_to", "claimed"], "left").select(
+        "page_id", "type", "refers_to", F.coalesce("full", "bytes").alias("bytes"), F.col("digest").alias("found"))
+    own = read.filter("type = 'response'").select("page_id", "type", "refers_to", "bytes", F.col("digest").alias("found"))
+    return both.filter("type <> 'response'").union(own).select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.col("found").alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to")
 
 
 @register("op4_warc")

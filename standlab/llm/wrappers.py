@@ -28,7 +28,6 @@ import html
 import json
 import re
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -132,7 +131,6 @@ def _label(name: str, attributes: str) -> str:
     return ".".join([name, *classes]) + mark
 
 
-@lru_cache(1 << 16)
 def place(path: str) -> str:
     """'noise', 'region' (inside an article or main), 'hint' (there, where a name hints at noise) or 'body'."""
     elements = path.split("/")
@@ -184,8 +182,12 @@ def mark(path: str, raw: str) -> int:
 
 def candidates(source: str | None) -> list[tuple[str, str, int]]:
     """(path, raw text, block) of a page that can be main text: its region's, or without text there its body's."""
-    clean = [t for t in texts(source) if place(t[0]) != "noise"]
-    inside = [t for t in clean if place(t[0]) != "body"]
+    found, where = list(texts(source)), {}
+    for path, _, _ in found:
+        if path not in where:
+            where[path] = place(path)
+    clean = [t for t in found if where[t[0]] != "noise"]
+    inside = [t for t in clean if where[t[0]] != "body"]
     return inside if any(raw.strip() for _, raw, _ in inside) else clean
 
 
