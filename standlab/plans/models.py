@@ -51,27 +51,60 @@ def _(t):
                        F.round("r2", 6).alias("r2"))
 
 
-@query("ols_factors", "MD2 MD1")
+_SPP = [f"spp_{c}" for c in K.SPECIES[1:]]
+
+
+def _ols_sql(rows: str, names: list[str], z: str, y: str) -> str:
+    """CTEs of a regression: ``f`` has the swept matrix, n and the centred total of the response."""
+    size = len(names) + 2
+    return f"""rw AS ({rows}), z AS (SELECT [1, {z}, {y}]::DOUBLE[] AS z FROM rw),
+{crossproducts("cp", "z", size)},
+{matrix("cm", "cp")},
+{sweep("sw", "cm", size, size - 1)},
+f AS (SELECT sw.m, cm.m AS raw, cm.m[1][1] AS n, sw.m[{size}][{size}] AS sse, cm.m[{size}][{size}] - cm.m[1][{size}] ** 2 / cm.m[1][1] AS sst,
+ {["(Intercept)", *names]!r} AS terms FROM sw, cm)"""
+
+
+def _terms_sql(size: int) -> str:
+    return (f"SELECT terms[i] AS term, round(m[i][{size}], 6) AS estimate, round(sqrt(m[i][i] * sse / (n - {size - 1})), 6) AS se "
+            f"FROM f, range(1, {size}) t(i)")
+
+
+_SPP_Z = ", ".join(f"(spp = '{c}')::INT" for c in K.SPECIES[1:])
+_CODE_D = ", ".join(f"(code = '{c}')::INT" for c in (K.PURE + K.MIXED)[1:])
+
+
+@query("ols_factors", "MD2 MD1", "stems site", f"""
+WITH RECURSIVE {_ols_sql("SELECT hcb, final_ht, dbh, vpdmax, spp FROM stems JOIN site USING (uid) WHERE hcb IS NOT NULL",
+                         ["final_ht", "dbh", "vpdmax", *_SPP], f"final_ht, dbh, vpdmax, {_SPP_Z}", "hcb")} {_terms_sql(8)}""")
 def _(t):
     rows, names = gram.dummies(t.stems.join(t.site.select("uid", "vpdmax"), "uid"), {"spp": K.SPECIES})
     fits = gram.ols(rows, "hcb", ["final_ht", "dbh", "vpdmax", *names])
     return rounded(gram.coefficients(fits), ["term"], ["estimate", "se"])
 
 
-@query("ols_interaction", "MD2")
+@query("ols_interaction", "MD2", "stems site", f"""
+WITH RECURSIVE {_FRAME}, {_ols_sql("SELECT * FROM frame", ["rd", "dep", *[f"code_{c}" for c in (K.PURE + K.MIXED)[1:]],
+                                   *[f"dep_x_code_{c}" for c in (K.PURE + K.MIXED)[1:]]],
+                                   f"rd, dep, {_CODE_D}, " + ", ".join(f"(code = '{c}')::INT * dep" for c in (K.PURE + K.MIXED)[1:]), "vol_ha")}
+{_terms_sql(22)}""")
 def _(t):
     rows, names = gram.dummies(frame(t), {"code": K.PURE + K.MIXED}, [("dep", "code")])
     fits = gram.ols(rows, "vol_ha", ["rd", "dep", *names])
     return rounded(gram.coefficients(fits), ["term"], ["estimate", "se"])
 
 
-@query("ols_logs", "MD2")
+@query("ols_logs", "MD2", "stems", f"""
+WITH RECURSIVE {_ols_sql("SELECT * FROM stems WHERE hcb IS NOT NULL", ["dbh", "final_ht", "hdr", "log_ccf", *_SPP],
+                         f"dbh, final_ht, final_ht / dbh, ln(pi() * pow(cw / 2, 2) / 435.6 + 0.1), {_SPP_Z}", "hcb")}
+SELECT n::BIGINT AS n, round(1 - sse / sst, 6) AS r2, round(1 - sse / sst * (n - 1) / (n - 8), 6) AS adj_r2, round(sqrt(sse / n), 6) AS rmse,
+ round(n * (ln(2 * pi() * sse / n) + 1) + 18, 3) AS aic FROM f""")
 def _(t):
     rows, names = gram.dummies(t.stems.withColumns({
         "hdr": C.ratio("final_ht", "dbh"), "log_ccf": F.log(C.crown_area("cw") / 435.6 + 0.1)}),
         {"spp": K.SPECIES})
     fits = gram.ols(rows, "hcb", ["dbh", "final_ht", "hdr", "log_ccf", *names])
-    return rounded(fits, ["n"], ["r2", "adj_r2", "rmse", "aic"])
+    return rounded(fits.withColumn("aic", F.round("aic", 3)), ["n", "aic"], ["r2", "adj_r2", "rmse"])
 
 
 @query("predicted_heights", "MD3", "live", """
@@ -100,7 +133,9 @@ def _(t):
     return gram.vif_pair(frame(t), "rd", "qmd").withColumn("vif", F.round("vif", 6))
 
 
-@query("vif_full", "MD5")
+@query("vif_full", "MD5", "stems site", f"""
+WITH RECURSIVE {_FRAME}, {_ols_sql("SELECT * FROM frame", ["rd", "qmd", "tpa", "dep", "slope"], "rd, qmd, tpa, dep, slope", "vol_ha")}
+SELECT terms[i] AS term, round(m[i][i] * (raw[i][i] - raw[1][i] ** 2 / n), 6) AS vif FROM f, range(2, 7) t(i)""")
 def _(t):
     values = gram.vif(frame(t), ["rd", "qmd", "tpa", "dep", "slope"])
     return literal_table(t.spark, [(k, round(v, 6)) for k, v in values.items()], "term string, vif double")
