@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from standlab.session import small_side
+from standlab.session import cut_lineage, small_side
 
 
 def match_nulls(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -73,6 +73,8 @@ def add_effects(df: DataFrame, effects: list[tuple[DataFrame, list[str], str]],
     """
     for table, keys, col in effects:
         table = small_side(table.select(*keys, col))
+        if how == "full":
+            df = cut_lineage(df)  # a full merge reads its left side twice: the table of it, not what made it
         df = full_merge(df, table, keys) if how == "full" else df.join(table, keys, "left")
         df = df.fillna(0.0, subset=[col])
     total = sum((F.col(col) for _, _, col in effects), F.lit(0.0))

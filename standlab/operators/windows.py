@@ -47,12 +47,13 @@ def top_mean(df: DataFrame, by: list[str], order: str, value: str, n: int,
 
 
 def sums_before(df: DataFrame, by: list[str], specs: dict[str, tuple[str, Column]], tie: str,
-                width: float = 1.0, tie_chars: int = 4, hot_limit: int = 1_000_000) -> DataFrame:
+                hot_limit: int = 1_000_000) -> DataFrame:
     """Exclusive running sums in descending order, 0 for the first row of a group.
 
     ``specs`` maps an output name to (order column, measure); ties in the order column
     follow the text column ``tie``.  Groups up to ``hot_limit`` rows use one shuffle for
-    all outputs.  Larger ones, of which there are at most rows / hot_limit, are split.
+    all outputs.  Larger ones, of which there are at most rows / hot_limit, are dealt over range
+    partitions, whatever their values and ties look like; both ways give the same sums.
     """
     def running(rows):
         for name, (order, measure) in specs.items():
@@ -67,34 +68,22 @@ def sums_before(df: DataFrame, by: list[str], specs: dict[str, tuple[str, Column
         return running(df)
     split = df.join(F.broadcast(hot), by, "left_semi")
     for name, (order, measure) in specs.items():
-        split = cut_lineage(_segmented_sum_before(cut_lineage(split), by, order, measure, tie, name,
-                                                  width, tie_chars))
+        split = cut_lineage(_ranged_sum_before(split, by, order, measure, tie, name))
     return running(df.join(F.broadcast(hot), by, "left_anti")).unionByName(split)
 
 
-def _segmented_sum_before(df, by, order, measure, tie, name, width, tie_chars):
-    """Running sum of oversized groups from totals of value range, value and tie prefix."""
-    seg = {"_range": F.coalesce(F.floor(F.col(order) / width), F.lit(-2 ** 62)),
-           "_value": F.coalesce(F.col(order).cast("double"), F.lit(-1e308)),
-           "_prefix": F.coalesce(F.substring(tie, 1, tie_chars), F.lit(""))}
-    rows = df.withColumns(seg).withColumn("_m", measure)
-    keys = [*by, "_range", "_value", "_prefix"]
-
-    def totals(table, group, sort, out):
-        below = W.partitionBy(*group[:-1]).orderBy(sort).rowsBetween(W.unboundedPreceding, -1)
-        summed = table.groupBy(*group).agg(F.sum("_m").alias("_m"))
-        return summed.withColumn(out, F.coalesce(F.sum("_m").over(below), F.lit(0.0)))
-
-    by_prefix = totals(rows, keys, F.asc("_prefix"), "_o3")
-    by_value = totals(by_prefix, keys[:-1], F.desc("_value"), "_o2")
-    by_range = totals(by_value, keys[:-2], F.desc("_range"), "_o1")
-    offsets = (by_prefix.drop("_m").join(by_value.drop("_m"), keys[:-1])
-               .join(by_range.drop("_m"), keys[:-2])
-               .select(*keys, (F.col("_o1") + F.col("_o2") + F.col("_o3")).alias("_offset")))
-    within = W.partitionBy(*keys).orderBy(tie).rowsBetween(W.unboundedPreceding, -1)
-    return (rows.join(offsets, keys)
-            .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_m").over(within), F.lit(0.0)))
-            .drop("_range", "_value", "_prefix", "_m", "_offset"))
+def _ranged_sum_before(df, by, order, measure, tie, name):
+    """Prefix sum over range partitions of (keys, order descending, tie): the sum within a partition
+    plus the totals of the group's partitions before it."""
+    ranged = df.withColumn("_m", measure).repartitionByRange(*by, F.desc(order), F.asc(tie))
+    dealt = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    below = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "_part").agg(F.sum("_m").alias("_total")).select(
+        *by, "_part", F.coalesce(F.sum("_total").over(below), F.lit(0.0)).alias("_offset"))
+    within = W.partitionBy(*by, "_part").orderBy(F.desc(order), tie).rowsBetween(W.unboundedPreceding, -1)
+    rows = dealt.withColumn(name, F.coalesce(F.sum("_m").over(within), F.lit(0.0)))
+    return (rows.join(totals, [*by, "_part"]).withColumn(name, F.col("_offset") + F.col(name))
+            .drop("_part", "_m", "_offset"))
 
 
 def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:

@@ -95,6 +95,12 @@ def test_split_running_sums_equal_plain_ones(spark):
     assert split.join(total, "uid").filter("bal > t").isEmpty()
 
 
+def test_running_sums_of_one_plot_of_equal_trees(spark):
+    df = spark.range(600).select(F.lit("p").alias("uid"), F.format_string("tree%06d", "id").alias("tree"), F.lit(5.0).alias("dbh"))
+    got = windows.sums_before(df, ["uid"], {"before": ("dbh", F.lit(1.0))}, "tree", hot_limit=10)
+    assert [r["before"] for r in got.orderBy("tree").collect()] == [float(i) for i in range(600)]
+
+
 def test_top_mean_keeps_ties(spark):
     rows = [("a", d, h) for d, h in [(9.0, 1.0), (8.0, 2.0), (7.0, 3.0), (6.0, 4.0), (6.0, 6.0), (5.0, 99.0)]]
     df = spark.createDataFrame(rows, "uid string, dbh double, ht double")
