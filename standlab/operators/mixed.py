@@ -195,14 +195,15 @@ def _highest(model: _Nested, theta: bool, tol: float, rounds: int) -> dict:
         step *= min(1.0, 3.0 / max(np.abs(step).max(), 1e-300))
         top = int(np.argmax(f[:len(steps)]))
         fit = fits[0]
-        if np.abs(step).max() < tol and width <= 0.01:
+        gain = float(slope @ step)  # a flat likelihood may move its point on without end
+        if width <= 0.01 and (np.abs(step).max() < tol or abs(gain) < 1e-9 + 1e-12 * abs(f[0])):
             return fit
         move = np.zeros(size + 1)
         move[free] = step
         tries = model.profile(np.array([ratios(x + move * t, zero) for t in (1.0, 0.25)]))
         options = [(tries[0]["crit"], x + move), (tries[1]["crit"], x + move * 0.25), (f[top], x + steps[top])]
         crit, x = max(options, key=lambda o: o[0])
-        width = max(0.005, min(width, np.abs(step).max()) if crit > f[0] else width / 4)
+        width = max(0.005, min(width, float(np.abs(step).max())) if crit > f[0] else width / 4)
     raise RuntimeError(f"the variances did not settle in {rounds} rounds")
 
 
@@ -215,7 +216,8 @@ def nested_intercepts(df: DataFrame, y: str, xs: list[str], levels: list[list[st
     ``weight_on`` the error's spread grows as a power of that column, whose exponent is fitted along
     unless ``theta`` gives it.  Instead of the highest likelihood, the best of ``points`` (a ratio of group to
     error variance for each level, then the exponent where there is one) can be asked for.  The fit
-    settles to ``tol`` in every log ratio or raises.  Rows with a null in a used column are left out.
+    settles to ``tol`` in every log ratio, or until a step would raise the log-likelihood by less than
+    1e-9 (and 1e-12 of it), or raises.  Rows with a null in a used column are left out.
     """
     model = _Nested(df, y, xs, levels, weight_on)
     if points is not None:
