@@ -8,9 +8,9 @@ line separator, so the files are plain WARC, written under Spark's commit protoc
 
 Index.  The files are read back and cut by Content-Length, which gives offset and length of each
 record.  Captures are sorted by key (reversed host, path, then page) across partitions and packed
-into compressed blocks of BLOCK lines; a sparse directory holds each block's first key.  Both
+into compressed blocks of BLOCK lines; a sparse directory holds each block's first and last line.  Both
 are tables.  A lookup finds blocks by binary search in the directory, decompresses them, finds keys by
-binary search in their lines, and slices the records out of the archive files that they name.
+binary search in their lines, and reads the records at their offsets, from any store that pyarrow reads.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ import hashlib
 import re
 import zlib
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from standlab.llm.registry import register
@@ -32,6 +34,7 @@ from standlab.session import cut_lineage, scratch_path
 
 BLOCK = 1000  # lines of an index block
 FILE_BYTES = 8 << 20  # payload of an archive file, on average
+CHUNK = 1 << 20  # bytes of a file that one read takes, or one record
 DATE = "2000-01-01T00:00:00Z"  # pages have no time; one date keeps archives reproducible
 _END = "\r\n\r\n"
 _SAFE = r"[\x00-\x20\x7f]"
@@ -153,9 +156,12 @@ def records(data: bytes):
         at = stop + 4
 
 
+def _listed(spark: SparkSession, archive: Archive) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archive.files)
+
+
 def _files(spark: SparkSession, archive: Archive) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archive.files).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return _listed(spark, archive).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
 def index(spark: SparkSession, archive: Archive) -> None:
@@ -195,107 +201,140 @@ def _block(lines: list[str]) -> pd.DataFrame:
 
 
 def _captures(blocks: DataFrame) -> DataFrame:
-    """All lines of blocks; with a column ``keys``, those whose key is among the block's keys."""
-    wanted = "keys" in blocks.columns
-
+    """Lines of blocks (data) whose key is among the block's ``keys``."""
     def read(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 lines = zlib.decompress(row.data).decode().split("\n")
-                if wanted:
-                    found = []
-                    for key in row.keys:  # every key has its lines together
-                        i = bisect.bisect_left(lines, key + " ")
-                        while i < len(lines) and lines[i].startswith(key + " "):
-                            found.append(lines[i])
-                            i += 1
-                    lines = found
-                parts = [x.split(" ") for x in lines]
-                yield pd.DataFrame({"key": [p[0] for p in parts], "id": [p[1] for p in parts],
-                                    "file": [p[2] for p in parts], "at": [int(p[3]) for p in parts],
-                                    "size": [int(p[4]) for p in parts], "type": [p[5] for p in parts]})
-
-    return blocks.mapInPandas(read, "key string, id string, file string, at long, size long, type string")
+                found = []
+                for key in row.keys:  # every key has its lines together
+                    i = bisect.bisect_left(lines, key + " ")
+                    while i < len(lines) and lines[i].startswith(key + " "):
+                        found.append(lines[i].split(" "))
+                        i += 1
+                yield pd.DataFrame({"file": [p[2] for p in found], "at": [int(p[3]) for p in found],
+                                    "size": [int(p[4]) for p in found]})
+
+    return blocks.mapInPandas(read, "file string, at long, size long")
+
+
+def _open(folder: str):
+    """Opens files of a folder that Spark named for reads at an offset, on the stores that pyarrow reads."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or scheme == "file":
+        store, base = fs.LocalFileSystem(), "/" + (rest if colon else folder).lstrip("/")
+    else:
+        scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+        store, base = fs.FileSystem.from_uri(scheme + ":" + quote(rest, safe="/:@"))
+    return lambda file: store.open_input_file(f"{base}/{file}")
 
 
 def _ranges(spark: SparkSession, archive: Archive, captures: DataFrame) -> DataFrame:
-    """The records of captures, sliced from their files at the given offsets.
+    """The records of captures, read from their files at the given offsets.
 
-    A file's captures are bounded by its bytes, so they travel as one list beside its content.
+    Only (file, offset, length) are shuffled, by file and CHUNK of a file; ranges that follow
+    each other within a batch are read at once, up to CHUNK bytes or one record.
     """
+    one = _listed(spark, archive).select("path").first()
+    folder = one["path"].rsplit("/", 1)[0] if one else archive.files
+
     def slice_(batches):
+        opened = _open(folder)
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                out = []
-                for at, size in row.ranges:
-                    (_, _, head, block), = records(row.content[at:at + size])
-                    payload = block[block.index(b"\r\n\r\n") + 4:]
-                    out.append((head["WARC-Record-ID"], head["WARC-Target-URI"], head["WARC-Type"], head.get("WARC-Refers-To"),
-                                head["WARC-Payload-Digest"], base64.b32encode(hashlib.sha1(payload).digest()).decode(),
-                                payload))
-                yield pd.DataFrame(out, columns=["id", "url", "type", "refers", "claimed", "digest", "payload"])
+            for file, part in batch.groupby("file", sort=False):
+                with opened(file) as source:
+                    at, size = part["at"].tolist(), part["size"].tolist()
+                    i = 0
+                    while i < len(at):
+                        j, end = i + 1, at[i] + size[i]
+                        while j < len(at) and at[j] == end and end + size[j] - at[i] <= CHUNK:
+                            end += size[j]
+                            j += 1
+                        data = source.read_at(end - at[i], at[i])
+                        yield _parsed(data[a - at[i]:a - at[i] + n] for a, n in zip(at[i:j], size[i:j]))
+                        i = j
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.floor(F.col("at") / CHUNK)
+    return (captures.select("file", "at", "size", chunk.alias("chunk")).repartition(parts, "file", "chunk")
+            .sortWithinPartitions("file", "at").select("file", "at", "size").mapInPandas(
+        slice_, "id string, url string, type string, refers string, claimed string, digest string, payload binary"))
+
 
-    wanted = captures.groupBy("file").agg(F.collect_list(F.array("at", "size")).alias("ranges"))
-    return _files(spark, archive).join(wanted, "file").select("content", "ranges").mapInPandas(
-        slice_, "id string, url string, type string, refers string, claimed string, digest string, payload binary")
+def _parsed(datas) -> pd.DataFrame:
+    out = []
+    for data in datas:
+        (_, _, head, block), = records(data)
+        payload = block[block.index(b"\r\n\r\n") + 4:]
+        out.append((head["WARC-Record-ID"], head["WARC-Target-URI"], head["WARC-Type"], head.get("WARC-Refers-To"),
+                    head["WARC-Payload-Digest"], base64.b32encode(hashlib.sha1(payload).digest()).decode(), payload))
+    return pd.DataFrame(out, columns=["id", "url", "type", "refers", "claimed", "digest", "payload"])
+
+
+def _between(key: str, firsts: list[str], lasts: list[str]) -> range:
+    """Places, in sorted spans of lines, of those that can hold lines of the key."""
+    return range(bisect.bisect_left(lasts, key + " "), bisect.bisect_left(firsts, key + "!"))
 
 
 def lookup(spark: SparkSession, archive: Archive, urls: DataFrame) -> DataFrame:
-    """Records of the given urls (column url): id, url, type, refers, claimed, digest, payload."""
+    """Records of the given urls (column url): id, url, type, refers, claimed, digest, payload.
+
+    The index was written in as many sorted parts as the session shuffles into; a key finds its
+    parts by binary search in their first and last lines, its blocks by binary search in the
+    part's share of the directory, and its lines by binary search in the blocks.
+    """
     ready(spark)
-    directory = spark.read.parquet(archive.directory).orderBy("first").collect()  # sparse: a row for BLOCK captures
-    firsts, lasts = [r["first"] for r in directory], [r["last"] for r in directory]
-    numbers = [r["block"] for r in directory]
-
-    @F.pandas_udf("array<long>")
-    def blocks_of(keys: pd.Series) -> pd.Series:
-        out = []
-        for key in keys:
-            i = max(0, bisect.bisect_right(firsts, key + " ") - 1)
-            found = []
-            while i < len(firsts) and firsts[i][:len(key) + 1] <= key + " ":
-                if lasts[i][:len(key) + 1] >= key + " ":
-                    found.append(numbers[i])
-                i += 1
-            out.append(found)
-        return pd.Series(out)
+    directory = spark.read.parquet(archive.directory).withColumn("part", F.shiftright("block", 33).cast("int"))
+    top = directory.groupBy("part").agg(F.min("first").alias("first"), F.max("last").alias("last")).orderBy("first").collect()
+    firsts, lasts, numbers = [r["first"] for r in top], [r["last"] for r in top], [r["part"] for r in top]
+
+    @F.pandas_udf("array<int>")
+    def parts_of(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda key: [numbers[i] for i in _between(key, firsts, lasts)])
+
+    def blocks_of(keys, blocks):
+        blocks = blocks.sort_values("first")
+        firsts, lasts, numbers = (blocks[c].tolist() for c in ("first", "last", "block"))
+        found = [(numbers[i], key) for key in keys["key"] for i in _between(key, firsts, lasts)]
+        return pd.DataFrame(found, columns=["block", "key"])
 
     keys = urls.select(capture_key(F.regexp_replace("url", _SAFE, "_")).alias("key")).distinct()
-    met = keys.select("key", F.explode(blocks_of("key")).alias("block")).groupBy("block").agg(F.collect_set("key").alias("keys"))
+    keys = keys.select("key", F.explode(parts_of("key")).alias("part"))
+    met = (keys.groupBy("part").cogroup(directory.groupBy("part")).applyInPandas(blocks_of, "block long, key string")
+           .groupBy("block").agg(F.collect_list("key").alias("keys")))
     captures = _captures(spark.read.parquet(archive.blocks).join(met, "block").select("data", "keys"))
     return _ranges(spark, archive, captures)
 
 
-def read_all(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Every capture of the index with its record."""
-    ready(spark)
-    return _ranges(spark, archive, _captures(spark.read.parquet(archive.blocks).select("data")))
-
-
-def page_records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to as the archive has them.
+def page_records(spark: SparkSession, archive: Archive, urls: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the urls' records.
 
     A response's digest is taken from the payload that was read back; a revisit's length and digest
-    are those of the response it refers to.
+    are those of the response it refers to, which has to be among the urls' records.
     """
     def page(column):
         return F.expr(f"try_cast(regexp_extract({column}, '^<urn:page:(.*)>$', 1) AS long)")
 
-    read = cut_lineage(read_all(spark, archive).select(
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = cut_lineage(lookup(spark, archive, urls).select(
         page("id").alias("page_id"), "type", page("refers").alias("refers_to"), "digest",
+        F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("salt"),
         F.regexp_replace("claimed", "^sha1:", "").alias("claimed"), F.octet_length("payload").cast("long").alias("bytes")))
     # a page_id may have several payloads: a revisit's is the one whose digest it claims
     response = read.filter("type = 'response' AND page_id IS NOT NULL").select(
         F.col("page_id").alias("refers_to"), F.col("digest").alias("claimed"), F.col("bytes").alias("full"), "digest").distinct()
-    both = read.drop("digest").join(response, ["refers_to", "claimed"], "left").select(
+    # a response with very many revisits is told to each salt of them, never to all in one task
+    revisits = read.filter("type <> 'response'").drop("digest")
+    told = revisits.select("refers_to", "claimed", "salt").distinct().join(response, ["refers_to", "claimed"])
+    both = revisits.join(told, ["refers_to", "claimed", "salt"], "left").select(
         "page_id", "type", "refers_to", F.coalesce("full", "bytes").alias("bytes"), F.col("digest").alias("found"))
     own = read.filter("type = 'response'").select("page_id", "type", "refers_to", "bytes", F.col("digest").alias("found"))
-    return both.filter("type <> 'response'").union(own).select(
+    return both.union(own).select(
         "page_id", F.col("bytes").alias("payload_bytes"), F.col("found").alias("payload_digest"),
         F.col("type").alias("record_type"), "refers_to")
 
 
 @register("op4_warc")
 def op4_warc(spark, sf_dir):
-    archive = write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    return page_records(spark, archive)
+    pages = table(spark, sf_dir, "pages")
+    return page_records(spark, write(pages, scratch_path(spark, "warc")), pages)

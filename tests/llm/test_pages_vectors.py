@@ -72,7 +72,7 @@ PAGES = [(1, "http://a.com/x", "hi\r\n\r\nthere"), (2, "http://b.a.com/x?y", "hi
 
 def test_archive_round_trip(spark, pages, tmp_path):
     archive = warc.write(pages(PAGES), str(tmp_path))
-    got = {tuple(r) for r in warc.page_records(spark, archive).collect()}
+    got = {tuple(r) for r in warc.page_records(spark, archive, pages(PAGES)).collect()}
     first = {}
     for i, _, h in sorted((p for p in PAGES if p[0]), key=lambda p: p[0]):
         first.setdefault(h or "", i)
@@ -100,9 +100,24 @@ def test_index_blocks_are_sorted_and_found_across_them(spark, pages, tmp_path, m
 
 def test_archive_with_least_size_and_without_pages(spark, pages, tmp_path):
     archive = warc.write(pages(PAGES), str(tmp_path / "a"), least=100)
-    assert {r["record_type"] for r in warc.page_records(spark, archive).collect()} == {"response"}
+    assert {r["record_type"] for r in warc.page_records(spark, archive, pages(PAGES)).collect()} == {"response"}
     archive = warc.write(pages([]), str(tmp_path / "b"))
-    assert warc.page_records(spark, archive).count() == 0
+    assert warc.page_records(spark, archive, pages(PAGES)).count() == 0
+
+
+def test_a_key_over_many_parts_and_blocks_and_a_response_with_many_revisits(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 4)
+    monkeypatch.setattr(warc, "CHUNK", 1 << 10)
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h.org/{i} {i % 5}", "same" if i % 2 else f"é{i}" * (i % 50)) for i in range(300)]
+    archive = warc.write(pages(rows), str(tmp_path / "with space"))
+    got = warc.page_records(spark, archive, pages(rows)).collect()
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [
+        (i, len(h.encode()), "response" if first[h] == i else "revisit", None if first[h] == i else first[h]) for i, _, h in rows]
+    hot = warc.lookup(spark, archive, pages([(0, "http://HOT.org/", None)])).select("id").collect()
+    assert sorted(r["id"] for r in hot) == sorted(f"<urn:page:{i}>" for i in range(300) if i % 3)
 
 
 def test_rules_and_hosts(spark, pages):

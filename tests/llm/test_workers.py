@@ -45,6 +45,6 @@ def test_marks_alone_are_no_letters(spark):
 
 def test_pages_that_share_an_id_keep_their_payloads(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.x/1", "a"), (1, "http://a.x/2", "bb"), (2, "http://a.x/3", "bb")], "page_id long, url string, html string")
-    got = warc.page_records(spark, warc.write(pages, str(tmp_path / "archive"))).collect()
+    got = warc.page_records(spark, warc.write(pages, str(tmp_path / "archive")), pages).collect()
     assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [
         (1, 1, "response", None), (1, 2, "response", None), (2, 2, "revisit", 1)]
