@@ -15,8 +15,10 @@ filters, and a pair goes on to verification only if it shares a prefix shingle u
   enough for the rest to make up a link; pairs that pass all orders are verified on whole sets.
 
 Equal sets are one class, so copies never meet each other.  Within the documents of a shingle,
-pairs are not enumerated: rounds of stars compare every document with one leader of another
-component; the last round compares each document outside the largest component of its shingle
+pairs are not enumerated: rounds of stars compare documents with one leader of another component
+for each shingle, as long as many pairs are left; documents that link with most of those they
+met lead every other round.
+Shingles whose documents have come into one component leave.  The last round compares each document outside the largest component of its shingle
 with all documents of the shingle in other components.  After it every linked pair is in one
 component, and pairs inside a component have been skipped, which can lose no component.
 """
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.llm.packed import PLACES, dealt, pack, part_of, read_places, unpack
 from standlab.llm.registry import register
-from standlab.llm.tables import components, near_ids, table, without_ids
+from standlab.llm.tables import components, near_ids, off_ids, table, without_ids
 from standlab.llm.words import Words, by_text, mix, slices
 from standlab.session import cut_lineage
 
 CELL_BITS = 22  # cells of the rarity count: 4 MB of classes, at every size of corpus
 CELLS, BLOCK = 1 << CELL_BITS, 1 << 16
-STARS = 2  # star rounds before the last one
+STARS = 4  # star rounds at most between the first and the last one, which is exact after any number of them
+EASY = 4  # pairs to try for a posting at which the last round begins
 HEAD = 20  # percent of a set that an order's filter sees
 
 
@@ -254,6 +257,50 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, or
                      lambda part: linked(part["xshingles"], part["yshingles"], num, den)).distinct()
 
 
+def _mains(told: DataFrame, star: int) -> DataFrame:
+    """For each shingle with several components: the largest (main), the leader that documents of
+    other components than its own (label2) meet in this round, and the pairs the last round would try.
+
+    In odd rounds every shingle takes any one of its documents, so that large components of the
+    same shingles meet and documents that link with most others show; in even rounds the largest
+    component's member with the highest share of links leads.
+    """
+    turn = F.xxhash64("doc", "shingle", F.lit(star))
+    order = [turn] if star % 2 else [-F.col("share"), F.xxhash64("doc", F.lit(star))]
+    parts = told.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"),
+                                                 F.min(F.struct(*order, "doc", "n", "at")).alias("l"))
+    most, any_ = F.max(F.struct("c", "label", "l")), F.min(F.struct("l", "label"))
+    return (parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"), most.alias("m"),
+                                         (any_ if star % 2 else most).alias("s")).filter("parts > 1")
+            .select("shingle", F.col("m.label").alias("main"), F.col("s.label").alias("label2"), F.col("s.l.doc").alias("doc2"),
+                    F.col("s.l.n").alias("n2"), F.col("s.l.at").alias("at2"),
+                    F.expr("double(rows) * (rows - m.c)").alias("load")))
+
+
+def _linked_nodes(tried: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, component and share (of the pairs tried with it, how many are links) of every linked document."""
+    def ends(pairs, name):
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias(name))
+
+    share = F.col("linked") / (F.col("tried") + 4)  # few trials prove little
+    return cut_lineage(ends(links, "linked").join(ends(tried, "tried"), "node").join(components(links), "node", "left")
+                       .select(F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("component"),
+                               share.alias("share")))
+
+
+def _labelled(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``posts`` with the component of each document, itself where it has no link, and its share of links.
+
+    Rows whose hashed document is free of linked ones pass by; only the others are shuffled.
+    """
+    known = posts.select("shingle", F.col("doc").alias("doc_id"), "n", "at")
+    met = near_ids(known, nodes).join(nodes, "doc_id", "left")
+    clear = off_ids(known, nodes).withColumn("component", F.col("doc_id")).withColumn("share", F.lit(0.0))
+    return clear.unionByName(met).select("shingle", F.col("doc_id").alias("doc"), "n", "at",
+                                         F.coalesce("component", "doc_id").alias("label"),
+                                         F.coalesce("share", F.lit(0.0)).alias("share"))
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100,
                        orders: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of ``docs`` (doc_id, text).
@@ -273,39 +320,34 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
         ids.select(F.col("class_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
     firsts = without_ids(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), cut_lineage(copies))
     posts = cut_lineage(postings(firsts, width, num, den, classes))
-    leaders = posts.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("doc"), "doc", "n", "at")).alias("l")).select(
-        "shingle", F.col("l.doc").alias("doc2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2"))
+    classes.destroy()
     # sizes must fit, and what follows the first common shingle must suffice; a linked pair
     # passes at its first common shingle, whatever its other rows do
     fit = (f"least(n, n2) * {den} >= greatest(n, n2) * {num} AND "
            f"least(n - at, n2 - at2) * {den + num} >= {num} * (n + n2)")
 
     def check(rows):
-        pairs = rows.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-        return cut_lineage(verify(cut_lineage(pairs), docs, width, num, den, orders))
-
-    links = check(posts.join(leaders, "shingle").filter(f"doc <> doc2 AND {fit}"))
-    labels = components(links)
-    for last in [False] * (STARS - 1) + [True]:
-        told = cut_lineage(posts.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-                           .withColumn("label", F.coalesce("component", "doc")).drop("component"))
-        parts = told.groupBy("shingle", "label").agg(
-            F.count(F.lit(1)).alias("c"),
-            F.min(F.struct(F.xxhash64("doc", "label"), "doc", "n", "at")).alias("l"))
-        main = (parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"),
-                                             F.max(F.struct("c", "label", "l")).alias("m"))
-                .filter("parts > 1").select("shingle", F.col("m.label").alias("label2"),
-                                            F.col("m.l.doc").alias("doc2"), F.col("m.l.n").alias("n2"),
-                                            F.col("m.l.at").alias("at2")))
-        outside = told.join(main, "shingle").filter("label <> label2")
-        if last:
-            other = told.select(*[F.col(c).alias(c + "2") for c in ("shingle", "doc", "n", "at", "label")])
-            found = (outside.select("shingle", "doc", "n", "at", "label")
-                     .join(other, F.expr(f"shingle = shingle2 AND label <> label2 AND {fit}")))
-        else:
-            found = outside.filter(fit)
-        links = cut_lineage(links.union(check(found)).distinct())
-        labels = components(links)
+        pairs = cut_lineage(rows.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct())
+        return pairs, cut_lineage(verify(pairs, docs, width, num, den, orders))
+
+    leaders = posts.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("doc"), "doc", "n", "at")).alias("l")).select(
+        "shingle", F.col("l.doc").alias("doc2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2"))
+    tried, links = check(posts.join(leaders, "shingle").filter(f"doc <> doc2 AND {fit}"))
+    told, star = posts, 1
+    while True:
+        told = cut_lineage(_labelled(told, _linked_nodes(tried, links)))
+        main = cut_lineage(_mains(told, star))
+        load = main.agg(F.sum("load")).first()[0] or 0
+        if load <= EASY * told.count() or star > STARS:
+            break
+        # a shingle whose documents are all in one component has done its work in all later rounds
+        told = cut_lineage(told.join(main.drop("load", "main"), "shingle"))
+        pairs, found = check(told.filter(f"label <> label2 AND {fit}"))
+        tried, links, star = tried.union(pairs), links.union(found), star + 1
+    outside = told.join(main.select("shingle", "main"), "shingle").filter("label <> main").drop("main")
+    other = told.select(*[F.col(c).alias(c + "2") for c in ("shingle", "doc", "n", "at", "label")])
+    found = outside.join(other, F.expr(f"shingle = shingle2 AND label <> label2 AND {fit}"))
+    labels = components(links.union(check(found)[1]))
     named = labels.select(F.col("node").alias("class_id"), "component")
     ids = (ids.join(named, "class_id", "left")
            .select("s1", "s2", "n", "class_id", F.coalesce("component", "class_id").alias("component")))

@@ -31,14 +31,19 @@ def near_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(slots), _slot("doc_id") == F.col("_slot"), "left_semi")
 
 
+def off_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``near_ids`` leaves."""
+    slots = ids.select(_slot("doc_id").alias("_slot")).distinct()
+    return docs.join(F.broadcast(slots), _slot("doc_id") == F.col("_slot"), "left_anti")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` with none of the ids; a row without doc_id stays.
 
     Rows whose hashed id is free of them pass by; only the others are shuffled for the exact test.
     """
-    slots = ids.select(_slot("doc_id").alias("_slot")).distinct()
-    clear = docs.join(F.broadcast(slots), _slot("doc_id") == F.col("_slot"), "left_anti")
-    return clear.unionByName(near_ids(docs, ids).join(ids, "doc_id", "left_anti").select(docs.columns))
+    met = near_ids(docs, ids).join(ids, "doc_id", "left_anti").select(docs.columns)
+    return off_ids(docs, ids).unionByName(met)
 
 
 def components(links: DataFrame) -> DataFrame:
