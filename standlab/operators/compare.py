@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.functions.special import p_f, p_range, p_t
 from standlab.operators.gram import dummies, global_moments, solve_ols
-from standlab.session import literal_table
+from standlab.operators.joins import match_nulls
+from standlab.session import cut_lineage, literal_table, small_side
 
 
 def cell_stats(df: DataFrame, y: str, cells: list[str]) -> DataFrame:
@@ -21,19 +22,19 @@ def anova_oneway(df: DataFrame, y: str, factor: str, by: list[str] | None = None
     """Between and within squares, F and its tail probability, one row per group of ``by``."""
     by = by or []
     c = F.col
+    cells = cut_lineage(cell_stats(df, y, [*by, factor]))  # one row a level, read twice
+    centre = small_side(cells.groupBy(*by).agg((F.sum(c("n") * c("mean")) / F.sum("n")).alias("_m")))
     # level means beside their own mean: squares of differences do not cancel
-    levels = F.collect_list(F.struct("n", "mean"))
-    s = cell_stats(df, y, [*by, factor]).groupBy(*by).agg(
+    off = c("mean") - c("_m")
+    s = match_nulls(cells, centre, by, "inner").groupBy(*by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("ss").alias("ss_within"),
-        (F.sum(c("n") * c("mean")) / F.sum("n")).alias("_m"), levels.alias("_l"))
+        F.sum(c("n") * off * off).alias("ss_between"))
     out = (s.filter("k > 1 AND n > k")
-           .withColumn("ss_between", F.aggregate("_l", F.lit(0.0), lambda total, lv: total + lv["n"]
-                                                 * (lv["mean"] - c("_m")) * (lv["mean"] - c("_m"))))
            .withColumns({"df_between": c("k") - 1, "df_within": c("n") - c("k")})
            .withColumns({"ms_between": c("ss_between") / c("df_between"),
                          "ms_within": c("ss_within") / c("df_within")})
            .withColumn("f", F.try_divide("ms_between", "ms_within"))
-           .drop("k", "n", "_m", "_l"))
+           .drop("k", "n"))
     if p_value:
         out = out.withColumn("p", p_f("f", "df_between", "df_within"))
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from standlab.functions import columns as C
 from standlab.operators.aggregates import exact_quantiles
+from standlab.operators.joins import match_nulls
 from standlab.operators.gram import partial_sums
 from standlab.session import SMALL_ROWS, cut_lineage, small_side
 
@@ -23,15 +24,21 @@ def beta_moments(df: DataFrame, by: list[str], col: str) -> DataFrame:
 
 
 def describe(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
-    """Minimum, maximum, median, mean, sd and sample-adjusted skewness and kurtosis."""
+    """Minimum, maximum, median, mean, sd and sample-adjusted skewness and kurtosis; no row for a
+    group, or a table, without values."""
+    rows = df.filter(F.col(col).isNotNull())
+    keys = by or ["_all"]
+    if not by:
+        rows = rows.withColumn("_all", F.lit(0))
     n, g1, g2 = F.col("n"), F.col("_s"), F.col("_k")
-    return (df.groupBy(*(by or [])).agg(
-        F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"),
-        F.percentile(col, F.lit(0.5)).alias("median"), F.avg(col).alias("mean"),
+    middle = exact_quantiles(rows, keys, col, {"median": 0.5}).select(*keys, "median")
+    moments = rows.groupBy(*keys).agg(
+        F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"),
         F.stddev_samp(col).alias("sd"), F.skewness(col).alias("_s"), F.kurtosis(col).alias("_k"))
-        .withColumn("skewness", F.sqrt(n * (n - 1)) / (n - 2) * g1)
-        .withColumn("kurtosis", (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3)
-        .drop("_s", "_k"))
+    return (match_nulls(moments, middle, keys)
+            .withColumn("skewness", F.sqrt(n * (n - 1)) / (n - 2) * g1)
+            .withColumn("kurtosis", (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3)
+            .select(*(by or []), "n", "min", "max", "median", "mean", "sd", "skewness", "kurtosis"))
 
 
 def _poisson_weights(seed: np.ndarray, replicates: int) -> np.ndarray:
@@ -76,7 +83,7 @@ def bootstrap_shape(df: DataFrame, col: str, key: str, replicates: int = 1000) -
 
 
 def kernel_density(df: DataFrame, by: list[str], col: str, points: int = 512,
-                   continuous: bool = False) -> DataFrame:
+                   continuous: bool = True) -> DataFrame:
     """Gaussian kernel density on an even grid reaching three bandwidths past the data.
 
     The bandwidth is the rule of thumb 0.9 * min(sd, IQR / 1.34) * n^-0.2.  Rows are

@@ -14,10 +14,11 @@ from standlab.session import cut_lineage, small_side
 def match_nulls(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join in which a null key matches a null key, as a group of null keys is one group.
 
-    For left, inner and semi joins; the key columns are the left side's.
+    For left, inner and semi joins; the key columns are the left side's.  Without keys, the
+    right side is the one row of a whole table's totals.
     """
     if not on:
-        return left.join(right, on, how)
+        return left.join(right, how=how)
     mine = {c: f"_right_{c}" for c in on}
     right = right.withColumnsRenamed(mine)
     same = [F.col(c).eqNullSafe(F.col(r)) for c, r in mine.items()]

@@ -2,7 +2,7 @@
 
 A plot may hold a large part of all trees, so nothing here sends the raw rows of
 one plot to a single task: totals are pre-aggregated and joined back, top-k works on
-collapsed diameters, and running totals of oversized plots are split into segments.
+collapsed diameters, and running totals add up over range partitions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from standlab.operators.joins import match_nulls
-from standlab.session import cut_lineage
+from standlab.session import cut_lineage, small_side
 
 
 def species_share(df: DataFrame, plot: list[str], spp: str = "spp") -> DataFrame:
@@ -46,44 +46,34 @@ def top_mean(df: DataFrame, by: list[str], order: str, value: str, n: int,
             .agg((F.sum("_sv") / F.sum("_nv")).alias(out), F.sum("_n").alias("n_top")))
 
 
-def sums_before(df: DataFrame, by: list[str], specs: dict[str, tuple[str, Column]], tie: str,
-                hot_limit: int = 1_000_000) -> DataFrame:
+def sums_before(df: DataFrame, by: list[str], specs: dict[str, tuple[str, Column]], tie: str) -> DataFrame:
     """Exclusive running sums in descending order, 0 for the first row of a group.
 
-    ``specs`` maps an output name to (order column, measure); ties in the order column
-    follow the text column ``tie``.  Groups up to ``hot_limit`` rows use one shuffle for
-    all outputs.  Larger ones, of which there are at most rows / hot_limit, are dealt over range
-    partitions, whatever their values and ties look like; both ways give the same sums.
+    ``specs`` maps an output name to (order column, measure); ties in the order column follow
+    ``tie``, which is unique within a group.  Rows without an order value come last, null keys
+    are a group.
     """
-    def running(rows):
-        for name, (order, measure) in specs.items():
-            before = (W.partitionBy(*by).orderBy(F.desc(order), tie)
-                      .rowsBetween(W.unboundedPreceding, -1))
-            rows = rows.withColumn(name, F.coalesce(F.sum(measure).over(before), F.lit(0.0)))
-        return rows
-
-    hot = cut_lineage(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-                      .filter(F.col("_rows") > hot_limit).select(*by))
-    if hot.isEmpty():
-        return running(df)
-    split = df.join(F.broadcast(hot), by, "left_semi")
     for name, (order, measure) in specs.items():
-        split = cut_lineage(_ranged_sum_before(split, by, order, measure, tie, name))
-    return running(df.join(F.broadcast(hot), by, "left_anti")).unionByName(split)
+        df = _sum_before(df, by, order, measure, tie, name)
+    return df
 
 
-def _ranged_sum_before(df, by, order, measure, tie, name):
-    """Prefix sum over range partitions of (keys, order descending, tie): the sum within a partition
+def _sum_before(df, by, order, measure, tie, name):
+    """Prefix sum over range partitions of (group, order descending, tie), which hold about as many
+    rows each, however large a group and however equal its values: the sum within a partition
     plus the totals of the group's partitions before it."""
     ranged = df.withColumn("_m", measure).repartitionByRange(*by, F.desc(order), F.asc(tie))
     dealt = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
-    below = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    totals = dealt.groupBy(*by, "_part").agg(F.sum("_m").alias("_total")).select(
-        *by, "_part", F.coalesce(F.sum("_total").over(below), F.lit(0.0)).alias("_offset"))
+    group = W.partitionBy(*by)
+    before = F.sum("_total").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    # only a group that an edge of a partition cuts has several: fewer rows than twice the partitions
+    offsets = small_side(dealt.groupBy(*by, "_part").agg(F.sum("_m").alias("_total"))
+                         .withColumn("_parts", F.count(F.lit(1)).over(group))
+                         .withColumn("_offset", before).filter("_parts > 1").select(*by, "_part", "_offset"))
     within = W.partitionBy(*by, "_part").orderBy(F.desc(order), tie).rowsBetween(W.unboundedPreceding, -1)
-    rows = dealt.withColumn(name, F.coalesce(F.sum("_m").over(within), F.lit(0.0)))
-    return (rows.join(totals, [*by, "_part"]).withColumn(name, F.col("_offset") + F.col(name))
-            .drop("_part", "_m", "_offset"))
+    rows = dealt.withColumn("_sum", F.coalesce(F.sum("_m").over(within), F.lit(0.0)))
+    total = F.col("_sum") + F.coalesce("_offset", F.lit(0.0))
+    return match_nulls(rows, offsets, [*by, "_part"]).select(*[F.col(f"`{c}`") for c in df.columns], total.alias(name))
 
 
 def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:

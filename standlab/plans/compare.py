@@ -67,14 +67,14 @@ SELECT {by}, point, round(x, 6) AS x, round(density, 8) AS density, round(densit
 
 @query("diameter_density", "DS4", "live", "WITH " + _KDE.format(by="code"))
 def _(t):
-    rows = dist.kernel_density(t.live, ["code"], "dbh", 128)
+    rows = dist.kernel_density(t.live, ["code"], "dbh", 128, continuous=False)
     return rows.select("code", "point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"),
                        F.round("scaled", 6).alias("scaled"))
 
 
 @query("diameter_density_species", "DS4 CLN11", "live", "WITH " + _KDE.format(by="code, spp"))
 def _(t):
-    rows = dist.kernel_density(t.live, ["code", "spp"], "dbh", 128)
+    rows = dist.kernel_density(t.live, ["code", "spp"], "dbh", 128, continuous=False)
     return rows.select("code", "spp", "point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"),
                        F.round("scaled", 6).alias("scaled"))
 

@@ -417,7 +417,7 @@ def _(t):
 SELECT code, count(dbh) AS n, round(avg(dbh), 6) AS mean, quantile_cont(dbh, 0) AS q0, quantile_cont(dbh, 0.25) AS q25,
  quantile_cont(dbh, 0.5) AS q50, quantile_cont(dbh, 0.75) AS q75, quantile_cont(dbh, 1) AS q100 FROM live GROUP BY code""")
 def _(t):
-    return aggregates.five_number(t.live, ["code"], "dbh")
+    return aggregates.five_number(t.live, ["code"], "dbh", continuous=False)
 
 
 @query("continuous_quantiles", "AG8", "live", """
@@ -425,7 +425,7 @@ SELECT code, count(ht) AS n, round(avg(ht), 6) AS mean, round(quantile_cont(ht,
  round(quantile_cont(ht, 0.5), 6) AS q50, round(quantile_cont(ht, 0.75), 6) AS q75, round(quantile_cont(ht, 1), 6) AS q100
 FROM live GROUP BY code""")
 def _(t):
-    rows = aggregates.five_number(t.live, ["code"], "ht", continuous=True)
+    rows = aggregates.five_number(t.live, ["code"], "ht")
     return rows.select("code", "n", "mean", *[F.round(c, 6).alias(c) for c in aggregates.FIVE])
 
 

@@ -81,24 +81,38 @@ def trees(spark, n=400, seed=3):
     return spark.createDataFrame(rows, "uid string, tree string, dbh double, ht double")
 
 
-def test_split_running_sums_equal_plain_ones(spark):
-    df = trees(spark)
+def test_running_sums_equal_brute_force(spark):
+    df = trees(spark).withColumn("uid", F.when(F.col("uid") != "p1", F.col("uid")))
     specs = {"bal": ("dbh", F.col("dbh") * F.col("dbh")), "htl": ("ht", F.col("ht"))}
-    plain = windows.sums_before(df, ["uid"], specs, "tree")
-    split = windows.sums_before(df, ["uid"], specs, "tree", hot_limit=50)
-    both = plain.alias("a").join(split.alias("b"), ["uid", "tree"]).select(
-        F.col("a.bal"), F.col("b.bal"), F.col("a.htl"), F.col("b.htl")).collect()
-    assert len(both) == df.count()
-    for r in both:
-        assert r[0] == pytest.approx(r[1]) and r[2] == pytest.approx(r[3])
-    total = df.groupBy("uid").agg(F.sum(F.col("dbh") * F.col("dbh")).alias("t"))
-    assert split.join(total, "uid").filter("bal > t").isEmpty()
+    got = windows.sums_before(df, ["uid"], specs, "tree")
+    assert got.columns == [*df.columns, "bal", "htl"]
+    rows = [r.asDict() for r in got.collect()]
+    assert len(rows) == df.count() and any(r["uid"] is None for r in rows)
+    for uid in {r["uid"] for r in rows}:
+        plot = [r for r in rows if r["uid"] == uid]
+        for order, name, measure in (("dbh", "bal", lambda r: r["dbh"] ** 2), ("ht", "htl", lambda r: r["ht"] or 0.0)):
+            total = 0.0
+            for r in sorted(plot, key=lambda r: (r[order] is None, -(r[order] or 0), r["tree"])):
+                assert r[name] == pytest.approx(total)
+                total += measure(r)
 
 
 def test_running_sums_of_one_plot_of_equal_trees(spark):
-    df = spark.range(600).select(F.lit("p").alias("uid"), F.format_string("tree%06d", "id").alias("tree"), F.lit(5.0).alias("dbh"))
-    got = windows.sums_before(df, ["uid"], {"before": ("dbh", F.lit(1.0))}, "tree", hot_limit=10)
-    assert [r["before"] for r in got.orderBy("tree").collect()] == [float(i) for i in range(600)]
+    df = spark.range(6000).select(F.lit("p").alias("uid"), F.format_string("tree%06d", "id").alias("tree"), F.lit(5.0).alias("dbh"))
+    got = windows.sums_before(df, ["uid"], {"before": ("dbh", F.lit(1.0))}, "tree")
+    assert [r["before"] for r in got.orderBy("tree").collect()] == [float(i) for i in range(6000)]
+
+
+def test_a_plot_of_equal_trees_lies_in_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(6000).select(F.lit("p").alias("uid"), F.col("id").alias("tree"), F.lit(5.0).alias("dbh"))
+        ranged = df.repartitionByRange("uid", F.desc("dbh"), F.asc("tree")).groupBy(F.spark_partition_id().alias("p")).count()
+        assert max(r["count"] for r in ranged.collect()) < 3000
+        got = windows.sums_before(df, ["uid"], {"before": ("dbh", F.lit(1.0))}, "tree")
+        assert [r["before"] for r in got.orderBy("tree").collect()] == [float(i) for i in range(6000)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_top_mean_keeps_ties(spark):
@@ -127,6 +141,29 @@ def test_exact_quantiles(spark, bins):
         assert [r[c] for c in aggregates.FIVE] == pytest.approx(want.tolist())
 
 
+@pytest.mark.parametrize("bins", [3, 64])
+def test_exact_quantiles_narrow_their_brackets(spark, bins):
+    rng = np.random.default_rng(2)
+    data = {"far": np.append(rng.normal(10, 1, 120), [1e12, -1e300, 1e300]),
+            "hot": np.concatenate([np.full(90, 7.0), rng.normal(7, 1e-9, 40), [np.nextafter(7, 8)]]),
+            None: rng.integers(-3, 3, 80).astype(float), "one": np.array([2.5]), "equal": np.full(50, -1.0)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in data.items() for v in x], "g string, x double")
+    probs = dict(zip(aggregates.FIVE, aggregates.PROBS))
+    got = {r["g"]: r for r in aggregates.exact_quantiles(df, ["g"], "x", probs, bins, few=5).collect()}
+    assert got.keys() == data.keys()
+    for g, x in data.items():
+        assert [got[g][c] for c in aggregates.FIVE] == pytest.approx(np.quantile(x, aggregates.PROBS).tolist(), rel=1e-12)
+        assert got[g]["n"] == len(x)
+
+
+def test_exact_quantiles_of_values_without_end(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in [inf, -inf, inf, 1.0, 2.0, 3.0, 4.0, None, float("nan")]], "x double")
+    row = aggregates.exact_quantiles(df, [], "x", {"low": 0.0, "mid": 3 / 7, "top": 6 / 7, "end": 1.0}, bins=4, few=1).first()
+    assert (row["low"], row["mid"], row["top"], row["n"]) == (-inf, 3.0, inf, 8) and row["end"] != row["end"]
+    assert aggregates.exact_quantiles(df.filter("x > 9e9 AND x < 0"), [], "x", {"m": 0.5}).count() == 0
+
+
 def test_literal_table_keeps_nulls(spark):
     rows = [("a'b", None), ("c", 2.5)]
     assert sorted(map(tuple, literal_table(spark, rows, "k string, v double").collect()), key=str) == sorted(rows, key=str)
