@@ -9,6 +9,7 @@ from standlab.functions import columns as C
 from standlab.operators import compare, crown, dist, reshape, smooth
 from standlab.plans.models import _FRAME, frame
 from standlab.plans.registry import query
+from standlab.plans.sql import f_tail, weibull
 from standlab.plans.stand import profile, rounded
 from standlab.session import literal_table
 
@@ -20,19 +21,34 @@ def planted(t, df=None):
     return (t.stems if df is None else df).join(pairs, ["code", "spp"], "left_anti")
 
 
-@query("weibull_diameter", "DS1 RS5 UD3 CLN3")
+_PLANTED = "planted AS (SELECT s.* FROM stems s ANTI JOIN (VALUES " + ", ".join(
+    f"('{code}', '{spp}')" for code, spp in K.MISPLANTED) + ") p(code, spp) ON s.code = p.code AND s.spp = p.spp)"
+
+
+def _weibull_sql(col):
+    return (f"WITH RECURSIVE {_PLANTED}, {weibull('fit', 'planted', 'block, code, spp', col)}\n"
+            "SELECT block, code, spp, n, round(shape, 5) AS shape, round(scale, 5) AS scale FROM fit")
+
+
+@query("weibull_diameter", "DS1 RS5 UD3 CLN3", "stems", _weibull_sql("dbh"))
 def _(t):
     return rounded(dist.weibull_fit(planted(t), ["block", "code", "spp"], "dbh"), ["block", "code", "spp", "n"],
                    ["shape", "scale"], 5)
 
 
-@query("weibull_height", "DS1 RS5 UD3")
+@query("weibull_height", "DS1 RS5 UD3", "stems", _weibull_sql("final_ht"))
 def _(t):
     return rounded(dist.weibull_fit(planted(t), ["block", "code", "spp"], "final_ht"),
                    ["block", "code", "spp", "n"], ["shape", "scale"], 5)
 
 
-@query("weibull_shape_by_species", "DS1 TC1 TC4")
+@query("weibull_shape_by_species", "DS1 TC1 TC4", "stems", f"""
+WITH RECURSIVE {_PLANTED}, {weibull("fit", "planted", "block, code, spp", "dbh")},
+c AS (SELECT code, spp, count(*) AS n, avg(shape) AS m, var_pop(shape) * count(*) AS ss FROM fit WHERE length(code) = 2 GROUP BY ALL),
+o AS (SELECT code, sum(n * m) / sum(n) AS centre FROM c GROUP BY code),
+s AS (SELECT code, count(*) - 1 AS d1, CAST(sum(n) - count(*) AS BIGINT) AS d2, sum(n * (m - centre) ** 2) AS ssb, sum(ss) AS ssw FROM c JOIN o USING (code) GROUP BY code),
+f AS (SELECT *, ssb / d1 / (ssw / d2) AS f FROM s WHERE d1 > 0 AND d2 > 0)
+SELECT code, d1 AS df_between, d2 AS df_within, round(f, 5) AS f, round({f_tail("f", "d1", "d2")}, 5) AS p FROM f""")
 def _(t):
     fits = dist.weibull_fit(planted(t), ["block", "code", "spp"], "dbh").filter(F.length("code") == 2)
     return rounded(compare.anova_oneway(fits, "shape", "spp", ["code"], p_value=True),
@@ -105,7 +121,19 @@ def _(t):
     return rounded(rows, ["spp", "code", "dbh"], ["smooth"])
 
 
-@query("local_curve", "DS6 FM22")
+@query("local_curve", "DS6 FM22", "stems", """
+WITH p AS (SELECT spp, code, dbh, avg(final_ht) AS y FROM stems WHERE code <> 'C' GROUP BY ALL),
+d AS (SELECT a.spp, a.code, a.dbh, abs(b.dbh - a.dbh) AS d, b.dbh - a.dbh AS u, b.y,
+ row_number() OVER (PARTITION BY a.spp, a.code, a.dbh ORDER BY abs(b.dbh - a.dbh)) AS r, count(*) OVER (PARTITION BY a.spp, a.code, a.dbh) AS m
+ FROM p a JOIN p b ON a.spp = b.spp AND a.code = b.code),
+h AS (SELECT spp, code, dbh, max(d) FILTER (r <= greatest(floor(0.75 * m + 0.00001), 1)) AS h FROM d GROUP BY ALL),
+w AS (SELECT d.spp, d.code, d.dbh, y, CASE WHEN h > 0 THEN u / h ELSE 0 END AS u, CASE WHEN h > 0 THEN pow(1 - pow(d / h, 3), 3) ELSE 1 END AS w
+ FROM d JOIN h USING (spp, code, dbh) WHERE d < h OR d = 0),
+s AS (SELECT spp, code, dbh, count(*) AS c, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4,
+ sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2 FROM w GROUP BY ALL)
+SELECT spp, code, dbh, round(CASE WHEN c > 2 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2))
+ / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))
+ WHEN c = 2 THEN (t0 * s2 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 6) AS smooth FROM s""")
 def _(t):
     rows = smooth.local_regression(height_points(t), ["spp", "code"], "dbh", "avg_ht")
     return rounded(rows, ["spp", "code", "dbh"], ["smooth"])
@@ -139,7 +167,12 @@ def _(t):
     return rounded(out, ["code", "df_between", "df_within"], ["f"])
 
 
-@query("anova_probabilities", "TC1 UD5")
+@query("anova_probabilities", "TC1 UD5", "live", f"""
+WITH c AS (SELECT code, spp, count(*) AS n, avg(dbh) AS m, var_pop(dbh) * count(*) AS ss FROM live WHERE length(code) = 2 GROUP BY ALL),
+o AS (SELECT code, sum(n * m) / sum(n) AS centre FROM c GROUP BY code),
+s AS (SELECT code, count(*) - 1 AS d1, CAST(sum(n) - count(*) AS BIGINT) AS d2, sum(n * (m - centre) ** 2) AS ssb, sum(ss) AS ssw FROM c JOIN o USING (code) GROUP BY code),
+f AS (SELECT *, ssb / d1 / (ssw / d2) AS f FROM s WHERE d1 > 0 AND d2 > 0)
+SELECT code, d1 AS df_between, d2 AS df_within, round(f, 6) AS f, round({f_tail("f", "d1", "d2")}, 6) AS p FROM f""")
 def _(t):
     out = compare.anova_oneway(t.live.filter(F.length("code") == 2), "dbh", "spp", ["code"], p_value=True)
     return rounded(out, ["code", "df_between", "df_within"], ["f", "p"])
