@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from standlab import constants as K
 from standlab.functions import columns as C
@@ -14,31 +14,23 @@ def crown_profile(trees: DataFrame, plot: list[str], group: list[str], top: str,
                   factor: float = K.TREES_PER_ACRE, steps: int = STEPS) -> DataFrame:
     """Crowns per acre spanning each of ``steps`` relative heights of a plot.
 
-    Height runs from the plot's lowest crown base (0) to its highest tip (1).  A tree adds
-    +1 where its crown starts and -1 above its tip, so it contributes two rows however
-    long the crown is; a running sum over the bounded level axis restores the counts.
+    Height runs from the plot's lowest crown base (0) to its highest tip (1).  One line per
+    group counts the crowns over each level, beside the join to the plot's frame and without
+    another shuffle; only these lines are unfolded into levels.  The frame, one row per plot,
+    is hashed, so that trees are not sorted.
     """
     last = float(steps - 1)
     frame = trees.groupBy(*plot).agg(C.strict_max(top).alias("_top"), C.strict_min(base).alias("_low"))
     span = F.col("_top") - F.col("_low")
-    placed = trees.select(*plot, *group, top, base).join(frame, plot).select(
+    placed = trees.select(*plot, *group, top, base).join(frame.hint("shuffle_hash"), plot, "left").select(
         *plot, *group,
         F.ceil(C.ratio(F.col(base) - F.col("_low"), span) * last).alias("_from"),
-        (F.floor(C.ratio(F.col(top) - F.col("_low"), span) * last) + 1).alias("_to"))
+        F.floor(C.ratio(F.col(top) - F.col("_low"), span) * last).alias("_to"))
     keys = [*plot, *group]
-    edges = placed.filter("_from < _to").select(*keys, F.inline(F.array(
-        F.struct(F.greatest("_from", F.lit(0)).alias("level"), F.lit(1).alias("d")),
-        F.struct(F.col("_to").alias("level"), F.lit(-1).alias("d")))))
-    change = edges.groupBy(*keys, "level").agg(F.sum("d").alias("d"))
-    axis = (trees.select(*keys).distinct()
-            .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)).cast("array<bigint>")))
-            .withColumn("d", F.lit(0).cast("bigint")))
-    upto = W.partitionBy(*keys).orderBy("level").rowsBetween(W.unboundedPreceding, 0)
-    return (axis.unionByName(change).groupBy(*keys, "level").agg(F.sum("d").alias("d"))
-            .withColumn("cr_points", F.sum("d").over(upto) * F.lit(factor))
-            .filter(F.col("level") < steps)
-            .select(*keys, F.col("level").cast("int").alias("step"),
-                    (F.col("level") / last).alias("prop"), "cr_points"))
+    over = {f"_n{i}": (F.col("_from") <= i) & (F.col("_to") >= i) for i in range(steps)}
+    counts = placed.groupBy(*keys).agg(*[F.count_if(inside).alias(c) for c, inside in over.items()])
+    return (counts.select(*keys, F.posexplode(F.array(*over)).alias("step", "_n"))
+            .select(*keys, "step", (F.col("step") / last).alias("prop"), (F.col("_n") * F.lit(factor)).alias("cr_points")))
 
 
 def average_profile(profile: DataFrame, by: list[str]) -> DataFrame:

@@ -47,3 +47,11 @@ def test_filter_reaches_the_scan(spark):
 
 def test_top_n_is_pruned_in_every_task(spark):
     assert "WindowGroupLimit" in plan(spark, "top_height")
+
+
+def test_crown_levels_are_not_shuffled(spark):
+    text = plan(spark, "crown_profile")
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert len(keys) == 2 and all(k.startswith("block") and "spp" not in k and "level" not in k for k in keys)
+    # levels are unfolded last, from one line per group
+    assert text.index("Generate posexplode") < text.index("HashAggregate") and "Window" not in text
