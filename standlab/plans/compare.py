@@ -11,7 +11,7 @@ from standlab.plans.models import _FRAME, frame
 from standlab.plans.registry import query
 from standlab.plans.sql import f_tail, weibull
 from standlab.plans.stand import profile, rounded
-from standlab.session import literal_table
+from standlab.session import cut_lineage, literal_table
 
 
 # -- distributions --------------------------------------------------------------------------
@@ -256,7 +256,7 @@ def _(t):
 @query("beta_shape_contrasts", "TC5 DS2 MD2")
 def _(t):
     rows = profile(t).filter((F.col("cr_points") > 0) & (F.length("code") == 2))
-    fits = dist.beta_moments(rows, ["block", "code", "spp"], "prop")
+    fits = cut_lineage(dist.beta_moments(rows, ["block", "code", "spp"], "prop"))  # the contrasts read them twice
     out = compare.model_contrasts(fits, "alpha", "code", K.MIXED, {"spp": K.SPECIES})
     return rounded(out, ["level_a", "level_b", "df"], ["difference", "se", "t", "p_bonferroni"], 5)
 

@@ -55,3 +55,11 @@ def test_crown_levels_are_not_shuffled(spark):
     assert len(keys) == 2 and all(k.startswith("block") and "spp" not in k and "level" not in k for k in keys)
     # levels are unfolded last, from one line per group
     assert text.index("Generate posexplode") < text.index("HashAggregate") and "Window" not in text
+
+
+def test_contrasts_read_the_shapes_and_not_the_trees(spark, monkeypatch):
+    from standlab.operators import compare
+    seen, contrasts = [], compare.model_contrasts
+    monkeypatch.setattr(compare, "model_contrasts", lambda df, *a: seen.append(df.inputFiles()) or contrasts(df, *a))
+    assert QUERIES["beta_shape_contrasts"](spark, "/root/testdata/sf0.01").count() == 15
+    assert seen[0] and not any("lineitem" in f for f in seen[0])
