@@ -61,6 +61,8 @@ class _Nested:
     larger than the fixed part is formed.
     """
 
+    GROUP_ROWS = 250_000  # rows of a partition of gathered groups
+
     def __init__(self, df: DataFrame, y: str, xs: list[str], levels: list[list[str]], weight_on: str | None):
         for outer, inner in zip(levels, levels[1:]):
             if inner[:len(outer)] != outer:
@@ -79,12 +81,41 @@ class _Nested:
         self.rows = rows.select(*levels[-1], *[v.cast("double").alias(f"z{i}") for i, v in enumerate(z)],
                                 (F.log(weight_on) if weight_on else F.lit(0.0)).alias("_l"))
         self.kept = None if weight_on else cut_lineage(self._lines([0.0]))
+        if weight_on:
+            self._gather()
+
+    def _gather(self) -> None:
+        """Rows of a deepest group brought together once, so that no pass shuffles them again.
+
+        A group that would fill a partition alone stays dealt over all tasks: its rows meet by
+        sums of every task, one for each exponent.
+        """
+        keys = self.levels[-1]
+        named = dict(zip([f"_k{i}" for i in range(len(keys))], keys))
+        hot = cut_lineage(self.rows.groupBy(*[F.col(c).alias(k) for k, c in named.items()]).count().filter(F.col("count") > self.GROUP_ROWS))
+        rows, self.apart = self.rows, None
+        if not hot.isEmpty():  # at most one for GROUP_ROWS rows
+            same = [F.col(k) == F.col(c) for k, c in named.items()]
+            rows = self.rows.join(hot, same, "left_anti")
+            self.apart = cut_lineage(self.rows.join(hot, same, "left_semi"))
+        self.together = rows.repartition(max(8, -(-int(self.n) // self.GROUP_ROWS)), *keys).persist()
+        self.together.count()  # filled now: plans made earlier do not know how the rows are dealt
+
+    def close(self) -> None:
+        if self.weight_on:
+            self.together.unpersist()
 
     def _lines(self, thetas: list[float]) -> DataFrame:
         """One line per deepest group and error exponent."""
         if not self.weight_on and thetas == [0.0] and getattr(self, "kept", None) is not None:
             return self.kept
-        rows = self.rows.withColumn("theta", F.explode(F.array(*[F.lit(float(t)) for t in thetas])))
+        if not self.weight_on:
+            return self._summed(self.rows, thetas)
+        lines = self._summed(self.together, thetas)
+        return lines if self.apart is None else lines.unionByName(self._summed(self.apart, thetas))
+
+    def _summed(self, rows: DataFrame, thetas: list[float]) -> DataFrame:
+        rows = rows.withColumn("theta", F.explode(F.array(*[F.lit(float(t)) for t in thetas])))
         w = F.exp(-2 * F.col("theta") * F.col("_l"))
         return rows.groupBy(*self.levels[-1], "theta").agg(
             *[F.sum(w * F.col(f"z{i}") * F.col(f"z{j}")).alias(c) for c, (i, j) in zip(self.names, self.pairs)],
@@ -220,13 +251,17 @@ def nested_intercepts(df: DataFrame, y: str, xs: list[str], levels: list[list[st
     1e-9 (and 1e-12 of it), or raises.  Rows with a null in a used column are left out.
     """
     model = _Nested(df, y, xs, levels, weight_on)
-    if points is not None:
-        tail = [theta or 0.0] if len(points[0]) == len(levels) else []
-        fit = max(model.profile(np.array([[*p, *tail] for p in points], float)), key=lambda f: f["crit"])
-    elif weight_on and theta is not None:
-        raise ValueError("a given exponent needs given points")
-    else:
-        fit = _highest(model, bool(weight_on), tol, rounds)
+    try:
+        if points is not None:
+            tail = [theta or 0.0] if len(points[0]) == len(levels) else []
+            fit = max(model.profile(np.array([[*p, *tail] for p in points], float)), key=lambda f: f["crit"])
+        elif weight_on and theta is not None:
+            raise ValueError("a given exponent needs given points")
+        else:
+            fit = _highest(model, bool(weight_on), tol, rounds)
+        tables = model.effects(fit)
+    finally:
+        model.close()
     k, ratios = model.k, fit["point"][:-1]
     # back from centred columns: only the intercept moves
     back = np.eye(k - 1)
@@ -234,7 +269,6 @@ def nested_intercepts(df: DataFrame, y: str, xs: list[str], levels: list[list[st
     original = back @ fit["beta"]
     original[0] += model.mean[-1]
     cov = back @ fit["inverse"] @ back.T * fit["s2"]
-    tables = model.effects(fit)
     return NestedFit(["(Intercept)", *xs], original, np.sqrt(np.diag(cov)), cov, [float(r * fit["s2"]) for r in ratios],
                      float(fit["s2"]), float(fit["point"][-1]), fit["crit"], int(model.n), levels, tables, tables[-1].count())
 
@@ -249,7 +283,11 @@ def likelihood_profile(df: DataFrame, y: str, xs: list[str], levels: list[list[s
                        weight_on: str | None = None) -> DataFrame:
     """Restricted log-likelihood at given ratios (and exponents), one row per point."""
     tail = [] if weight_on else [0.0]
-    fits = _Nested(df, y, xs, levels, weight_on).profile(np.array([[*p, *tail] for p in points], float))
+    model = _Nested(df, y, xs, levels, weight_on)
+    try:
+        fits = model.profile(np.array([[*p, *tail] for p in points], float))
+    finally:
+        model.close()
     names = [f"ratio_{i}" for i in range(len(levels))]
     return literal_table(df.sparkSession, [(*map(float, f["point"]), f["crit"], f["s2"]) for f in fits],
                          ", ".join(f"{c} double" for c in [*names, "theta", "reml", "var_error"]))

@@ -243,6 +243,29 @@ def test_a_level_without_variance_gets_none(spark):
         mixed.nested_intercepts(fit.effects, "effect", [], [["g"], ["n"]])
 
 
+def test_weighted_group_lines_are_shuffled_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [("a" if i % 3 else "b", 0 if i < 150 else i % 9, *map(float, rng.uniform(1, 5, 3))) for i in range(240)]
+    df = spark.createDataFrame(rows, "g string, p int, x double, d double, y double")
+
+    def model():
+        return mixed._Nested(df, "y", ["x"], [["g"], ["g", "p"]], "d")
+
+    def lines(of):
+        return {(r["g"], r["p"], r["theta"], c): r[c] for r in of._lines([0.0, 0.5]).collect() for c in ["n", "logs", *of.names]}
+
+    whole = model()
+    plan = whole._lines([0.0, 0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and "Exchange" not in plan[:plan.index("InMemoryTableScan")]
+    monkeypatch.setattr(mixed._Nested, "GROUP_ROWS", 40)  # groups of plot 0 stay dealt over all tasks
+    dealt = model()
+    assert whole.apart is None and dealt.apart.count() >= 150 and dealt.together.count() + dealt.apart.count() == 240
+    assert lines(dealt) == pytest.approx(lines(whole), abs=1e-9)
+    whole.close()
+    dealt.close()
+
+
+
 def test_block_model_means_and_pairs_against_dense_solution(spark):
     rng = np.random.default_rng(12)
     block, code = (v.ravel() for v in np.meshgrid(range(6), range(3), indexing="ij"))
