@@ -10,16 +10,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from standlab.operators.gram import partial_sums
 
 
-def _log_gamma_ratio(y: np.ndarray, theta: float) -> np.ndarray:
-    """ln Gamma(y + theta) - ln Gamma(theta) - ln y!, over the few distinct counts."""
-    values, at = np.unique(y, return_inverse=True)
-    table = np.array([math.lgamma(v + theta) - math.lgamma(theta) - math.lgamma(v + 1) for v in values])
-    return table[at]
+def _log_gamma_ratio(values: np.ndarray, theta: float) -> np.ndarray:
+    """ln Gamma(y + theta) - ln Gamma(theta) - ln y! of distinct counts."""
+    return np.array([math.lgamma(v + theta) - math.lgamma(theta) - math.lgamma(v + 1) for v in values])
 
 
-def _log_nb(y, mu, theta):
-    return (_log_gamma_ratio(y, theta) + theta * (math.log(theta) - np.log(theta + mu))
-            + np.where(y > 0, y * (np.log(mu) - np.log(theta + mu)), 0.0))
+def _log_nb(v, values, at, mu, log_mu, theta):
+    """Log probabilities of counts ``v``, which are ``values[at]``."""
+    far = np.log(theta + mu)
+    return _log_gamma_ratio(values, theta)[at] + theta * (math.log(theta) - far) + v * (log_mu - far)
+
+
+def _dispersion(v, values, at, mu, log_mu, weight, grid) -> list[float]:
+    """Weighted sums of the log probabilities at every trial dispersion.
+
+    The gamma terms depend on the count alone, so rows enter them as weights of the few distinct
+    counts; what is left is one logarithm a row and trial.
+    """
+    per_count = np.bincount(at, weight, len(values))
+    seen, fixed = per_count @ values, weight @ (v * log_mu)
+    return [float(per_count @ _log_gamma_ratio(values, th) + fixed - math.log(th) * seen
+                  - (weight * (th + v)) @ np.log(1 + mu / th)) for th in grid]
 
 
 def zinb(df: DataFrame, y: str, count_terms: list[str], zero_terms: list[str], max_iter: int = 500,
@@ -56,9 +67,11 @@ def zinb(df: DataFrame, y: str, count_terms: list[str], zero_terms: list[str], m
                 v, t = x[:, 0], (x[:, 1:] - centre) / scale
                 one = np.ones((len(v), 1))
                 xc, xz = np.hstack([one, t[:, ci]]), np.hstack([one, t[:, zi]])
-                mu = np.exp(np.clip(xc @ beta, -30, 30))
+                log_mu = np.clip(xc @ beta, -30, 30)
+                mu = np.exp(log_mu)
                 pi = 1 / (1 + np.exp(-np.clip(xz @ gamma, -30, 30)))
-                lnb = _log_nb(v, mu, theta)
+                values, at = np.unique(v, return_inverse=True)
+                lnb = _log_nb(v, values, at, mu, log_mu, theta)
                 mix = np.where(v == 0, pi, 0.0) + (1 - pi) * np.exp(lnb)
                 excess = np.where(v == 0, pi / mix, 0.0)
                 keep = 1 - excess
@@ -66,7 +79,7 @@ def zinb(df: DataFrame, y: str, count_terms: list[str], zero_terms: list[str], m
                 gc = xc.T @ (keep * (v - mu) / (1 + mu / theta))
                 wz = pi * (1 - pi)
                 gz = xz.T @ (excess - pi)
-                disp = [float((keep * _log_nb(v, mu, th)).sum()) for th in grid]
+                disp = _dispersion(v, values, at, mu, log_mu, keep, grid)
                 return np.concatenate([(xc.T * wc @ xc).ravel(), gc, (xz.T * wz @ xz).ravel(), gz,
                                        [np.log(np.maximum(mix, 1e-300)).sum()], disp])
 

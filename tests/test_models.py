@@ -413,3 +413,16 @@ def test_banded_smoother_and_many_points(spark):
     rows = [("g", float(i), float(i % 7)) for i in range(30_000)]
     out = smooth.smooth_profile(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y")
     assert out.count() == 30_000
+
+
+def test_dispersion_grid_takes_one_gamma_table_a_trial(monkeypatch):
+    rng = np.random.default_rng(2)
+    v, mu, w = rng.integers(0, 6, 500) * 5.0, np.exp(rng.normal(1, 0.5, 500)), rng.uniform(0, 1, 500)
+    grid = [0.01, 0.7, 12.0, 3e4]
+    want = [sum(a * (math.lgamma(y + th) - math.lgamma(th) - math.lgamma(y + 1) + th * math.log(th / (th + m))
+                     + y * math.log(m / (th + m))) for y, m, a in zip(v, mu, w)) for th in grid]
+    values, at = np.unique(v, return_inverse=True)
+    monkeypatch.setattr(np, "unique", None)  # distinct counts are found once a batch, not once a trial
+    assert counts._dispersion(v, values, at, mu, np.log(mu), w, grid) == pytest.approx(want, rel=1e-9)
+    one = counts._log_nb(v, values, at, mu, np.log(mu), 0.7)
+    assert w @ one == pytest.approx(want[1], rel=1e-9)
