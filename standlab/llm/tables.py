@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from standlab.session import cut_lineage, prepare
+from standlab.session import cut_ids, prepare
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -54,7 +54,7 @@ def components(links: DataFrame) -> DataFrame:
     further (small star); both keep the components and end in stars.  State is written as a
     table each round, so a lost executor costs one round at most.
     """
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = cut_ids(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .filter("a <> b").distinct())
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a")))
@@ -65,7 +65,7 @@ def components(links: DataFrame) -> DataFrame:
         small = (large.join(low, "a")
                  .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                          F.col("m").alias("b")).filter("a <> b").distinct())
-        new = cut_lineage(small)
+        new = cut_ids(small)
         if _same(edges, new):
             return new.select(F.col("a").alias("node"), F.col("b").alias("component"))
         edges = new

@@ -62,6 +62,36 @@ def test_join_finds_every_component(spark, docs_of, width, num):
     assert got == {(i, *v) for i, v in brute_components(rows, width, num, 100).items()}
 
 
+@pytest.mark.parametrize("small", [1, 3])
+def test_join_of_large_groups_finds_every_component(spark, docs_of, monkeypatch, small):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "SALT", 2)
+    rows = near_copies(random.Random(6), groups=3, size=30) + [(i, t) for i, t in ODD if i]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs_of(rows)).collect()}
+    assert got == {(i, *v) for i, v in brute_components(rows, 4, 85, 100).items()}
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 62, k, dtype=np.uint64) for k in (1, 3, 500, 2000, 5000)]
+    sets += [rng.integers(0, 1 << 62, k, dtype=np.uint64) for k in (3, 520, 2100, 4900)]
+    sets += [np.concatenate([s[len(s) // 10:], rng.integers(0, 1 << 62, len(s) // 9, dtype=np.uint64)]) for s in sets[2:5]]
+    n = np.array([len(s) for s in sets])
+    sketch, folded = ngram_join.sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = ngram_join.sketch_distance([sketch[i]], [sketch[j]])[0]
+            assert np.bitwise_count((folded[i] ^ folded[j]).view(np.uint64)).sum() <= apart <= len(np.setxor1d(x, y))
+            if i < 9 and j < 9 and i != j and min(n[i], n[j]) > 400 and 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j]):
+                assert apart * 185 > (n[i] + n[j]) * 15  # unrelated sets of like size are told apart
+
+
+def test_rarity_tells_counts_about_the_mean_apart():
+    for mean in (6, 30, 1800):
+        cells = np.array([mean - 2 * mean**0.5, mean, mean + 2 * mean**0.5])
+        assert (np.diff(ngram_join.rarity_class(cells).astype(int)) > 0).all()
+
+
 def test_join_of_nothing_and_one_per_component(spark, docs_of):
     assert ngram_join.jaccard_components(docs_of([])).collect() == []
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, None), (4, "A B c d e f"), (None, "a b c d e f")]
