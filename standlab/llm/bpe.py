@@ -2,7 +2,8 @@
 
 Encoding of one pre-token (Python needs no merge queue for it):
 
-* An Aho-Corasick automaton over all tokens gives the longest token that starts at each place.
+* The longest token that starts at a place is found by hashes of its possible lengths, longest first,
+  and only at places the encoder comes to.
 * A sequence of tokens is what merging would give exactly if each two neighbours are compatible,
   that is if merging their joined text leaves just these two.  Compatibility of a pair is found by
   undoing merges on both sides of the seam and is kept in a table.
@@ -23,7 +24,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
@@ -47,9 +47,13 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Encoder and decoder of a byte-level vocabulary with an end-of-word suffix."""
+    """Encoder and decoder of a byte-level vocabulary with an end-of-word suffix.
 
-    def __init__(self, config: dict):
+    ``never`` holds the tokens that do not come out of their own merges, where an encoder of the same
+    file has found them; else they are found here.
+    """
+
+    def __init__(self, config: dict, never: frozenset[str] | None = None):
         model = config["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -73,7 +77,8 @@ class Encoder:
             if self.special else None
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self._automaton()
+        self.never = frozenset(t for t in self.vocab if not self._own(t)) if never is None else never
+        self._lookup()
         self._offsets()
 
     # -- vocabulary -----------------------------------------------------------------------
@@ -96,22 +101,16 @@ class Encoder:
             return self._units(token[:-len(self.suffix)])
         return list(token)
 
-    def _automaton(self) -> None:
-        """All reachable tokens, reversed, so that matches that end at a place of the reversed
-        word are the tokens that start there in the word."""
-        self.end = "\0"
-        self.auto = ahocorasick.Automaton()
-        for token in self.vocab:
-            units = self._symbols(token)
-            if len(units) == 1 or token in self.parts and self._merged(units) == [token]:
-                key = self._key(token)
-                self.auto.add_word(key[::-1], (len(units), token, key[-1] == self.end or not self.suffix))
-        self.auto.make_automaton()
-
-    def _key(self, token: str) -> str:
-        if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
-            return token[:-len(self.suffix)] + self.end
-        return token
+    def _own(self, token: str) -> bool:
+        units = self._symbols(token)
+        return len(units) == 1 or token in self.parts and self._merged(units) == [token]
+
+    def _lookup(self) -> None:
+        """All reachable tokens: those with the suffix, which end a word, and the others."""
+        ends = {t for t in self.vocab if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix)}
+        self.closing = ends - self.never
+        self.inner = self.vocab.keys() - ends - self.never
+        self.longest = max(map(len, self.inner), default=0)
 
     def _offsets(self) -> None:
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -157,32 +156,37 @@ class Encoder:
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token, given in byte letters."""
-        n = len(word)
-        matches: list[list[tuple[int, str]]] = [[] for _ in range(n)]  # shortest first
-        for end, (size, token, closing) in self.auto.iter((word + self.end)[::-1]):
-            at = n - end
-            if not self.suffix or closing == (at + size == n):  # only the last letter carries the suffix
-                matches[at].append((size, token))
-        for m in matches:
-            m.sort(reverse=True)
-        out: list[tuple[int, int, str]] = []
+        n, suffix, inner, known = len(word), self.suffix, self.inner, self.pairs
+        out: list[str] = []
+        sizes: list[int] = []
         dead = bytearray(n + 1)
-        at = choice = 0
+        at, size, before = 0, n, None
         while at < n:
-            before = out[-1][2] if out else None
-            for k in range(choice, len(matches[at])):
-                size, token = matches[at][k]
-                if not dead[at + size] and (before is None or self.compatible(before, token)):
-                    out.append((k, size, token))
-                    at, choice = at + size, 0
+            if suffix and size == n - at:  # only the last letter carries the suffix
+                token = word[at:] + suffix
+                if token in self.closing and (before is None or known.get((before, token)) or self.compatible(before, token)):
+                    out.append(token)
+                    break
+                size -= 1
+            size = min(size, self.longest)
+            while size:
+                token = word[at:at + size]
+                if token in inner and not dead[at + size] and (
+                        before is None or known.get((before, token)) or self.compatible(before, token)):
+                    out.append(token)
+                    sizes.append(size)
+                    at, before = at + size, token
+                    size = n - at
                     break
+                size -= 1
             else:
                 if not out:
                     raise ValueError("the vocabulary does not cover every byte")
                 dead[at] = 1
-                k, size, _ = out.pop()
-                at, choice = at - size, k + 1
-        return tuple(self.vocab[t] for _, _, t in out)
+                out.pop()
+                size = sizes.pop()
+                at, size, before = at - size, size - 1, out[-1] if out else None
+        return tuple([self.vocab[t] for t in out])
 
     # -- whole texts ----------------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
@@ -241,12 +245,14 @@ def coder(spark, path: str, digest: bool = False):
     One pass, no shuffle; rows and all other columns stay as they are.
     """
     with open(path, encoding="utf-8") as file:
-        config = spark.sparkContext.broadcast(file.read())
+        text = file.read()
+    config = spark.sparkContext.broadcast((text, Encoder(json.loads(text)).never))
     kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
 
     @F.pandas_udf(f"n_tokens long, {kind}")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Encoder(json.loads(config.value))  # one for the task, gone with it
+        text, never = config.value
+        own = Encoder(json.loads(text), never)  # one for the task, gone with it
         for texts in batches:
             rows = []
             for text in texts:

@@ -291,6 +291,24 @@ def test_bpe_equals_the_library(coder):
     assert coder.encode(None) == [] and coder.decode([]) == b""
 
 
+def test_bpe_digest_equals_ids_and_text(spark, docs_of):
+    texts = ["", None, "Hello  world", "x<|endoftext|>y  z", "naïve ﬁne Σίσυφος 🙂 1234567", "a " * 300]
+    docs = docs_of(list(enumerate(texts)))
+    path = bpe.tokenizer_path()
+    both = docs.select("doc_id", bpe.coder(spark, path)("text").alias("e"), bpe.coder(spark, path, digest=True)("text").alias("d"))
+    for r in both.collect():
+        assert r["e"]["n_tokens"] == r["d"]["n_tokens"] == len(r["e"]["ids"])
+        assert r["d"]["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["e"]["ids"])).encode()).hexdigest()
+        assert r["d"]["decoded_sha256"] == hashlib.sha256(r["e"]["decoded"].encode()).hexdigest()
+
+
+def test_bpe_tasks_do_not_merge_the_vocabulary_again(monkeypatch):
+    config = json.load(open(bpe.tokenizer_path()))
+    never = bpe.Encoder(config).never
+    monkeypatch.setattr(bpe.Encoder, "_merged", None)
+    assert bpe.Encoder(config, never).encode("whole words and zxqjvkw") == bpe.Encoder(config, never).encode("WHOLE words and zxqjvkw")
+
+
 def test_bpe_column(spark, docs_of):
     rows = docs_of(ODD).select("doc_id", bpe.coder(spark, bpe.tokenizer_path())("text").alias("e"), "part").collect()
     assert len(rows) == len(ODD) and [r["e"]["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)] == [0, 0, 0]
