@@ -3,20 +3,22 @@
 Frequent words get ids by language and falling frequency.  A phrase of two words is an address in
 the square of ids, which is split into tiles of SIDE by SIDE.  Inside a task, addresses come in runs:
 tiles that a run fills are counted by a dense ``bincount``, the others as sorted coordinates with
-counts.  Tasks send counts, not occurrences; a reducer adds them up.  Frequent pairs are then ranked
+counts.  Tasks send counts, not occurrences; a reducer adds them up.  Texts are split into words once and
+written as runs: a list of distinct words and each word's place in it, so that the later passes
+look up the distinct words of a run only.  Frequent pairs are then ranked
 by frequency themselves, and phrases of three words are addresses in (pair rank, word id), counted
 the same way; only triples of two frequent pairs are looked at, as no other can be frequent.
 
 The ids that travel to the tasks are bounded: HEAD words and PAIRS pairs.  Beyond them nothing is
 lost.  Triples of a pair without a rank are coordinates of three word ids.  Phrases that hold a word
 without an id are coordinates too, by a 64-bit hash; those whose hash is frequent are then counted by
-their texts, so a clash of hashes costs time, no count.  Bitmaps of fixed size say which words, pairs
+their words, so a clash of hashes costs time, no count.  Bitmaps of fixed size say which words, pairs
 and hashes are frequent; where they are wrong they let too much pass, never too little.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 import re
 
@@ -41,7 +43,9 @@ RUN = 1 << 20  # addresses counted at once
 TILES = 48  # dense tiles a task holds
 BITS = 20  # of a word id in a key
 SLOTS = 1 << 24  # bits of a bitmap
-PIECE = 1 << 20  # bytes of a text that are split at once
+PIECE = 1 << 21  # bytes of text that are split at once
+HELD = 1 << 23  # bytes of texts of all languages that wait for their runs
+RUNS = "lang string, carried int, words binary, found binary, places binary"
 SEED = 42  # of word hashes, as Spark has it
 EDGE = b"."  # stands for every end of a piece
 _TABLE = bytes(ord(EDGE) if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c
@@ -66,15 +70,43 @@ def pieces(text: bytes, size: int) -> Iterator[tuple[int, list[bytes]]]:
         at = stop
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_runs(docs: DataFrame) -> DataFrame:
+    """Texts of a language, one behind the other, as runs of about PIECE bytes: distinct words, how often each
+    was found, and the place of every word.  The first ``carried`` words end the run before; they are not counted."""
+    def run(batches):
+        held, size = {}, 0
+        for batch in batches:
+            for lang, text in zip(batch["lang"], utf8(batch["text"])):
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= HELD:
+                    yield from rows(held)
+                    held, size = {}, 0
+        yield from rows(held)
+
+    def rows(held):
+        for lang, texts in held.items():
+            for carried, words in pieces(EDGE.join(texts), 3):
+                place = defaultdict()
+                place.default_factory = place.__len__
+                places = np.array([place[w] for w in words] + [place[EDGE]], np.int32)
+                found = np.bincount(places[carried:], minlength=len(place))
+                yield pd.DataFrame([(lang, carried, zstandard.compress(b" ".join(place), 1), pack(found, np.int32), pack(places, np.int32))],
+                                   columns=["lang", "carried", "words", "found", "places"])
+
+    return docs.mapInPandas(run, RUNS)
+
+
+def word_counts(runs: DataFrame) -> DataFrame:
     """lang, word, c: occurrences of every word; an empty word carries the language's total."""
     def run(batches):
         counts, total = {}, Counter()
         for batch in batches:
-            for lang, text in zip(batch["lang"], utf8(batch["text"])):
-                mine = counts.setdefault(lang, Counter())
-                for _, words in pieces(text, 1):
-                    mine.update(words)
+            for lang, words, found in zip(batch["lang"], batch["words"], batch["found"]):
+                mine = counts.setdefault(lang, {})
+                get = mine.get
+                for word, c in zip(zstandard.decompress(words).split(b" "), unpack(found, np.int32).tolist()):
+                    mine[word] = get(word, 0) + c
                 if sum(map(len, counts.values())) > RUN // 4:
                     yield rows(counts, total)
                     counts = {}
@@ -83,12 +115,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def rows(counts, total):
         out = [(lang, w.decode("utf-8", "surrogatepass"), c) for lang, some in counts.items()
-               for w, c in some.items() if w != EDGE]
+               for w, c in some.items() if w != EDGE and c]
         for lang, _, c in out:
             total[lang] += c
         return pd.DataFrame(out, columns=["lang", "word", "c"])
 
-    parts = docs.mapInPandas(run, "lang string, word string, c long")
+    parts = runs.select("lang", "words", "found").mapInPandas(run, "lang string, word string, c long")
     return parts.groupBy("lang", "word").agg(F.sum("c").alias("c"))
 
 
@@ -121,10 +153,16 @@ class Ids:
             ids[at[~in_bitmap(self.frequent, own.view(np.int64))]] = -1
         return ids, hashes
 
-    def texts(self, batch, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and hashes of a batch of texts, one behind the other."""
-        both = [self.array(lang, some) for lang, text in zip(batch["lang"], utf8(batch["text"]))
-                for _, some in pieces(text, size)]
+    def run(self, lang: str, carried: int, words: bytes, places: bytes, size: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words of a run, and places, ids and hashes of its words, less those whose phrases of ``size`` words the run before has."""
+        distinct = zstandard.decompress(words).split(b" ")
+        ids, hashes = self.array(lang, distinct)
+        places = unpack(places, np.int32)[max(0, carried - size + 1):]
+        return distinct, places, ids[places], hashes[places]
+
+    def runs(self, batch, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and hashes of a batch of runs, one behind the other."""
+        both = [self.run(*row, size)[2:] for row in zip(*(batch[c] for c in ("lang", "carried", "words", "places")))]
         return tuple(np.concatenate(x) for x in zip(*both)) if both else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
@@ -261,19 +299,19 @@ def _added(least: int):
     return run
 
 
-def _counted(docs: DataFrame, size: int, head, ranked: int, addresses, least: int) -> DataFrame:
-    """lhs, rhs, a: what ``addresses(ids, hashes)`` names in the texts, found ``least`` times at least.
+def _counted(runs: DataFrame, size: int, head, ranked: int, addresses, least: int) -> DataFrame:
+    """lhs, rhs, a: what ``addresses(ids, hashes)`` names in the runs of words, found ``least`` times at least.
 
     It names addresses, and hashes of phrases with a word without id, which come as lhs beside rhs -1.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         langs, words, frequent = head.value
         ids, tiles, tail = Ids(langs, words, frequent), Tiles(ranked, max(1, len(words))), Coordinates()
         find = addresses()
         for batch in batches:
-            left, right, others = find(*ids.texts(batch, size))
+            left, right, others = find(*ids.runs(batch, size))
             tiles.add(left, right)
             tail.add(others)
             if tiles.full():
@@ -283,7 +321,7 @@ def _counted(docs: DataFrame, size: int, head, ranked: int, addresses, least: in
         yield _dealt(0, *tiles.out(), parts)
         yield _dealt(1, *tail.out(), parts)
 
-    packed = docs.mapInPandas(run, "part int, kind int, keys binary, counts binary")
+    packed = runs.select("lang", "carried", "words", "places").mapInPandas(run, "part int, kind int, keys binary, counts binary")
     return packed.repartitionById(parts, F.col("part")).mapInPandas(_added(least), "lhs long, rhs long, a long")
 
 
@@ -340,24 +378,27 @@ def bitmap(numbers: DataFrame) -> np.ndarray | None:
     return out if rows else None
 
 
-def tail_phrases(docs: DataFrame, head, often, least: int) -> DataFrame:
+def tail_phrases(runs: DataFrame, head, often, least: int) -> DataFrame:
     """lang, phrase, size, a: phrases of two and three words, one without id among them at least,
     whose hashes are in the bitmap ``often``.  Tasks send packed counts of texts."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         ids, may, counts = Ids(*head.value), often.value, Counter()
         for batch in batches:
-            for lang, text in zip(batch["lang"], utf8(batch["text"])):
-                for carried, words in pieces(text, 3):
-                    number, hashes = ids.array(lang, words)
-                    if not (number == -2).any():
+            for lang, carried, words, places in zip(*(batch[c] for c in ("lang", "carried", "words", "places"))):
+                for size in (2, 3):
+                    distinct, place, number, hashes = ids.run(lang, carried, words, places, size)
+                    at = np.flatnonzero(with_tail(number, size))
+                    at = at[in_bitmap(may, tail_hashes(hashes, size)[at])]
+                    if not len(at):
                         continue
-                    for size in (2, 3):
-                        at = np.flatnonzero(with_tail(number, size))
-                        at = at[at + size > carried]
-                        at = at[in_bitmap(may, tail_hashes(hashes, size)[at])]
-                        counts.update([(lang, size, b" ".join(words[i:i + size])) for i in at.tolist()])
+                    key = np.zeros(len(at), np.int64)  # a run has fewer than 2^21 distinct words
+                    for k in range(size):
+                        key = key << 21 | place[at + k]
+                    _, first, found = np.unique(key, return_index=True, return_counts=True)
+                    for i, c in zip(at[first].tolist(), found.tolist()):
+                        counts[lang, size, b" ".join([distinct[j] for j in place[i:i + size].tolist()])] += c
             if len(counts) > RUN // 8:
                 yield rows(counts)
                 counts = Counter()
@@ -381,7 +422,8 @@ def tail_phrases(docs: DataFrame, head, often, least: int) -> DataFrame:
             found = [(lang, p.decode("utf-8", "surrogatepass"), size, c) for p, c in mine.items() if c >= least]
             yield pd.DataFrame(found, columns=["lang", "phrase", "size", "a"])
 
-    packed = docs.mapInPandas(run, "part int, lang string, size int, phrases binary, counts binary")
+    packed = runs.select("lang", "carried", "words", "places").mapInPandas(
+        run, "part int, lang string, size int, phrases binary, counts binary")
     return packed.repartitionById(parts, F.col("part")).mapInPandas(added, "lang string, phrase string, size int, a long")
 
 
@@ -396,7 +438,8 @@ def _score(a, l, r):
 def frequent_phrases(docs: DataFrame, least: int, head: int, ranked: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, w, c; an empty one with the language's total), pairs and triples (lang, w1, w2, w3, a)."""
     spark = docs.sparkSession
-    words = cut_lineage(word_counts(docs).filter(f"c >= {least} OR word = ''").withColumnRenamed("word", "w"))
+    runs = cut_lineage(word_runs(docs))
+    words = cut_lineage(word_counts(runs).filter(f"c >= {least} OR word = ''").withColumnRenamed("word", "w"))
     known = words.filter("w <> ''")
     first = (known.filter(F.octet_length("w") <= LONGEST).orderBy(F.desc("c"), "lang", "w").limit(head)
              .toPandas().sort_values(["lang", "c", "w"], ascending=[True, False, True], kind="stable"))
@@ -408,14 +451,14 @@ def frequent_phrases(docs: DataFrame, least: int, head: int, ranked: int) -> tup
     def named(df, key, out):
         return df.join(names.select(F.col("id").alias(key), F.col("w").alias(out), *(["lang"] if out == "w1" else [])), key)
 
-    found = cut_lineage(_counted(docs, 2, sent, len(langs), pair_addresses, least))
+    found = cut_lineage(_counted(runs, 2, sent, len(langs), pair_addresses, least))
     pairs, tails = found.filter("rhs >= 0"), found.filter("rhs < 0").select(F.col("lhs").alias("number"))
     top = pairs.orderBy(F.desc("a"), "lhs", "rhs").limit(ranked).select("lhs", "rhs").toPandas()
     keys = (top["lhs"].to_numpy(np.int64) << BITS) | top["rhs"].to_numpy(np.int64)
     order = np.argsort(keys)
     unranked = None if len(keys) < ranked else bitmap(pairs.select(pair_number(F.col("lhs"), F.col("rhs")).alias("number")))
     ranks = spark.sparkContext.broadcast((keys[order], order, unranked, bitmap(tails)))
-    found = cut_lineage(_counted(docs, 3, sent, ranked, triple_addresses(ranks, ranked), least))
+    found = cut_lineage(_counted(runs, 3, sent, ranked, triple_addresses(ranks, ranked), least))
     triples, tails = found.filter("rhs >= 0"), tails.union(found.filter("rhs < 0").select("lhs"))
     ranked_pairs = cut_lineage(spark.createDataFrame(pd.DataFrame(
         {"lhs": np.arange(len(keys)), "i1": keys >> BITS, "i2": keys & ((1 << BITS) - 1)}), "lhs long, i1 long, i2 long"))
@@ -427,7 +470,7 @@ def frequent_phrases(docs: DataFrame, least: int, head: int, ranked: int) -> tup
     pairs = named(named(pairs, "lhs", "w1"), "rhs", "w2").select("lang", "w1", "w2", "a")
     often = bitmap(tails)
     if often is not None:
-        tail = cut_lineage(tail_phrases(docs, sent, spark.sparkContext.broadcast(often), least))
+        tail = cut_lineage(tail_phrases(runs, sent, spark.sparkContext.broadcast(often), least))
         split = F.split("phrase", " ")
         pairs, triples = (df.union(tail.filter(F.col("size") == size).select("lang", *[split[i] for i in range(size)], "a"))
                           for df, size in ((pairs, 2), (triples, 3)))

@@ -146,6 +146,22 @@ def test_collocations_of_long_texts_by_pieces(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == want
 
 
+def test_collocations_split_each_text_once(spark, monkeypatch, tmp_path):
+    split, seen = collocations.pieces, str(tmp_path / "seen")
+
+    def noted(text, size):
+        with open(seen, "a") as f:
+            f.write(f"{len(text)}\n")
+        return split(text, size)
+
+    rows = [(i, "one two three. four " * 5 + f"five{i % 3} six", ["en", "de"][i % 2]) for i in range(120)] + [(1, None, None), (2, "", "en")]
+    monkeypatch.setattr(collocations, "pieces", noted)
+    got = collocations.collocations(_docs(spark, rows), head=3, ranked=2).collect()
+    assert sorted(tuple(r) for r in got) == _phrases(rows)
+    texts = sum(len(t or "") for _, t, _ in rows)
+    assert texts <= sum(map(int, open(seen))) <= texts + len(rows)
+
+
 def test_tiles_count_dense_and_sparse_addresses(monkeypatch):
     monkeypatch.setattr(collocations, "SIDE", 4)
     monkeypatch.setattr(collocations, "FULL", 3)
