@@ -207,3 +207,46 @@ def test_transgressive_uses_the_better_pure_stand(spark):
     df = spark.createDataFrame(rows, "block string, code string, v double")
     got = {r["code"]: r["toy"] for r in yields.transgressive(df, "v").collect()}
     assert got == {"BN": pytest.approx(1.2), "BR": pytest.approx(0.5)}
+
+
+def test_forest_importance_agrees_with_mllib_and_seeds_share_passes(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rng = np.random.default_rng(5)
+    a, b, c, d = rng.normal(size=3000), rng.integers(0, 5, 3000), rng.normal(size=3000), rng.integers(0, 2, 3000)
+    y = 4 * a + 2 * b + rng.normal(size=3000) / 2
+    rows = [tuple(map(float, r)) for r in zip(y, a, b, c, d)]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0, 1.0, 1.0), (9e9, None, 1.0, 1.0, 1.0)], "y double, a double, b double, c double, d double")
+    terms, sc = ["a", "b", "c", "d"], spark.sparkContext
+    data = VectorAssembler(inputCols=terms, outputCol="features").transform(df.dropna().withColumnRenamed("y", "label"))
+    want = np.mean([RandomForestRegressor(numTrees=20, maxDepth=6, seed=s).fit(data).featureImportances.toArray() for s in (1, 2, 3)], axis=0)
+    got = suitability.forest_importance(df, "y", terms).collect()
+    assert [r["importance"] for r in got] == pytest.approx(want.tolist(), abs=0.06)
+    assert [r["selected"] for r in got] == (want > want.mean()).tolist()
+    assert sum(r["importance"] for r in got) == pytest.approx(1)
+    jobs = []
+    for seeds in ((1,), (1, 2, 3, 4)):
+        sc.setJobGroup(f"forest {seeds}", "")
+        suitability.forest_importance(df, "y", terms, seeds, trees=5, depth=2).collect()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"forest {seeds}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_forest_sums_and_cuts_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(8)
+    bins, y = rng.integers(0, 4, (2, 50)).astype(np.uint8), rng.normal(size=50)
+    monkeypatch.setattr(suitability, "_DRAWS", np.full(1 << 16, 2, np.uint8))
+    tried, term, cut = np.array([[[0, 1]] * 3]), np.array([[0, -1, -1]]), np.array([[1, 0, 0]])
+    batch = suitability.pd.DataFrame([(7, bins.tobytes(), y.tobytes())], columns=["slice", "bins", "y"])
+    sums = list(suitability._node_sums([(1, 0)], 1, tried, term, cut)(iter([batch])))[0]
+    got = suitability._best_cuts(1, tried)(sums)
+    for node, inside in ((1, bins[0] <= 1), (2, bins[0] > 1)):
+        def squares(rows):
+            return 2 * ((y[rows] - y[rows].mean()) ** 2).sum()
+
+        want = max((squares(inside) - squares(inside & (bins[t] <= c)) - squares(inside & (bins[t] > c)), t, c) for t in (0, 1) for c in range(3)
+                   if (inside & (bins[t] <= c)).any() and (inside & (bins[t] > c)).any())
+        row = got[got["node"] == node].iloc[0]
+        assert (row["gain"], row["term"], row["cut"]) == (pytest.approx(want[0]), want[1], want[2])
