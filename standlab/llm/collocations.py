@@ -170,8 +170,9 @@ def with_tail(ids: np.ndarray, size: int) -> np.ndarray:
     """Whether ``size`` frequent words, one without id among them at least, start at each word."""
     if len(ids) < size:
         return np.zeros(0, bool)
-    span = np.lib.stride_tricks.sliding_window_view(ids, size)
-    return (span != -1).all(axis=1) & (span == -2).any(axis=1)
+    whole, tail, n = ids != -1, ids == -2, len(ids) - size + 1
+    return (np.logical_and.reduce([whole[k:k + n] for k in range(size)])
+            & np.logical_or.reduce([tail[k:k + n] for k in range(size)]))
 
 
 def tail_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
